@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import attribution, sdc
+
+_MODULES = (attribution, sdc)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.SQL.items()}
