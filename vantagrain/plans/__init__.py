@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import attribution, sdc
+from . import attribution, sdc, utility
 
-_MODULES = (attribution, sdc)
+_MODULES = (attribution, sdc, utility)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.SQL.items()}
