@@ -78,17 +78,19 @@ def nearest(
     """
     size = block_rows or BLOCK_ROWS
     n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    left = queries.select("id", "nums", "cats", block(n_q).alias("qb"), every(n_r).cast("bigint").alias("rb"))
-    right = refs.select("id", "nums", "cats", block(n_r).alias("rb"), every(n_q).cast("bigint").alias("qb"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
+    left = queries.select("id", "nums", "cats", block(n_q).alias("qb"), every(n_r).alias("rb"))
+    right = refs.select("id", "nums", "cats", block(n_r).alias("rb"), every(n_q).alias("qb"))
+    # new column identities, so that a table can meet itself
+    right = right.toDF(*[f"r_{c}" for c in right.columns])
     weights = np.array(cat_weights, float)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "d1", "d1_id", "d2", "n_within", "sum_d", "n_refs"]
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in names})
-        b = b.sort_values("id", kind="stable")
+        b = b.rename(columns=lambda c: c.removeprefix("r_")).sort_values("id", kind="stable")
         num_b, cat_b = (np.stack(b[c].to_numpy()) for c in ("nums", "cats"))
         id_a, id_b = a["id"].to_numpy(), b["id"].to_numpy()
         out = []
@@ -121,7 +123,7 @@ def nearest(
         return pd.concat(out)
 
     schema = "id bigint, d1 double, d1_id bigint, d2 double, n_within bigint, sum_d double, n_refs bigint"
-    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(run, schema)
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInPandas(run, schema)
     two = F.array_sort(F.flatten(F.collect_list(F.array("d1", "d2"))))  # two numbers a block
     merged = parts.groupBy("id").agg(
         F.min("d1").alias("d1"), F.min(F.struct("d1", "d1_id")).alias("best"), F.get(two, F.lit(1)).alias("d2"),
