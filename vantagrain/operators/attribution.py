@@ -133,9 +133,9 @@ def disco(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[
     base = F.col("n_key_matches") * F.col("sum_sq")
     summary = found.select(
         "n_disco_potential", "n_disco_certain", "n_key_matches", "n_originals_disclosed", "n_synthetic", "n_original",
-        (100 * F.col("n_disco_potential") / F.col("n_synthetic")).alias("pct_disco_potential"),
-        (100 * F.col("n_disco_certain") / F.col("n_synthetic")).alias("pct_disco_certain"),
-        (100 * F.col("n_originals_disclosed") / F.col("n_original")).alias("pct_original_disclosed"),
+        F.try_divide(100 * F.col("n_disco_potential"), F.col("n_synthetic")).alias("pct_disco_potential"),
+        F.try_divide(100 * F.col("n_disco_certain"), F.col("n_synthetic")).alias("pct_disco_certain"),
+        F.try_divide(100 * F.col("n_originals_disclosed"), F.col("n_original")).alias("pct_original_disclosed"),
         base.alias("baseline_disco"), safe_div(F.col("n_disco_potential"), base).alias("disco_ratio"),
     )
     return MeasureResult(summary, records)
@@ -160,7 +160,7 @@ def rapid_linear(
     records = scored.select(id_col, "a", b.alias("predicted"), error.alias("error")).withColumn("at_risk", F.col("error") < num_epsilon)
     n, hit = F.count(F.lit(1)), F.count_if("at_risk")
     summary = records.agg(
-        (hit / n).alias("rapid"), hit.alias("n_at_risk"), (100 * hit / n).alias("pct_at_risk"), n.alias("n_records"),
+        F.try_divide(hit, n).alias("rapid"), hit.alias("n_at_risk"), F.try_divide(100 * hit, n).alias("pct_at_risk"), n.alias("n_records"),
         F.avg(F.abs(F.col("a") - F.col("predicted"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("a") - F.col("predicted"), 2))).alias("rmse"),
     )
     level = F.when(F.col("rapid") < 0.05, "LOW").when(F.col("rapid") < 0.15, "MEDIUM").otherwise("HIGH")

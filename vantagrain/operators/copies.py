@@ -29,7 +29,7 @@ def identical_match_share(original: DataFrame, released: DataFrame, id_col: str,
         F.coalesce(F.sum("n_x"), F.lit(0)).alias("n_unique_train"),
     )
     of = F.col("n_unique_train") if singletons_only else F.col("n_train")
-    ims = F.col("n_identical") / F.col("n_synthetic")
+    ims = F.try_divide("n_identical", "n_synthetic")
     summary = found.join(totals).select(
         ims.alias("ims"), (100 * ims).alias("ims_pct"), "n_identical", "n_unique_matched",
         F.when(of > 0, 100 * F.col("n_unique_matched") / of).otherwise(0.0).alias("pct_train_copied"),

@@ -38,7 +38,7 @@ def dcr(train: DataFrame, released: DataFrame, holdout: DataFrame, id_col: str,
     summary = both.agg(
         F.avg("dcr_train").alias("mean_dcr_train"), F.avg("dcr_holdout").alias("mean_dcr_holdout"),
         F.median("dcr_train").alias("median_dcr_train"), F.median("dcr_holdout").alias("median_dcr_holdout"),
-        (F.avg("dcr_train") / F.avg("dcr_holdout")).alias("dcr_ratio"),
+        F.try_divide(F.avg("dcr_train"), F.avg("dcr_holdout")).alias("dcr_ratio"),
         F.avg((F.col("dcr_train") < F.col("dcr_holdout")).cast("int")).alias("dcr_share"), F.count(F.lit(1)).alias("n_synthetic"),
     )
     return MeasureResult(summary, both, params={"wilcoxon": lambda: signed_rank_p(both.withColumn("d", F.col("dcr_train") - F.col("dcr_holdout")), "d")})
@@ -69,7 +69,7 @@ def nndr(train: DataFrame, released: DataFrame, holdout: DataFrame, id_col: str,
         "mean_nndr_train", "mean_nndr_holdout", F.col("pt")[2].alias("median_nndr_train"), F.col("ph")[2].alias("median_nndr_holdout"),
         F.col("pt")[0].alias("p5_train"), F.col("ph")[0].alias("p5_holdout"), F.col("pt")[1].alias("p10_train"), F.col("ph")[1].alias("p10_holdout"),
         F.when(F.col("ph")[0] != 0, F.col("pt")[0] / F.col("ph")[0]).alias("nndr_ratio"),
-        "n_suspicious", (100 * F.col("n_suspicious") / F.col("n_synthetic")).alias("pct_suspicious"),
+        "n_suspicious", F.try_divide(100 * F.col("n_suspicious"), F.col("n_synthetic")).alias("pct_suspicious"),
     )
     return MeasureResult(summary, both)
 

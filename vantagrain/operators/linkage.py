@@ -216,7 +216,7 @@ def linkage_summary(records: DataFrame, risk_threshold: float = 0.1) -> DataFram
     n = F.count(F.lit(1))
     return records.agg(
         F.avg("risk").alias("mean_risk"), F.max("risk").alias("max_risk"), F.count_if(F.col("risk") > risk_threshold).alias("n_high"),
-        (100 * F.count_if(F.col("risk") > risk_threshold) / n).alias("pct_high"), (100 * F.count_if("true_in_set") / n).alias("pct_true_in_set"),
+        F.try_divide(100 * F.count_if(F.col("risk") > risk_threshold), n).alias("pct_high"), F.try_divide(100 * F.count_if("true_in_set"), n).alias("pct_true_in_set"),
         F.avg("cand_n").alias("mean_candidates"), (F.avg("risk") <= risk_threshold).alias("privacy_pass"), n.alias("n_query"),
     )
 

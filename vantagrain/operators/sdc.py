@@ -229,7 +229,7 @@ def attacker_risk(df: DataFrame, id_col: str, keys: Sequence[str], *, sampling_f
         (F.count(F.lit(1)) / F.sum("f")).alias("prosecutor"),
         (sampling_fraction * F.count(F.lit(1)) / F.sum("f")).alias("journalist"),
         (F.count(F.lit(1)) / F.sum("f")).alias("marketer"),
-        one.alias("n_uniques"), (one / F.count(F.lit(1))).alias("pct_uniques"), F.sum("f").alias("n_records"),
+        one.alias("n_uniques"), F.try_divide(one, F.count(F.lit(1))).alias("pct_uniques"), F.sum("f").alias("n_records"),
         (F.count(F.lit(1)) / F.sum("f") <= 0.1).alias("privacy_pass"),
     )
     rows = key_join(complete(df, keys).select(id_col, *keys), ec, keys, "inner")
