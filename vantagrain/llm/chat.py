@@ -173,7 +173,10 @@ def recover_roles(segments: DataFrame, model: dict, conv_col: str = "conv_id", t
     rows = segments.select(c.alias("c"), t.alias("at"), *evidence).groupBy("c", "at").agg(
         F.array(*[F.round(F.sum(f"e{s}"), 9) for s in range(len(ROLES))]).alias("w")
     )
-    states = _solve(rows, model["step"]).select(F.col("c").alias("__c"), F.col("at").alias("__at"), "enter", "leave")
+    rows = written(rows, "chat-segments")
+    least = rows.agg(F.min("at")).first()[0] or 0
+    shifted = rows.withColumn("at", F.col("at") - least)  # from 0, so that blocks of blocks end in one
+    states = _solve(shifted, model["step"]).select(F.col("c").alias("__c"), (F.col("at") + least).alias("__at"), "enter", "leave")
     added = ("recovered_role", "opens", "rendered")
     kept = [F.col(f"`{x}`") for x in segments.columns if x not in added]
     marked = segments.select(*kept, c.alias("__conv"), t.alias("__turn"), F.col(f"`{text_col}`").cast("string").alias("__text"))
@@ -189,7 +192,7 @@ def recover_roles(segments: DataFrame, model: dict, conv_col: str = "conv_id", t
 
 def render(role: Column, text: Column) -> Column:
     """One canonical turn; the speaker marker, if any, is replaced by the role's."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)^\s*(?:{_ANY})\s*", "")
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)^\s*(?:{_ANY})\s*:?\s*", "")
     return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), F.trim(body), F.lit("<|im_end|>\n"))
 
 

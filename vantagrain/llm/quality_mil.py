@@ -102,6 +102,7 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     out[:, k + 8] = np.bincount(at, length <= 3, n) / some
     hashed = np.bincount(at * _N_HASHED + (word >> U(60)).astype(np.int64), minlength=n * _N_HASHED)
     out[:, k + 9 :] = hashed.reshape(n, _N_HASHED) / some[:, None]
+    out[count == 0] = 0
     return out, owner
 
 
