@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.shipping import ship
 from .common import is_numeric
 
 BLOCK_ROWS = 4096
@@ -76,6 +77,7 @@ def nearest(
     ``not_self`` leaves out the reference of the same id.  d1 and d2 are null
     where there are not that many references.
     """
+    ship(queries.sparkSession)
     size = block_rows or BLOCK_ROWS
     n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.shipping import ship
 from ..functions.special import chi2_ppf
 from .blocks import ranges
 from .common import MeasureResult, is_numeric, key_join
@@ -83,6 +84,7 @@ def candidates(queries: DataFrame, refs: DataFrame, spec: dict, strategy: str, k
     Results of several reference blocks are merged by the caller; each holds at
     least the final candidates that lie in it.
     """
+    ship(queries.sparkSession)
     n_q, n_r = (max(1, -(-d.count() // BLOCK_ROWS)) for d in (queries, refs))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
@@ -352,6 +354,7 @@ def block_assignment(original: DataFrame, released: DataFrame, id_col: str, keys
     (x, xn), (y, yn), cats, spec = _spec(original, released, keys, "deterministic", None, "ignore", None, None)
     left, right = _vectors(x, id_col, xn, cats, block), _vectors(y, id_col, yn, cats, block)
     right = right.toDF(*[f"r_{c}" for c in right.columns])
+    ship(original.sparkSession)
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
