@@ -3,15 +3,14 @@ intermediate tables, and shipping this package to Python workers."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKAGE = Path(__file__).resolve().parents[1]
+from ..functions.shipping import ship
+
+__all__ = ["drop_written", "new_path", "shared_dir", "ship", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,23 +50,3 @@ def drop_written(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers.
-
-    Workers inherit PYTHONPATH; where that does not hold this package, a zip of
-    it goes through Spark's own file server, once for an application.
-    """
-    root = str(_PACKAGE.parent)
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    context = spark.sparkContext
-    if getattr(context, "_vantagrain_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="vantagrain-zip-")) / f"{_PACKAGE.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(_PACKAGE.rglob("*.py")):
-            z.write(f, f.relative_to(_PACKAGE.parent))
-    context.addPyFile(str(target))
-    context._vantagrain_shipped = True
