@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from .blocks import category_weights, ranges, vectors, within
 from .common import MeasureResult, complete, key_join, safe_div, target_bins
 
 
@@ -165,3 +166,40 @@ def rapid_linear(
     )
     level = F.when(F.col("rapid") < 0.05, "LOW").when(F.col("rapid") < 0.15, "MEDIUM").otherwise("HIGH")
     return MeasureResult(summary.withColumn("risk_level", level), records)
+
+
+def gower_scores(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], target: str, *, threshold: float = 0.1, cont_bins: int | None = 10) -> tuple[DataFrame, DataFrame]:
+    """(id, cap, n_matches, one_target) with matches by Gower distance on the
+    keys of at most ``threshold``, and the baseline."""
+    x, y = _prepared(original, released, keys, target, cont_bins, True)
+    spans = ranges([x, y], keys)
+    tables = [vectors(d, id_col, keys, spans).join(d.select(F.col(id_col).cast("bigint").alias("id"), F.col("_t").alias("t")), "id") for d in (x, y)]
+    found = within(*tables, threshold, category_weights(keys, spans))
+    records = found.select("id", F.when(F.col("n") > 0, F.col("n_same") / F.nullif(F.col("n"), F.lit(0))).alias("cap"), F.col("n").alias("n_matches"), "one_target")
+    return records, _baseline(y)
+
+
+def cap_gower(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], target: str, *, threshold: float = 0.1, cont_bins: int = 10) -> MeasureResult:
+    """Correct attribution and its targeted variants under near key matches.
+
+    Here a match is certain if all its matches share one target, the true one;
+    uniqueness among originals does not enter.
+    """
+    records, baseline = gower_scores(original, released, id_col, keys, target, threshold=threshold, cont_bins=cont_bins)
+    found = records.agg(
+        F.avg("cap").alias("cap"), F.median("cap").alias("cap_median"), F.count("cap").alias("n_matched"), F.count_if(F.col("n_matches") == 0).alias("n_unmatched"),
+        F.count_if(F.col("one_target") & (F.col("cap") == 1)).alias("n_certain"), F.count_if("one_target").alias("n_disclosive"),
+    )
+    summary = found.join(baseline).select("cap", "cap_median", (F.col("cap") - F.col("baseline")).alias("dcap"), "n_matched", "n_unmatched", "n_certain", "n_disclosive", "baseline")
+    return MeasureResult(summary, records)
+
+
+def disco_gower(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], target: str, *, threshold: float = 0.1) -> MeasureResult:
+    """Disclosive matches of released records under near key matches."""
+    records, _ = gower_scores(released, original, id_col, keys, target, threshold=threshold, cont_bins=None)
+    records = records.select("id", (F.col("cap") > 0).alias("potential"), (F.col("one_target") & (F.col("cap") == 1)).alias("certain"))
+    n = F.count(F.lit(1))
+    summary = records.agg(
+        F.count_if(F.coalesce("potential", F.lit(False))).alias("n_disco_potential"), F.count_if(F.coalesce("certain", F.lit(False))).alias("n_disco_certain"), n.alias("n_synthetic")
+    )
+    return MeasureResult(summary, records)

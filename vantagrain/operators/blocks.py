@@ -145,3 +145,41 @@ def minmax_vectors(df: DataFrame, id_col: str, cols: Sequence[str], spans: dict[
     """Table (id, nums, cats) of columns scaled to [0, 1]; constants become 0."""
     nums = [(F.col(c).cast("double") - lows[c]) / spans[c] if spans[c] else F.lit(0.0) for c in cols]
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.array(*nums).alias("nums"), F.array().cast("array<bigint>").alias("cats"))
+
+
+def within(queries: DataFrame, refs: DataFrame, radius: float, cat_weights: Sequence[float], block_rows: int | None = None) -> DataFrame:
+    """For tables (id, nums, cats, t): (id, n, n_same, one_target), the references
+    within a Gower radius, those with the query's target, and whether all share
+    one target."""
+    size = block_rows or BLOCK_ROWS
+    ship(queries.sparkSession)
+    n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
+    cols = ["id", "nums", "cats", F.xxhash64("t").alias("t")]
+    left = queries.select(*cols, block(n_q).alias("qb"), every(n_r).alias("rb"))
+    right = refs.select(*cols, block(n_r).alias("rb"), every(n_q).alias("qb"))
+    right = right.toDF(*[f"r_{c}" for c in right.columns])
+    weights = np.array(cat_weights, float)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["id", "n", "n_same", "low", "high"]
+        if a.empty or b.empty:
+            return pd.DataFrame({c: [] for c in names})
+        num_b, cat_b = (np.stack(b[c].to_numpy()) for c in ("r_nums", "r_cats"))
+        t_b, out = b["r_t"].to_numpy(), []
+        for at in range(0, len(a), 256):
+            q = a.iloc[at : at + 256]
+            num_a, cat_a = (np.stack(q[c].to_numpy()) for c in ("nums", "cats"))
+            d = sum((np.abs(num_a[:, k, None] - num_b[None, :, k]) for k in range(num_a.shape[1])), np.zeros((len(q), len(b))))
+            d = d + sum((weights[k] * (cat_a[:, k, None] != cat_b[None, :, k]) for k in range(cat_a.shape[1])), np.zeros((len(q), len(b))))
+            hit = np.round(d, 9) <= radius
+            t_a = q["t"].to_numpy()
+            low = np.where(hit, t_b[None, :], np.iinfo(np.int64).max).min(axis=1)
+            high = np.where(hit, t_b[None, :], np.iinfo(np.int64).min).max(axis=1)
+            out.append(pd.DataFrame({"id": q["id"].to_numpy(), "n": hit.sum(axis=1), "n_same": (hit & (t_a[:, None] == t_b[None, :])).sum(axis=1), "low": low, "high": high}))
+        return pd.concat(out)
+
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInPandas(run, "id bigint, n bigint, n_same bigint, low bigint, high bigint")
+    merged = parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("n_same").alias("n_same"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return merged.select("id", "n", "n_same", ((F.col("n") > 0) & (F.col("low") == F.col("high"))).alias("one_target"))

@@ -84,7 +84,28 @@ def rapid_sql(p: Pair, key: str, metric: str) -> str:
         case when rapid < 0.05 then 'LOW' when rapid < 0.15 then 'MEDIUM' else 'HIGH' end as risk_level from z"""
 
 
+_RG = "rg as (select (max(c_nationkey) - min(c_nationkey))::double as rn from (select * from x union all select * from y))"
+_NEAR = "round((abs(a.c_nationkey - b.c_nationkey) / rn + (a.c_mktsegment <> b.c_mktsegment)::int) / 2, 9) <= 0.1"
+
+
+def gower_sql() -> str:
+    return f"""with {CUST.sql}, {_binned(CUST)}, {_RG}, base as (select max(n) / sum(n) as baseline from (select count(*) as n from yt group by t)),
+      m as (select a.c_custkey as id, count(b.c_custkey) as n, count(b.c_custkey) filter (a.t = b.t) as ns, count(distinct b.t) as nt from xt a cross join rg left join yt b on {_NEAR} group by 1),
+      c as (select *, ns / nullif(n, 0) as cap from m)
+      select round(avg(cap), 6) as cap, round(median(cap), 6) as cap_median, round(avg(cap) - any_value(baseline), 6) as dcap, count(cap) as n_matched, count(*) filter (n = 0) as n_unmatched,
+        count(*) filter (nt = 1 and cap = 1) as n_certain, count(*) filter (nt = 1) as n_disclosive, round(any_value(baseline), 6) as baseline from c, base"""
+
+
+def disco_gower_sql() -> str:
+    return f"""with {CUST.sql}, {_RG}, m as (select a.c_custkey as id, count(b.c_custkey) as n, count(b.c_custkey) filter (a.c_acctbal = b.c_acctbal) as ns, count(distinct b.c_acctbal) as nt
+      from y a cross join rg left join x b on {_NEAR} group by 1) select count(*) filter (ns > 0) as n_disco_potential, count(*) filter (nt = 1 and ns = n) as n_disco_certain, count(*) as n_synthetic from m"""
+
+
 QUERIES, SQL = {}, {}
+QUERIES["cap_gower"] = lambda s, d: rounded(A.cap_gower(*CUST.frames(s, d), CUST.id, CUST.keys, CUST.target).summary)
+SQL["cap_gower"] = gower_sql()
+QUERIES["disco_gower"] = lambda s, d: rounded(A.disco_gower(*CUST.frames(s, d), CUST.id, CUST.keys, CUST.target).summary)
+SQL["disco_gower"] = disco_gower_sql()
 for _name, _p in PAIRS.items():
     if _name != "line":
         QUERIES[f"dcap_exact_{_name}"] = lambda s, d, p=_p: rounded(A.dcap(*p.frames(s, d), p.id, p.keys, p.target).summary)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import linkage as L
+from ..operators import linkage as L, linkage_models as LM
 from .distance import RLNK, _perturbed
 from .pairs import rounded
 
@@ -106,6 +106,9 @@ QUERIES = {
     "linkage_top_at_risk": lambda s, d: rounded(L.top_at_risk(_result(s, d).records, 10).select("id", "risk")),
     "linkage_baseline": lambda s, d: rounded(L.baseline_linkage(_small(s, d)[0], "c_custkey", _KEYS, _result(s, d))),
     "linkage_bijective": lambda s, d: L.block_assignment(*_small(s, d), "c_custkey", _KEYS, ("c_nationkey", "c_mktsegment")),
+    "linkage_predictive": lambda s, d: rounded(LM.predictive_linkage(*_small(s, d), "c_custkey", _KEYS, strategy="topk", k=3, weighting="kernel", bandwidth=0.01).summary),
+    "linkage_embedding": lambda s, d: rounded(LM.embedding_linkage(*_small(s, d), "c_custkey", _KEYS).summary),
+    "linkage_forest": lambda s, d: rounded(LM.forest_linkage(*_small(s, d), "c_custkey", _KEYS, trees=10).summary),
     "linkage_transport": lambda s, d: rounded(L.block_assignment(*_small(s, d), "c_custkey", _KEYS, ("c_mktsegment",), how="ot")),
 }
 SQL = {
