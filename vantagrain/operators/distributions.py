@@ -280,11 +280,14 @@ def boxplot_stats(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFra
     return out.select(*group, "lower_whisker", q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"), "upper_whisker", "n_out")
 
 
-def ecdf_table(x: DataFrame, y: DataFrame, col: str) -> DataFrame:
-    """(v, ecdf_x, ecdf_y) at every pooled value."""
-    counts = running(value_counts({"x": x, "y": y}, col), "v", ["x", "y"])
-    totals = counts.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    return counts.join(F.broadcast(totals)).select("v", (F.col("run_x") / F.col("nx")).alias("ecdf_x"), (F.col("run_y") / F.col("ny")).alias("ecdf_y"))
+def ecdf_table(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, v, ecdf_x, ecdf_y) at every pooled value; null without rows."""
+    one = [*group] or ["_all"]
+    x, y = (x, y) if group else (d.withColumn("_all", F.lit(1)) for d in (x, y))
+    counts = running(value_counts({"x": x, "y": y}, col, one), "v", ["x", "y"], one)
+    totals = counts.groupBy(*one).agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
+    both = key_join(counts, totals, one, "inner")
+    return both.select(*group, "v", safe_div(F.col("run_x"), F.col("nx")).alias("ecdf_x"), safe_div(F.col("run_y"), F.col("ny")).alias("ecdf_y"))
 
 
 def copula_fidelity(x: DataFrame, y: DataFrame, cols: Sequence[str], *, n_grid: int = 50) -> MeasureResult:

@@ -132,6 +132,18 @@ def risk_utility_map(scores: DataFrame) -> DataFrame:
     return comp.join(_dominated(comp), "release", "left").withColumn("pareto", F.col("dominated").isNull()).drop("dominated")
 
 
+def reliability(scores: DataFrame) -> DataFrame:
+    """(kind, n_measures, alpha): Cronbach's alpha of the scaled measures."""
+    per = Window.partitionBy("kind", "measure")
+    low, high = F.min("value").over(per), F.max("value").over(per)
+    z = scores.withColumn("z", F.when(high > low, (F.col("value") - low) / F.nullif(high - low, F.lit(0.0))).otherwise(0.5))
+    parts = z.groupBy("kind", "measure").agg(F.var_samp("z").alias("v")).groupBy("kind").agg(F.sum("v").alias("parts"), F.count(F.lit(1)).alias("n_measures"))
+    whole = z.groupBy("kind", "release").agg(F.sum("z").alias("s")).groupBy("kind").agg(F.var_samp("s").alias("whole"))
+    k = F.col("n_measures")
+    alpha = F.when((k > 1) & (F.col("whole") > 0), k / F.nullif(k - 1, F.lit(0)) * (1 - F.col("parts") / F.nullif(F.col("whole"), F.lit(0.0))))
+    return parts.join(whole, "kind").select("kind", "n_measures", alpha.alias("alpha"))
+
+
 def _dominated(comp: DataFrame) -> DataFrame:
     """Releases that some other release beats, by one sorted sweep.
 
@@ -160,6 +172,11 @@ def score_release(pair: ReleasePair, name: str) -> list[tuple[str, str, str, flo
     return [(name, kind, m, float(v or 0.0)) for kind, m, v in out]
 
 
-def rumap(original: DataFrame, releases: dict[str, DataFrame], id_col: str, **roles) -> DataFrame:
+def release_scores(original: DataFrame, releases: dict[str, DataFrame], id_col: str, **roles) -> DataFrame:
+    """(release, kind, measure, value) of every release."""
     rows = [r for name, df in releases.items() for r in score_release(ReleasePair(original, df, id_col, **roles), name)]
-    return risk_utility_map(original.sparkSession.createDataFrame(rows, "release string, kind string, measure string, value double"))
+    return original.sparkSession.createDataFrame(rows, "release string, kind string, measure string, value double")
+
+
+def rumap(original: DataFrame, releases: dict[str, DataFrame], id_col: str, **roles) -> DataFrame:
+    return risk_utility_map(release_scores(original, releases, id_col, **roles))

@@ -65,14 +65,16 @@ def _fit(df: DataFrame, cols: Sequence[str], model) -> PipelineModel:
 
 def class_probabilities(train: DataFrame, score: DataFrame, cols: Sequence[str], target: str, kind: str, seed: int = 1) -> DataFrame:
     """``score`` with ``_p_true``, the probability given to the true class (0 for
-    a class that training did not have), and ``_hit``."""
+    a class that training did not have), ``_hit``, and ``_probs``, a map of the
+    probabilities of all classes that training had."""
     index = StringIndexer(inputCol="__t", outputCol="__y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train.withColumn("__t", F.col(target).cast("string")))
     k = len(index.labels)
     model = _fit(index.transform(train.withColumn("__t", F.col(target).cast("string"))), cols, classifier(kind, "__y", seed))
     out = model.transform(index.transform(score.withColumn("__t", F.col(target).cast("string"))))
     p = F.coalesce(F.get(vector_to_array("probability"), F.col("__y").cast("int")), F.lit(0.0))
     out = out.withColumns({"_p_true": F.when(F.col("__y") < k, p).otherwise(0.0), "_hit": F.col("prediction") == F.col("__y")})
-    return out.select(*score.columns, "_p_true", "_hit")
+    every = F.map_from_arrays(F.array(*map(F.lit, index.labels)), F.slice(vector_to_array("probability"), 1, k))
+    return out.select(*score.columns, "_p_true", "_hit", every.alias("_probs"))
 
 
 def rapid(
@@ -110,7 +112,7 @@ def rapid(
             "marginal": F.when(share < 1, (g - share) / (1 - share)).otherwise(0.0),
             "nce": 1 + F.log(F.greatest(g, F.lit(1e-10))) / math.log(max(2, k)),
         }[cat_eval]
-        records = joined.select(id_col, *keys, F.col(target).alias("actual"), g.alias("predicted"), score.alias("score"), "_hit").withColumn("at_risk", F.col("score") > cat_tau)
+        records = joined.select(id_col, *keys, F.col(target).alias("actual"), g.alias("predicted"), score.alias("score"), "_hit", "_probs").withColumn("at_risk", F.col("score") > cat_tau)
         fit = F.avg(F.col("_hit").cast("int")).alias("fit")
     n, hit = F.count(F.lit(1)), F.count_if("at_risk")
     return MeasureResult(records.agg(F.try_divide(hit, n).alias("rapid"), hit.alias("n_at_risk"), F.try_divide(100 * hit, n).alias("pct_at_risk"), n.alias("n_records"), fit), records)
@@ -140,29 +142,54 @@ def rapid_bootstrap(records: DataFrame, id_col: str, *, level: float = 0.95, n_b
 _POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
 
 
-def rapid_test(records: DataFrame, id_col: str, *, cat_tau: float = 0.3, n_permutations: int = 99, seed: int = 1) -> DataFrame:
-    """Permutation test of the categorical, marginally scored risk.
+def _null_rounds(records: DataFrame, id_col: str, rounds: int, seed: int) -> tuple[DataFrame, dict]:
+    """(b, g, share): the marginal score's parts under exchanged classes.
 
-    Under the null the true classes are exchanged among records.  As the score
-    needs the probability of the exchanged class, records are paired with
-    another record's class by a hashed shift: each round a record draws a class
-    by the class shares, all rounds in one pass over records and classes.
+    A record draws its class in each round from the class shares by a hash of
+    its id, which needs no shuffle of the records; its probability of the drawn
+    class is the model's.
     """
-    shares = records.groupBy(F.col("actual").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     total = records.count()
-    rows = sorted(((r.c, r.n / total) for r in shares.collect()), key=lambda r: r[0])  # one row a class
+    shares = {r.c: r.n / total for r in records.groupBy(F.col("actual").cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
     u = F.pmod(F.xxhash64(id_col, "b", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    drawn, at = F.lit(rows[-1][0]), 1.0
-    for c, s in reversed(rows[:-1]):
-        at = at - rows[[r[0] for r in rows].index(c) + 1][1]
+    names = sorted(shares)
+    drawn, at = F.lit(names[-1]), 1.0
+    for c, after in zip(reversed(names[:-1]), reversed(names[1:]), strict=True):
+        at -= shares[after]
         drawn = F.when(u < at, F.lit(c)).otherwise(drawn)
-    share = F.element_at(F.create_map(*[F.lit(v) for r in rows for v in r]), F.col("d"))
-    rounds = records.select(id_col, "actual", "predicted", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("b")).withColumn("d", drawn)
-    other = (1 - F.col("predicted")) / max(1, len(rows) - 1)  # what is left, shared evenly
-    g = F.when(F.col("d") == F.col("actual"), F.col("predicted")).otherwise(other)
-    per = rounds.withColumn("hit", (g - share) / (1 - share) > cat_tau).groupBy("b").agg(F.avg(F.col("hit").cast("int")).alias("r"))
-    own = F.element_at(F.create_map(*[F.lit(v) for r in rows for v in r]), F.col("actual"))
-    observed = records.agg(F.avg((((F.col("predicted") - own) / (1 - own)) > cat_tau).cast("int")).alias("o"))
+    every = records.select(id_col, "_probs", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).withColumn("d", drawn)
+    share = F.element_at(F.create_map(*[F.lit(v) for c in names for v in (c, shares[c])]), F.col("d"))
+    return every.select("b", F.coalesce(F.try_element_at("_probs", F.col("d")), F.lit(0.0)).alias("g"), share.alias("share")), shares
+
+
+def rapid_threshold_select(records: DataFrame, id_col: str, thresholds: Sequence[float], *, n_permutations: int = 99, alpha: float = 0.05, seed: int = 1) -> DataFrame:
+    """(threshold, observed, null_quantile, null_mean, p_value, exceeds, selected)
+    for marginal scores; selected is the largest threshold whose observed risk
+    exceeds the null quantile.  All rounds and thresholds are one pass."""
+    rounds, _ = _null_rounds(records, id_col, n_permutations, seed)
+    score = (F.col("g") - F.col("share")) / (1 - F.col("share"))
+    per = rounds.groupBy("b").agg(*[F.avg((score > t).cast("int")).alias(f"r{k}") for k, t in enumerate(thresholds)])
+    nulls = [[r[f"r{k}"] for k in range(len(thresholds))] for r in per.collect()]  # one row a round
+    own = records.agg(*[F.avg((F.col("score") > t).cast("int")).alias(f"r{k}") for k, t in enumerate(thresholds)]).first()
+    rows, chosen = [], None
+    for k, t in enumerate(thresholds):
+        values = sorted(n[k] for n in nulls)
+        at = (1 - alpha) * (len(values) - 1)
+        q = values[int(at)] + (values[min(len(values) - 1, int(at) + 1)] - values[int(at)]) * (at - int(at))
+        p = (1 + sum(v >= own[k] for v in values)) / (1 + len(values))
+        rows.append([float(t), own[k], q, sum(values) / len(values), p, own[k] > q])
+        chosen = t if own[k] > q else chosen
+    out = [(*r, r[0] == chosen) for r in rows]
+    return records.sparkSession.createDataFrame(out, "threshold double, observed double, null_quantile double, null_mean double, p_value double, exceeds boolean, selected boolean")
+
+
+def rapid_test(records: DataFrame, id_col: str, *, cat_tau: float = 0.3, n_permutations: int = 99, seed: int = 1) -> DataFrame:
+    """Test of the categorical, marginally scored risk: the model and its
+    predictions stay, true classes are drawn anew."""
+    rounds, _ = _null_rounds(records, id_col, n_permutations, seed)
+    hit = (F.col("g") - F.col("share")) / (1 - F.col("share")) > cat_tau
+    per = rounds.groupBy("b").agg(F.avg(hit.cast("int")).alias("r"))
+    observed = records.agg(F.avg((F.col("score") > cat_tau).cast("int")).alias("o"))
     return per.join(observed).agg(
         F.first("o").alias("statistic"), ((1 + F.count_if(F.col("r") >= F.col("o"))) / (1 + F.count(F.lit(1)))).alias("p_value"),
         F.avg("r").alias("null_mean"), F.stddev_samp("r").alias("null_sd"),
@@ -423,6 +450,12 @@ def model_quality(original: DataFrame, released: DataFrame, id_col: str, cols: S
     return original.sparkSession.createDataFrame(rows, "model string, performance_x double, performance_y double, ratio double")
 
 
+def model_performance(original: DataFrame, released: DataFrame, id_col: str, cols: Sequence[str], target: str, *, kind: str = "cart", folds: int = 3) -> DataFrame:
+    """One row (performance_x, performance_y, difference) of one learner."""
+    a, b = (cross_validated(d, id_col, cols, target, kind, folds=folds) for d in (original, released))
+    return scalar_row(original.sparkSession, performance_x=a, performance_y=b, difference=b - a)
+
+
 def feature_importance(original: DataFrame, released: DataFrame, cols: Sequence[str], target: str, *, seed: int = 1) -> DataFrame:
     """(feature, importance_x, importance_y, abs_difference) of forests on both sides."""
     sides = []

@@ -27,7 +27,7 @@ def _report(s, d):
     return rounded(W.disclosure_report(pair, [m for m in W.checks() if m not in ("rapid", "linkability", "nnaa", "domias")])[0])
 
 
-def _rumap(s, d):
+def _releases(s, d):
     df = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
     x = df.filter(F.col("o_orderkey") % 4 == 0)
     releases = {
@@ -36,7 +36,18 @@ def _rumap(s, d):
         "noisy": x.withColumn("o_totalprice", F.col("o_totalprice") * (0.9 + 0.2 * (F.col("o_orderkey") % 5) / 4)),
         "shifted": df.filter(F.col("o_orderkey") % 4 == 3).withColumn("o_totalprice", F.col("o_totalprice") + 50000),
     }
-    return rounded(W.rumap(x, releases, "o_orderkey", keys=["o_orderstatus", "o_orderpriority"], target="o_totalprice", cols=["o_orderstatus", "o_orderpriority", "o_totalprice"]))
+    roles = {"keys": ["o_orderstatus", "o_orderpriority"], "target": "o_totalprice", "cols": ["o_orderstatus", "o_orderpriority", "o_totalprice"]}
+    return x, releases, roles
+
+
+def _rumap(s, d):
+    x, releases, roles = _releases(s, d)
+    return rounded(W.rumap(x, releases, "o_orderkey", **roles))
+
+
+def _reliability(s, d):
+    x, releases, roles = _releases(s, d)
+    return rounded(W.reliability(W.release_scores(x, releases, "o_orderkey", **roles)))
 
 
 def _synth(df):
@@ -87,6 +98,9 @@ QUERIES = {
     "mahalanobis_between": lambda s, d: rounded(_mahalanobis(s, d)),
     "disclosure_report": _report,
     "risk_utility_map": _rumap,
+    "measure_reliability": _reliability,
+    "rapid_threshold_select": lambda s, d: rounded(M.rapid_threshold_select(_rapid_cat(s, d, cat_eval="marginal").records, "o_orderkey", [k / 20 for k in range(1, 20)], n_permutations=19)),
+    "model_performance": lambda s, d: rounded(M.model_performance(*PART.frames(s, d), "p_partkey", ("p_size", "p_type"), "p_retailprice")),
 }
 
 

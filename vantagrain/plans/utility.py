@@ -259,6 +259,9 @@ QUERIES = {
     "density_histogram": lambda s, d: rounded(D.density_histogram(*LINE.frames(s, d), "l_extendedprice").drop("upper"), 9).selectExpr("bin", "round(lower, 4) as lower", "density_x", "density_y"),
     "boxplot": lambda s, d: rounded(D.boxplot_stats(LINE.frames(s, d)[0], "l_extendedprice", ["l_returnflag"]), 4),
     "ecdf": lambda s, d: rounded(D.ecdf_table(*CUST.frames(s, d), "c_acctbal")),
+    "ecdf_by_group": lambda s, d: rounded(D.ecdf_table(*CUST.frames(s, d), "c_acctbal", ["c_mktsegment"])),
+    "hill_tail_index": lambda s, d: rounded(D.one_row(CUST.frames(s, d)[0], hill=D.hill_estimator(ORD.frames(s, d)[0], "o_totalprice"))),
+    "huber_location": lambda s, d: rounded(D.one_row(CUST.frames(s, d)[0], huber=D.huber(CUST.frames(s, d)[0], "c_acctbal"), mad=D.median_absolute_deviation(CUST.frames(s, d)[0], "c_acctbal"))),
     "tail_fidelity": lambda s, d: rounded(D.tail_fidelity(*LINE.frames(s, d), ("l_quantity", "l_extendedprice")).groups),
     "copula_fidelity": lambda s, d: rounded(D.copula_fidelity(*CUST.frames(s, d), CUST.num, n_grid=20).groups, 9),
     "regression_fidelity": lambda s, d: rounded(D.regression_fidelity(*LINE.frames(s, d), "l_quantity", "l_extendedprice").groups.drop("ci_overlap", "sig_agree"), 4),
@@ -276,6 +279,8 @@ SQL = {
     "outliers_iqr": outlier_sql(PART, PART.num, "iqr"), "missing_percentage": missing_sql(_NULLS, _NC),
     "missing_patterns": f"with {_NULLS.sql} select concat({', '.join(f'''case when {c} is null then 'M' else 'O' end''' for c in _NC)}) as pattern, count(*) as n from x group by 1",
     "density_histogram": hist_sql(LINE, "l_extendedprice", 30), "boxplot": box_sql(LINE, "l_extendedprice", "l_returnflag"), "ecdf": ecdf_sql(CUST, "c_acctbal"),
+    "ecdf_by_group": f"""with {CUST.sql}, v as (select c_mktsegment, c_acctbal::double as v, sum(a)::double as a, sum(b)::double as b from (select c_mktsegment, c_acctbal, 1 as a, 0 as b from x union all select c_mktsegment, c_acctbal, 0, 1 from y) group by 1, 2)
+      select c_mktsegment, v, round(sum(a) over (partition by c_mktsegment order by v) / sum(a) over (partition by c_mktsegment), 6) as ecdf_x, round(sum(b) over (partition by c_mktsegment order by v) / sum(b) over (partition by c_mktsegment), 6) as ecdf_y from v""",
     "tail_fidelity": tail_sql(LINE, ("l_quantity", "l_extendedprice")), "copula_fidelity": copula_sql(CUST, CUST.num, 20),
     "regression_fidelity": regr_sql(LINE, "l_quantity", "l_extendedprice"), "pmse_saturated": pmse_sql(PART, ("p_brand", "p_type")),
 }
