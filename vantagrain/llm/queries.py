@@ -71,7 +71,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", *quality_rules.REPORTED, "base_failed", "kept", "reason")
+    return judged.select("doc_id", *quality_rules.REPORTED, "base_failed", "kept")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +187,37 @@ select doc_id, size, text_crc32, 'key' as law, (-a)::int as shard,
 from sums
 """
 
-OP6_SQL = None  # own rules and windows of words: tested against brute force
+OP6_SQL = r"""
+with words as (
+  select doc_id, row_number() over () as r, coalesce(text, '') as t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), base as (
+  select *, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    (length(t) - length(replace(t, '!!', ''))) / 2 as shouts, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as upper,
+    length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) as lower,
+    len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) as stutters, len(list_distinct(w)) as n_distinct
+  from words
+), starts as (
+  select r, w, unnest(range(1, len(w) - 6)) as s from words where len(w) >= 8
+), again as (
+  select r, s, count(*) over (partition by r, array_to_string(w[s : s + 7], ' ')) as n from starts
+), inside as (
+  select r, count(distinct p)::bigint as n_repeat_words from (select r, unnest(range(s, s + 8)) as p from again where n > 1) group by r
+), judged as (
+  select doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines) as n_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, shouts, upper, lower, stutters, n_distinct
+  from base left join inside using (r)
+), failed as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from judged
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or n_symbols > 0.2::double * n_words or shouts > 0.3::double * n_words or upper / greatest(1, upper + lower) > 0.6::double
+    or word_chars / greatest(1, n_words) not between 2 and 25 or n_dup_lines > 0.5::double * n_lines or stutters > 0.3::double * n_words
+    or (n_words >= 50 and n_distinct < 0.1::double * pow(n_words, 0.9::double))) as kept
+from failed
+"""
 
 OP10_SQL = r"""
 with words as (
@@ -210,4 +240,4 @@ with words as (
 select doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) as kept_sha256 from kept
 """
 
-SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL, "op4_sharding": OP4_SQL, "op10_substring": OP10_SQL}
+SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL, "op4_sharding": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_substring": OP10_SQL}
