@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.special import chi2_ppf
 from .common import MeasureResult, complete, quantiles, scalar_row
-from .distributions import covariance
 
 
 def bandwidth(df: DataFrame, col: str) -> float:
@@ -302,6 +301,3 @@ def mutual_information_distance(x: DataFrame, y: DataFrame, cols: Sequence[str],
     part = lambda a: F.when(a > 0, a * F.log(a / m)).otherwise(0.0)
     return both.join(F.broadcast(totals)).agg((0.5 * F.sum(part(p)) + 0.5 * F.sum(part(q))).alias("distance"))
 
-
-def covariance_of(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    return covariance(df, cols)[1]

@@ -31,9 +31,7 @@ def wasserstein(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = (),
         a, b = quantiles(x, col, grid), quantiles(y, col, grid)
         gap = float(np.mean(np.abs(np.array(a) - np.array(b)))) if a and b else None
         return x.sparkSession.createDataFrame([(gap,)], "wasserstein double")
-    probs = F.transform(F.sequence(F.lit(0), F.lit(n_grid - 1)), lambda k: k / (n_grid - 1))
     sides = [df.groupBy(*group).agg(F.percentile(col, F.array(*map(F.lit, grid))).alias(f"q{n}")) for n, df in enumerate((x, y))]
-    del probs
     both = key_join(sides[0], sides[1], group, "inner")
     gaps = F.zip_with("q0", "q1", lambda a, b: F.abs(a - b))
     return both.select(*group, (F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v) / n_grid).alias("wasserstein"))

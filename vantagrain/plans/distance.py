@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import distance as D
 from ..operators.common import quantiles
-from .pairs import CUST, LINE, PART, Pair, rounded
+from .pairs import CUST, LINE, PART, rounded
 
 _COLS = ("c_nationkey", "c_acctbal", "c_mktsegment")
 
@@ -89,7 +89,6 @@ RLNK = "x as (select * from customer), y as (select c_custkey, c_acctbal + (c_cu
 _PNUM = ("p_size", "p_retailprice")
 DRISK_SQL = f"""with {PART.sql}, w as (select count(*) as n, {', '.join(f'0.01 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / pow(2 * count(*), 1 / 3) as w_{c}' for c in ('p_size', 'p_retailprice'))} from x),
   r as (select count(*) as k from x, w where exists (select 1 from y where {' and '.join(f'abs(x.{c} - y.{c}) <= w_{c}' for c in _PNUM)})) select round(k / n, 6) as drisk_interval, k as n_at_risk, n as n_original from r, w"""
-_Z = "(a.c_nationkey - b.c_nationkey) / sn, (a.c_acctbal - b.c_acctbal) / sa"
 _ED = "sqrt(((a.c_nationkey - b.c_nationkey) / sn) ** 2 + ((a.c_acctbal - b.c_acctbal) / sa) ** 2)"
 ENERGY_SQL = f"""with {CUST.sql}, s as (select stddev_samp(c_nationkey) as sn, stddev_samp(c_acctbal) as sa from (select * from x union all select * from y)),
   v as (select (select avg({_ED}) from x a, y b, s) as xy, (select avg({_ED}) from x a, x b, s where a.c_custkey <> b.c_custkey) as xx, (select avg({_ED}) from y a, y b, s where a.c_custkey <> b.c_custkey) as yy)
