@@ -157,7 +157,7 @@ def _grouped(
     label = nodes.join(known, "_fp", "left").select(
         "_fp", F.coalesce("_root", "_fp").alias("_root"), F.coalesce("_comp", "_least").alias("_comp")
     )
-    return rows, label
+    return rows, written(label, "simhash-labels")
 
 
 def near_duplicates(
