@@ -158,6 +158,8 @@ def judge(
     own: tuple[Rule, ...] = OWN,
     report: bool = True,
     sample_rows: int = 500,
+    prefix: str = "",
+    batch: int = 512,
 ) -> DataFrame:
     """``docs`` with a verdict on every whole text.
 
@@ -169,7 +171,8 @@ def judge(
 
     Null texts count as empty; an empty text has no words and fails the base;
     repeated rows get equal verdicts; an empty table gives an empty result.
-    Input columns of the names added here are replaced.
+    ``prefix`` goes before the added names; input columns of these names are
+    replaced, and the text must not be one of them.
     """
     ship(docs.sparkSession)
     first = [*base]
@@ -178,12 +181,14 @@ def judge(
     cascade = [rules[k] for k in order]
     n_base = {id(r) for r in first}
     added = [*(REPORTED if report else ()), "base_failed", "kept", "reason"]
-    carried = [c for c in docs.columns if c not in added]
+    names = [prefix + a for a in added]
+    carried = [c for c in docs.columns if c not in names]
+    at_text = carried.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, batch) for whole in batches for at in range(0, whole.num_rows, batch)):
             found: dict[str, list] = {a: [] for a in added}
-            for raw in b.column(b.num_columns - 1).to_pylist():
+            for raw in b.column(at_text).cast(pa.binary()).to_pylist():
                 t = Text(raw)
                 failed: bool | None = None
                 reason = None
@@ -200,15 +205,15 @@ def judge(
                 found["base_failed"].append(failed)
                 found["kept"].append(reason is None)
                 found["reason"].append(reason)
-            arrays = [*b.columns[:-1], *(pa.array(found[a], kinds[a]) for a in added)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *added])
+            arrays = [*b.columns, *(pa.array(found[a], kinds[a]) for a in added)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
 
     kinds = {m: pa.int64() for m in REPORTED} | {"base_failed": pa.bool_(), "kept": pa.bool_(), "reason": pa.string()}
     from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
     sparks = {pa.int64(): LongType(), pa.bool_(): BooleanType(), pa.string(): StringType()}
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    schema = StructType([*[docs.schema[c] for c in carried], *[StructField(a, sparks[kinds[a]]) for a in added]])
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried])
+    schema = StructType([*[docs.schema[c] for c in carried], *[StructField(n, sparks[kinds[a]]) for n, a in zip(names, added, strict=True)]])
     return rows.mapInArrow(run, schema)
 
 
@@ -217,5 +222,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
 
     Only the verdict is needed here, so the whole cascade short-circuits.
     """
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), F.col(f"`{text_col}`").alias("__t"))
-    return judge(marked, "__t", report=False, **params).filter("kept").select("__all.*")
+    judged = judge(docs, text_col, report=False, prefix="__q_", **params)
+    return judged.filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
