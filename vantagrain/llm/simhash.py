@@ -150,14 +150,19 @@ def _grouped(
         raise ValueError("radius must be 0, 2, 4 or 6")
     rows = written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fingerprints")
     nodes = written(rows.groupBy("_fp").agg(F.min("_id").alias("_least")), "simhash-nodes")
-    roots = written(components(links(nodes.select("_fp"), radius, bucket_limit)), "simhash-roots")
+    return rows, labels(nodes, links(nodes.select("_fp"), radius, bucket_limit))
+
+
+def labels(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(_fp, _root, _comp) of every node (_fp, _least) under the links (u, v)."""
+    roots = written(components(found), "simhash-roots")
     linked = nodes.join(roots, nodes["_fp"] == roots["node"])
     comps = linked.groupBy("root").agg(F.min("_least").alias("_comp"))
     known = linked.join(comps, "root").select("_fp", F.col("root").alias("_root"), "_comp")
     label = nodes.join(known, "_fp", "left").select(
         "_fp", F.coalesce("_root", "_fp").alias("_root"), F.coalesce("_comp", "_least").alias("_comp")
     )
-    return rows, written(label, "simhash-labels")
+    return written(label, "simhash-labels")
 
 
 def near_duplicates(
@@ -204,6 +209,11 @@ def keep_one_of_each(
     and values stay as they are; see near_duplicates for null and empty texts.
     """
     rows, label = _grouped(docs, id_col, text_col, shingle, radius, seed, bucket_limit)
+    return keep_best(docs, rows, label, id_col)
+
+
+def keep_best(docs: DataFrame, rows: DataFrame, label: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that stand for a component."""
     order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")
     best = rows.join(label, "_fp").groupBy("_root").agg(F.min(order).alias("_best"))
     best = best.select("_best._id", "_best._row")
