@@ -135,6 +135,34 @@ def nearest(
     return merged.select("id", known("d1").alias("d1"), F.col("best.d1_id").alias("d1_id"), known("d2").alias("d2"), "n_within", "sum_d", "n_refs")
 
 
+def kernel_sum(queries: DataFrame, refs: DataFrame, sigma: float, block_rows: int | None = None) -> float:
+    """Sum of the Gaussian kernel over all pairs of rows of tables (id, nums)."""
+    size = block_rows or BLOCK_ROWS
+    ship(queries.sparkSession)
+    n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
+    left = queries.select("nums", block(n_q).alias("qb"), every(n_r).alias("rb"))
+    right = refs.select("nums", block(n_r).alias("rb"), every(n_q).alias("qb"))
+    right = right.toDF(*[f"r_{c}" for c in right.columns])
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"s": []})
+        num_a, num_b = np.stack(a["nums"].to_numpy()), np.stack(b["r_nums"].to_numpy())
+        total, step = 0.0, max(1, 4_000_000 // len(num_b))
+        for at in range(0, len(num_a), step):
+            part = num_a[at : at + step]
+            d2 = np.zeros((len(part), len(num_b)))
+            for k in range(part.shape[1]):
+                d2 += (part[:, k, None] - num_b[None, :, k]) ** 2
+            total += float(np.exp(d2 / (-2 * sigma**2)).sum())
+        return pd.DataFrame({"s": [total]})
+
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInPandas(run, "s double")
+    return float(parts.agg(F.sum("s")).first()[0] or 0.0)
+
+
 def vectors(df: DataFrame, id_col: str, cols: Sequence[str], spans: dict[str, float], weights: dict[str, float] | None = None) -> DataFrame:
     """Table (id, nums, cats) for Gower distances."""
     nums, cats = gower_vector(df, cols, spans, weights)

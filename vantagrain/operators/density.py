@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.special import chi2_ppf
+from .blocks import kernel_sum
 from .common import MeasureResult, complete, quantiles, scalar_row
 
 
@@ -263,21 +264,23 @@ def ci_overlap(x: DataFrame, y: DataFrame, id_col: str, estimator: Callable[[Dat
     return scalar_row(x.sparkSession, m_x=m1, m_y=m2, lower_x=float(l1), upper_x=float(u1), lower_y=float(l2), upper_y=float(u2), overlap_perc=100 * inter / union if union else 100.0 * (m1 == m2), ratio_se=s2 / s1 if s1 else float("nan"))
 
 
-def mmd_exact(x: DataFrame, y: DataFrame, id_col: str, cols: Sequence[str], *, max_rows: int = 2000, sigma: float | None = None) -> DataFrame:
-    """Unbiased squared maximum mean discrepancy on a bounded sample of each
-    side, after pooled z-scores; the bandwidth is the median distance."""
-    a, b = (bounded_sample(d, id_col, cols, max_rows) for d in (x, y))
-    both = np.concatenate((a, b))
-    sd = both.std(axis=0, ddof=1)
-    a, b = ((v - both.mean(axis=0)) / np.where(sd > 0, sd, 1) for v in (a, b))
-    dist = lambda u, v: np.sqrt(np.maximum(0, ((u[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)))
-    daa, dbb, dab = dist(a, a), dist(b, b), dist(a, b)
+def mmd_exact(x: DataFrame, y: DataFrame, id_col: str, cols: Sequence[str], *, heuristic_rows: int = 2000, sigma: float | None = None) -> DataFrame:
+    """Unbiased squared maximum mean discrepancy over all pairs of rows, after
+    pooled z-scores.  The bandwidth is the median distance; only that heuristic
+    looks at ``heuristic_rows`` pooled rows at most."""
+    x, y = complete(x, cols), complete(y, cols)
+    both = x.select(id_col, *cols).unionByName(y.select(id_col, *cols))
+    m = both.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s{k}") for k, c in enumerate(cols)]).first()
+    mean, sd = [float(m[f"m{k}"]) for k in range(len(cols))], [float(m[f"s{k}"] or 1.0) for k in range(len(cols))]
     if sigma is None:
-        pooled = np.concatenate((daa[np.triu_indices(len(a), 1)], dbb[np.triu_indices(len(b), 1)], dab.ravel()))
-        sigma = float(np.median(pooled)) or 1.0
-    k = lambda d: np.exp(-(d**2) / (2 * sigma**2))
-    n, m = len(a), len(b)
-    mmd2 = float((k(daa).sum() - n) / (n * (n - 1)) + (k(dbb).sum() - m) / (m * (m - 1)) - 2 * k(dab).mean())
+        pts = (bounded_sample(both, id_col, cols, heuristic_rows) - mean) / sd
+        dist = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2))
+        sigma = float(np.median(dist[np.triu_indices(len(pts), 1)])) or 1.0
+    z = lambda d: d.select(F.col(id_col).cast("bigint").alias("id"), F.array(*[(F.col(c).cast("double") - mean[k]) / sd[k] for k, c in enumerate(cols)]).alias("nums"))
+    zx, zy = z(x), z(y)
+    n, k = zx.count(), zy.count()
+    xx, yy, xy = (kernel_sum(a, b, sigma) for a, b in ((zx, zx), (zy, zy), (zx, zy)))
+    mmd2 = (xx - n) / (n * (n - 1)) + (yy - k) / (k * (k - 1)) - 2 * xy / (n * k)  # a row with itself counts one
     return scalar_row(x.sparkSession, mmd2=mmd2, sigma=sigma, utility_score=min(1.0, max(0.0, math.exp(-max(0.0, mmd2) / sigma**2))))
 
 

@@ -93,7 +93,7 @@ QUERIES = {
     "robust_outliers": lambda s, d: Y.robust_outliers(CUST.frames(s, d)[0], "c_custkey", CUST.num).groupBy("outlier").count(),
     "dbscan_noise": lambda s, d: Y.dbscan_noise(CUST.frames(s, d)[0].withColumn("b", F.col("c_acctbal") / 500), "c_custkey", ("b", "c_nationkey"), eps=1.0).groupBy("core", "noise").agg(F.count(F.lit(1)).alias("n")),
     "ci_overlap_bootstrap": lambda s, d: rounded(Y.ci_overlap(*CUST.frames(s, d), "c_custkey", lambda f: f.agg(F.median("c_acctbal")).first()[0], rounds=5)),
-    "mmd_exact": lambda s, d: rounded(Y.mmd_exact(*CUST.frames(s, d), "c_custkey", CUST.num, max_rows=500)),
+    "mmd_exact": lambda s, d: rounded(Y.mmd_exact(*CUST.frames(s, d), "c_custkey", CUST.num)),
     "histogram_divergence": lambda s, d: rounded(Y.mutual_information_distance(*CUST.frames(s, d), CUST.num)),
     "mahalanobis_between": lambda s, d: rounded(_mahalanobis(s, d)),
     "disclosure_report": _report,
