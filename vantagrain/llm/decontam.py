@@ -1,44 +1,60 @@
 """Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
-1. Scan.  Word sequences of ``gram`` words of the corpus that the test items may
-   hold are found with a Bloom filter of fixed size; around them the scan cuts
-   passages, so only those and not whole texts travel further.
-2. Seeds.  The corpus frequency of each item gram is the number of rows with it;
-   an item's seeds are the rarer share of its grams, by rank and not by a limit,
-   so an item that very many rows hold keeps its seeds.
-3. Join.  Passages meet items on their seeds.
-4. Align.  Local alignment of words scores each pair; insertions, deletions and
+A document holds a copy of a test item if words of it align with the item to a
+score of at least ``min_score`` of the item's with itself.  Seeds are word pairs
+that an item has at a distance of one or two words, and no copy can do without
+them: an alignment of M matched words and E edits scores 2M - E >= 2 * min_score
+* n for an item of n words; where two consecutive matches are more than one word
+apart on either side, that costs two edits or more; hence at least
+``min_score * n - 1`` consecutive matches are such pairs on both sides.  So at
+least that many positions of the item begin a pair that the document has too,
+and of any ``s`` positions all but the missing rest do.
+
+1. Scan.  The pairs of every document that the items may hold (a Bloom filter of
+   fixed size) are written with their positions.
+2. Seeds.  Pairs are counted over all documents; an item's seeds are the rarest
+   ``seed_share`` of its positions, by rank and not by a limit.  Items too short
+   for pairs are found by their single words.
+3. Join.  Hits meet items on seeds; a stretch of a document with fewer different
+   positions than an alignment must have there is no candidate.
+4. Align.  Local alignment scores each candidate; insertions, deletions and
    replaced words cost a little, so edited and paraphrased copies score too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from xxhash import xxh3_64_intdigest
 
-from .runtime import ship, written
-from .words import U, windows, word_hashes
+from .runtime import bare, named, place, row_keys, ship, written
+from .words import BASES, U, mix, word_hashes
 
 _WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words in a cell of the grid by which passages travel to their alignments.
+CELL = 256
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: str | None) -> list[str]:
     """Lower-case words without punctuation."""
-    return [w.encode() for w in _WORD.findall((text or "").lower())]
+    return _WORD.findall((text or "").lower())
 
 
-def grams(words: list[bytes], n: int) -> np.ndarray:
-    """A hash for every n consecutive words; one for all words if there are fewer."""
-    return windows(word_hashes(words), min(n, len(words))) if words else np.zeros(0, U)
+def seeds_at(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the single words, and of the pairs one and two words apart that
+    begin at each word (the last one or two words have none)."""
+    turned = hashes * U(BASES[0])
+    return mix(hashes), mix(turned[:-1] + hashes[1:]), mix(turned[:-2] + hashes[2:])
 
 
 class Bloom:
-    """Two bits for each hash in a bitmap of fixed size, as sorted-free numpy."""
+    """Two bits for each hash in a bitmap of fixed size."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -56,11 +72,21 @@ class Bloom:
         return ((self.bits[a >> 3] >> (a & 7).astype(np.uint8)) & (self.bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1) > 0
 
 
+def _next_row(up: np.ndarray, word: int, passage: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The table's row of an item's word; linear gap cost makes it a running maximum."""
+    best = np.zeros(len(up), np.int64)
+    best[1:] = np.maximum(up[:-1] + np.where(passage == word, MATCH, MISMATCH), up[1:] + GAP)
+    np.maximum(best, 0, out=best)
+    return np.maximum.accumulate(best + steps) - steps
+
+
 def align(item: list, passage: list) -> tuple[int, int, int, int]:
     """Smith-Waterman over words: (score, matched words, start, end) in the passage.
 
-    Linear gap cost, so a row of the table is a running maximum.  Of the best
-    alignments the one that ends first in the passage, then in the item, counts.
+    Of the best alignments the one that ends first in the passage, then in the
+    item, counts; on the way back a pair goes before a skipped word of the item
+    and that before one of the passage.  Memory is linear in the passage, and the
+    way back keeps one row in about the square root of the item's length.
     """
     m, n = len(item), len(passage)
     if not m or not n:
@@ -69,51 +95,109 @@ def align(item: list, passage: list) -> tuple[int, int, int, int]:
     a = np.array([code.setdefault(w, len(code)) for w in item])
     b = np.array([code.setdefault(w, len(code)) for w in passage])
     steps = np.arange(n + 1) * -GAP
-    table = np.zeros((m + 1, n + 1), np.int64)
+    row = np.zeros(n + 1, np.int64)
+    top, where = row.copy(), row.copy()
     for i in range(1, m + 1):
-        up = table[i - 1]
-        best = np.zeros(n + 1, np.int64)
-        best[1:] = np.maximum(up[:-1] + np.where(b == a[i - 1], MATCH, MISMATCH), up[1:] + GAP)
-        np.maximum(best, 0, out=best)
-        table[i] = np.maximum.accumulate(best + steps) - steps
-    score = int(table.max())
+        row = _next_row(row, a[i - 1], b, steps)
+        better = row > top
+        top[better], where[better] = row[better], i
+    score = int(top.max())
     if not score:
         return 0, 0, 0, 0
-    j = int(np.flatnonzero(table.max(axis=0) == score)[0])
-    i = int(np.flatnonzero(table[:, j] == score)[0])
-    end, matched = j, 0
-    while table[i, j] > 0:
-        same = a[i - 1] == b[j - 1]
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += int(same)
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, matched, j, end
-
-
-def _item_grams(items: DataFrame, item_id: str, item_text: str, n: int) -> DataFrame:
-    """(_item, _n, _g): every gram of every item; _n is the item's number of words."""
+    end = int(np.flatnonzero(top == score)[0])
+    # an alignment with a positive score spans fewer than 3m words, and so does any that it ties with
+    base = max(0, end - 6 * m)
+    b, steps = b[base:end], steps[: end - base + 1]
+    i, j, matched = int(where[end]), end - base, 0
+    every = math.isqrt(i) + 1
+    kept, row = [np.zeros(len(b) + 1, np.int64)], np.zeros(len(b) + 1, np.int64)
+    for k in range(1, i):
+        row = _next_row(row, a[k - 1], b, steps)
+        if k % every == 0:
+            kept.append(row)
+    while True:
+        first = (i - 1) // every
+        table = [kept[first]]
+        for k in range(first * every, i):
+            table.append(_next_row(table[-1], a[k], b, steps))
+        low = first * every
+        while i > low and table[i - low][j] > 0:
+            here, above = table[i - low], table[i - low - 1]
+            same = a[i - 1] == b[j - 1]
+            if here[j] == above[j - 1] + (MATCH if same else MISMATCH):
+                matched += int(same)
+                i, j = i - 1, j - 1
+            elif here[j] == above[j] + GAP:
+                i -= 1
+            else:
+                j -= 1
+        if i == 0 or table[i - low][j] == 0:
+            return score, matched, base + j, base + end - base
+
+
+def reach(n: int, min_score: float) -> int:
+    """Words of a document that an alignment which counts can span."""
+    return math.ceil((3 - 2 * min_score) * n + 1e-9)
+
+
+def needed(n: int, min_score: float, min_matched: int) -> tuple[bool, int]:
+    """Whether an item of n words has pairs as seeds (else single words), and
+    how many of its positions a copy must have."""
+    pairs = math.ceil(min_score * n - 1 - 1e-9)
+    if n > 2 and pairs > 0:
+        return True, pairs
+    return False, max(math.ceil(min_score * n - 1e-9), min(min_matched, n), 1)
+
+
+def _items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(_item, _t, _n, _words): the items with an id and a word; _t tells word sequences apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = tokens(text)
-                g = np.unique(grams(words, n))
-                if len(g):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(g), i)), pa.array(np.full(len(g), len(words))), pa.array(g.view(np.int64))],
-                        names=["_item", "_n", "_g"],
-                    )
-
-    rows = items.filter(F.col(f"`{item_id}`").isNotNull()).select(F.col(f"`{item_id}`").cast("bigint"), F.col(f"`{item_text}`").cast("string"))
-    return rows.mapInArrow(run, "_item bigint, _n bigint, _g bigint")
-
+            rows = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (w := tokens(t))]
+            if rows:
+                words = [" ".join(w) for _, w in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([i for i, _ in rows], pa.int64()),
+                        pa.array(np.array([xxh3_64_intdigest(w) for w in words], U).view(np.int64)),
+                        pa.array([len(w) for _, w in rows], pa.int64()),
+                        pa.array(words),
+                    ],
+                    names=["_item", "_t", "_n", "_words"],
+                )
+
+    known = bare(items).select(place(items, item_id).cast("bigint").alias("_item"), place(items, item_text).cast("string").alias("_text"))
+    return known.filter("_item is not null").mapInArrow(run, "_item bigint, _t bigint, _n bigint, _words string").distinct()
+
+
+def _item_grams(texts: DataFrame, min_score: float, min_matched: int, seed_share: float) -> DataFrame:
+    """(_t, _at, _g, _reach, _seeds, _least): the grams that begin at each
+    position of each item, how many of the positions are seeds, and how many of
+    those a copy must have."""
 
-def _bloom(item_grams: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of all item grams, made on the executors and OR-ed byte by byte."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = text.split(" ")
+                n = len(words)
+                by_pairs, least = needed(n, min_score, min_matched)
+                single, near, far = seeds_at(word_hashes(words))
+                grams = np.concatenate((near, far)) if by_pairs else single
+                at = np.concatenate((np.arange(len(near)), np.arange(len(far)))) if by_pairs else np.arange(n)
+                most = n - 1 if by_pairs else n
+                seeds = min(most, max(math.ceil(seed_share * most), most - least + 1))
+                full = lambda v: pa.array(np.full(len(grams), v, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [full(t), pa.array(at), pa.array(grams.view(np.int64)), full(reach(n, min_score)), full(seeds), full(least - (most - seeds))],
+                    names=["_t", "_at", "_g", "_reach", "_seeds", "_least"],
+                )
+
+    return texts.select("_t", "_words").mapInArrow(run, "_t bigint, _at bigint, _g bigint, _reach bigint, _seeds bigint, _least bigint")
+
+
+def _bloom(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of a column of hashes, made on the executors and OR-ed word by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(np.zeros(bits // 8, np.uint8))
@@ -123,107 +207,151 @@ def _bloom(item_grams: DataFrame, bits: int) -> np.ndarray:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
 
-    parts = item_grams.select("_g").mapInArrow(run, "at bigint, bits bigint")
+    parts = hashes.mapInArrow(run, "at bigint, bits bigint")
     found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, "<i8")
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def _passages(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray, lengths: list[int], n: int, reach: int) -> DataFrame:
-    """(_id, _row, _from, _words, _hits): the surroundings of possible item grams.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _k1, _k2, _text) of every row; rows of equal id and text share the keys."""
+    i, text = place(docs, id_col).cast("bigint"), place(docs, text_col).cast("string")
+    return bare(docs).select(i.alias("_id"), *row_keys(i, text), text.alias("_text"))
 
-    Hits within twice ``reach`` words share a passage.  ``lengths`` are the gram
-    lengths that occur among the items (shorter items have one shorter gram).
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+
+def _hits(rows: DataFrame, bits: np.ndarray, single: bool) -> DataFrame:
+    """(_id, _k1, _k2, _pos, _grams): where a row has possible grams, as two lists."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(shared.value)
         for b in batches:
-            rows = []
-            for at, text in enumerate(b.column(2)):
+            at, where, what = [], [], []
+            for k, text in enumerate(b.column(3)):
                 words = tokens(text.as_py())
                 if not words:
                     continue
-                hashes = word_hashes(words)
-                where, what = [], []
-                for k in lengths:
-                    g = windows(hashes, k)
-                    hit = np.flatnonzero(bloom.holds(g)) if len(g) else np.zeros(0, np.int64)
-                    where.append(hit)
-                    what.append(g[hit])
-                pos, got = np.concatenate(where), np.concatenate(what)
-                if not len(pos):
-                    continue
-                order = np.argsort(pos, kind="stable")
-                pos, got = pos[order], got[order]
-                for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > 2 * reach) + 1):
-                    lo, hi = max(0, int(pos[part[0]]) - reach), min(len(words), int(pos[part[-1]]) + n + reach)
-                    rows.append((at, lo, b" ".join(words[lo:hi]).decode(), np.unique(got[part]).view(np.int64)))
-            if rows:
-                at, lo, passage, hits = zip(*rows, strict=True)
-                arrays = [c.take(pa.array(at)) for c in b.columns[:2]]
-                arrays += [pa.array(lo, pa.int64()), pa.array(passage), pa.array(hits, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_row", "_from", "_words", "_hits"])
+                kinds = seeds_at(word_hashes(words))
+                found = [(np.flatnonzero(bloom.holds(g)), g) for g in (kinds if single else kinds[1:])]
+                if any(len(p) for p, _ in found):
+                    at.append(k)
+                    where.append(np.concatenate([p for p, _ in found]))
+                    what.append(np.concatenate([g[p] for p, g in found]))
+            if at:
+                ends = pa.array(np.cumsum([0, *map(len, where)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(b.column(c).take(pa.array(at)) for c in range(3)),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(where), pa.int32())),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(what).view(np.int64))),
+                    ],
+                    names=["_id", "_k1", "_k2", "_pos", "_grams"],
+                )
+
+    return rows.mapInArrow(run, "_id bigint, _k1 bigint, _k2 bigint, _pos array<int>, _grams array<bigint>")
+
+
+def _likely(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows whose first key a bitmap of keys holds; it proposes and a join decides."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)  # of fixed size
 
-    rows = docs.select(_id(id_col), _row(docs), F.col(f"`{text_col}`").cast("string").alias("_t"))
-    return rows.mapInArrow(run, "_id bigint, _row bigint, _from bigint, _words string, _hits array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = Bloom(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(bloom.holds(b.column(1).to_numpy().view(U))))
 
+    return rows.mapInArrow(run, rows.schema)
 
-def _id(id_col: str) -> Column:
-    return F.col(f"`{id_col}`").cast("bigint").alias("_id")
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """(_k1, _k2, _cell, _part): the wanted cells of rows (_k1, _k2, _wanted, _text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (wanted, text) in enumerate(zip(b.column(2).to_pylist(), b.column(3), strict=True)):
+                words = tokens(text.as_py())
+                some = [c for c in sorted(wanted) if c * CELL < len(words)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([b.column(c)[k].as_py()] * len(some), pa.int64()) for c in (0, 1)),
+                        pa.array(some, pa.int64()),
+                        pa.array([" ".join(words[c * CELL : (c + 1) * CELL]) for c in some], pa.string()),
+                    ],
+                    names=["_k1", "_k2", "_cell", "_part"],
+                )
 
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return rows.select("_k1", "_k2", "_wanted", "_text").mapInArrow(run, "_k1 bigint, _k2 bigint, _cell bigint, _part string")
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
-    """(_id, _row, _item, _n, _score, _matched, _start, _end) of rows
-    (_id, _row, _item, _from, _words, _text); positions are those in the row."""
+    """(_k1, _k2, _t, _n, _score, _matched, _start, _end) of candidates
+    (_k1, _k2, _t, _parts, _words); positions are those in the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for lo, passage, text in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
-                item = tokens(text)
-                score, matched, start, end = align(item, passage.encode().split(b" "))
-                rows.append((len(item), score, matched, lo + start, lo + end))
+            for parts, words in zip(b.column(3), b.column(4), strict=True):
+                cells = parts.as_py()
+                item = words.as_py().split(" ")
+                passage = [w for c in cells for w in c["_part"].split(" ")]
+                score, matched, start, end = align(item, passage)
+                base = cells[0]["_cell"] * CELL
+                rows.append((len(item), score, matched, base + start, base + end))
             found = np.array(rows, np.int64).reshape(-1, 5)
             arrays = [*b.columns[:3], *(pa.array(found[:, k].copy()) for k in range(5))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_row", "_item", "_n", "_score", "_matched", "_start", "_end"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["_k1", "_k2", "_t", "_n", "_score", "_matched", "_start", "_end"])
 
-    kinds = ", ".join(f"{c} bigint" for c in ("_id", "_row", "_item", "_n", "_score", "_matched", "_start", "_end"))
-    return pairs.select("_id", "_row", "_item", "_from", "_words", "_text").mapInArrow(run, kinds)
+    kinds = ", ".join(f"{c} bigint" for c in ("_k1", "_k2", "_t", "_n", "_score", "_matched", "_start", "_end"))
+    return pairs.select("_k1", "_k2", "_t", "_parts", "_words").mapInArrow(run, kinds)
 
 
 def _matches(
     docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, *,
-    gram: int, seed_share: float, min_score: float, min_matched: int, bloom_bits: int,
+    seed_share: float, min_score: float, min_matched: int, bloom_bits: int,
 ) -> DataFrame:
-    """Aligned passages that count as copies."""
+    """(_id, _k1, _k2, _item, _part, ...): aligned passages that count as copies."""
+    if not 0 < min_score <= 1:
+        raise ValueError("min_score must be above 0 and at most 1")
     ship(docs.sparkSession)
-    have = written(_item_grams(items, item_id, item_text, gram).distinct(), "decontam-grams")
-    facts = have.agg(F.max("_n").alias("most"), F.collect_set(F.least("_n", F.lit(gram))).alias("lengths")).first()
-    reach = int(1.5 * (facts.most or 0)) + gram
-    bits = _bloom(have, bloom_bits)
-    found = _passages(docs, id_col, text_col, bits, sorted(map(int, facts.lengths)) or [gram], gram, reach)
-    found = written(found.withColumn("_p", F.xxhash64("_id", "_row", "_from")), "decontam-passages")
-    hits = found.select("_p", F.explode("_hits").alias("_g")).join(have.select("_g").distinct(), "_g")
-    seen = hits.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    item = Window.partitionBy("_item", "_n")  # the grams of one item
-    ranked = have.join(seen, "_g").select(
-        "_item", "_g", F.row_number().over(item.orderBy("_df", "_g")).alias("_rank"), F.count(F.lit(1)).over(item).alias("_all")
+    known = written(_items(items, item_id, item_text), "decontam-items")
+    texts = known.select("_t", "_words").distinct()
+    grams = written(_item_grams(texts, min_score, min_matched, seed_share), "decontam-grams")
+    shortest = known.agg(F.min("_n")).first()[0] or 1
+    single = not needed(shortest, min_score, min_matched)[0]  # if any item has single words as seeds, the shortest has
+    rows = _keyed(docs, id_col, text_col)
+    hits = written(_hits(rows, _bloom(grams.select("_g"), bloom_bits), single), "decontam-hits")
+
+    seen = hits.select(F.explode("_grams").alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("_count"))
+    counted = grams.join(seen, "_g", "left")
+    positions = counted.groupBy("_t", "_at", "_seeds").agg(F.sum(F.coalesce("_count", F.lit(0))).alias("_count"))
+    item = Window.partitionBy("_t").orderBy("_count", "_at")  # the positions of one item
+    rare = positions.withColumn("_rank", F.row_number().over(item)).filter("_rank <= _seeds and _count > 0").select("_t", "_at")
+    seeds = written(grams.join(rare, ["_t", "_at"]).select("_g", "_t", "_at", "_reach", "_least").distinct(), "decontam-seeds")
+
+    each = hits.select("_k1", "_k2", F.explode(F.arrays_zip("_pos", "_grams")).alias("_x")).select("_k1", "_k2", F.col("_x._pos").alias("_pos"), F.col("_x._grams").alias("_g"))
+    # any stretch as long as an alignment lies in one of the overlapping blocks of twice that length
+    block = F.floor(F.col("_pos") / F.col("_reach"))
+    met = each.join(seeds, "_g").select("_k1", "_k2", "_t", "_at", "_reach", "_least", F.explode(F.array(block - 1, block)).alias("_block"))
+    places = met.distinct().groupBy("_k1", "_k2", "_t", "_reach", "_least", "_block").agg(F.count(F.lit(1)).alias("_have"))
+    able = places.filter("_have >= _least")
+    first = F.greatest(F.lit(0), F.floor((F.col("_block") - 1) * F.col("_reach") / CELL))
+    cells = F.sequence(first, F.floor(((F.col("_block") + 3) * F.col("_reach") - 1) / CELL))
+    able = written(able.select("_k1", "_k2", "_t", "_block", F.explode(cells).alias("_cell")), "decontam-candidates")
+
+    wanted = able.groupBy("_k1", "_k2").agg(F.collect_set("_cell").alias("_wanted"))  # no more than the row's own cells
+    likely = _likely(rows, _bloom(able.select("_k1").distinct(), bloom_bits))  # so that few texts are shuffled
+    parts = written(_cells(likely.join(wanted, ["_k1", "_k2"])).distinct(), "decontam-passages")
+    passages = able.join(parts, ["_k1", "_k2", "_cell"]).groupBy("_k1", "_k2", "_t", "_block").agg(
+        F.sort_array(F.collect_list(F.struct("_cell", "_part"))).alias("_parts")  # as many as an item's reach asks for
     )
-    seeds = written(ranked.filter(F.col("_rank") <= F.ceil(F.col("_all") * seed_share)).select("_item", "_g"), "decontam-seeds")
-    pairs = found.select("_p", F.explode("_hits").alias("_g")).join(seeds, "_g").select("_p", "_item").distinct()
-    texts = items.select(F.col(f"`{item_id}`").cast("bigint").alias("_item"), F.col(f"`{item_text}`").cast("string").alias("_text"))
-    met = found.drop("_hits").join(pairs, "_p").join(texts.distinct(), "_item")
-    part = F.col("_score") / (MATCH * F.col("_n"))
-    return _aligned(met).withColumn("_part", part).filter(
-        (F.col("_part") >= min_score) & (F.col("_matched") >= F.least(F.lit(min_matched), F.col("_n")))
+    share = F.col("_score") / (MATCH * F.col("_n"))
+    good = _aligned(passages.join(texts, "_t")).withColumn("_part", share).filter(
+        (F.col("_part") >= min_score - 1e-9) & (F.col("_matched") >= F.least(F.lit(min_matched), F.col("_n")))
     )
+    ids = hits.select("_id", "_k1", "_k2").distinct()
+    good = written(good, "decontam-found")
+    return good.join(ids, ["_k1", "_k2"]).join(known.select("_item", "_t"), "_t")
 
 
 def find_copies(
@@ -234,7 +362,6 @@ def find_copies(
     item_id: str = "item_id",
     item_text: str = "text",
     *,
-    gram: int = 3,
     seed_share: float = 0.75,
     min_score: float = 0.5,
     min_matched: int = 5,
@@ -246,27 +373,24 @@ def find_copies(
     the item's with itself), ``matched`` (words), ``item_words``, ``doc_from``
     and ``doc_to`` (the aligned words of the lower-cased text without
     punctuation, from 0, end excluded): one row for each pair, its best passage,
-    the earliest on ties.  A pair counts from ``min_score`` on and with
-    ``min_matched`` words, or all words of a shorter item.
+    of equally good ones that which ends first.  A pair counts from
+    ``min_score`` on and with ``min_matched`` words, or all words of a shorter
+    item; every such pair is found, whatever ``seed_share``, which only sets how
+    many hits are joined against how many candidates are aligned.
 
     Null and empty texts on either side and items without an id match nothing;
     rows that share an id, and items that share one, give one row for each
-    (id, item id); empty tables give an empty result; other columns take no part.
+    (id, item id); empty tables give an empty result; other columns, of whatever
+    name, take no part.
     """
     found = _matches(
-        docs, items, id_col, text_col, item_id, item_text,
-        gram=gram, seed_share=seed_share, min_score=min_score, min_matched=min_matched, bloom_bits=bloom_bits,
+        docs, items, id_col, text_col, item_id, item_text, seed_share=seed_share, min_score=min_score, min_matched=min_matched, bloom_bits=bloom_bits,
     )
-    best = F.struct("_part", (-F.col("_start")).alias("_from"), "_matched", "_n", (-F.col("_end")).alias("_to"))
-    return found.groupBy("_id", "_item").agg(F.max(best).alias("_b")).select(
-        F.col("_id").alias(id_col),
-        F.col("_item").alias(item_id if item_id != id_col else "item_id"),
-        F.round("_b._part", 6).alias("score"),
-        F.col("_b._matched").alias("matched"),
-        F.col("_b._n").alias("item_words"),
-        (-F.col("_b._from")).alias("doc_from"),
-        (-F.col("_b._to")).alias("doc_to"),
+    best = F.struct("_part", (-F.col("_end")).alias("_to"), "_matched", "_n", "_start")
+    out = found.groupBy("_id", "_item").agg(F.max(best).alias("_b")).select(
+        "_id", "_item", F.round("_b._part", 6), "_b._matched", "_b._n", "_b._start", -F.col("_b._to")
     )
+    return named(out, [id_col, item_id if item_id != id_col else "item_id", "score", "matched", "item_words", "doc_from", "doc_to"])
 
 
 def drop_copies(
@@ -277,7 +401,6 @@ def drop_copies(
     item_id: str = "item_id",
     item_text: str = "text",
     *,
-    gram: int = 3,
     seed_share: float = 0.75,
     min_score: float = 0.5,
     min_matched: int = 5,
@@ -285,10 +408,9 @@ def drop_copies(
 ) -> DataFrame:
     """``docs`` without the rows that hold a copy of a test item; see find_copies."""
     found = _matches(
-        docs, items, id_col, text_col, item_id, item_text,
-        gram=gram, seed_share=seed_share, min_score=min_score, min_matched=min_matched, bloom_bits=bloom_bits,
+        docs, items, id_col, text_col, item_id, item_text, seed_share=seed_share, min_score=min_score, min_matched=min_matched, bloom_bits=bloom_bits,
     )
-    gone = written(found.select(F.col("_id").alias("_kid"), F.col("_row").alias("_krow")).distinct(), "decontam-rows")
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), _id(id_col), _row(docs))
-    same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_row") == F.col("_krow"))
-    return marked.join(gone, same, "left_anti").select("_all.*")
+    gone = written(found.select("_k1", "_k2").distinct(), "decontam-rows")
+    i, text = place(docs, id_col).cast("bigint"), place(docs, text_col).cast("string")
+    marked = bare(docs).select("*", *row_keys(i, text))
+    return named(marked.join(gone, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2"), docs.columns)

@@ -6,23 +6,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.shipping import ship
 
-__all__ = ["drop_written", "new_path", "shared_dir", "ship", "written"]
+__all__ = ["bare", "drop_written", "named", "new_path", "place", "row_keys", "shared_dir", "ship", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
     It is the cluster's ``spark.checkpoint.dir``.  Only where the session has
-    none (tests, a laptop) a folder of our own is made and set.
+    none and runs on one machine (tests, a laptop) a folder of our own is made
+    and set; on a cluster its absence is an error, since each executor would
+    write to its own disk.
     """
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
-        known = spark.sparkContext.getCheckpointDir()
-        given = known or "file://" + tempfile.mkdtemp(prefix="vantagrain-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        given = "file://" + tempfile.mkdtemp(prefix="vantagrain-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
 
@@ -50,3 +54,24 @@ def drop_written(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bare(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns renamed by position (c0, c1, ...), so that no
+    name of the input can clash with those an operator adds."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> Column:
+    """The column of ``bare(docs)`` that was ``name``."""
+    return F.col(f"c{docs.columns.index(name)}")
+
+
+def named(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with ``names`` by position."""
+    return rows.toDF(*names)
+
+
+def row_keys(i: Column, text: Column) -> list[Column]:
+    """(_k1, _k2): 128 bits that tell rows of different id or text apart."""
+    return [F.xxhash64(text, i).alias("_k1"), F.xxhash64(F.lit(1), i, text).alias("_k2")]

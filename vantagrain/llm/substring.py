@@ -1,17 +1,21 @@
 """Removal of repeated word windows (exact substring deduplication).
 
 A window is ``width`` consecutive words of one row.  A word goes if some window
-that covers it has a word sequence that also starts earlier: in a row with a
-smaller id, or earlier in the same row.
-
-Windows are compared by 128-bit Rabin-Karp hashes counted in Spark.  Not all of
-them travel.  Every window has an anchor, the least hash among the ``gram``-word
-sequences inside it; equal windows have equal anchors, and neighbouring windows
-share theirs, so a text has far fewer anchors than windows.  Only windows whose
-anchor occurs twice anywhere can repeat, and only those are shuffled, with their
-minimum id taken map-side, so a passage in a third of all rows costs one row per
-task.  Rows whose whole word sequence equals that of a smaller id are settled by
-one digest and send no windows.
+that covers it has a word sequence that also starts earlier: in a row before
+this one, or earlier in the same row.  Rows are ordered by id, those that share
+an id by a hash of id and text; rows of equal id and text are one row here and
+get one result.
+
+Windows are compared between rows by 128-bit Rabin-Karp hashes counted in Spark
+(inside a row by 64 bits).  Not all of them travel.  Every window has an anchor,
+the least hash among the ``gram``-word sequences inside it; equal windows have
+equal anchors, and neighbouring windows share theirs, so a text has far fewer
+anchors than windows.  Only windows whose anchor occurs twice anywhere can
+repeat, and only those are shuffled, the first of equal ones taken map-side, so a
+passage in a third of all rows costs one row per task.  Rows whose whole word
+sequence equals that of an earlier row are settled by one digest and send no
+windows.  What is found goes back by 128-bit keys of id and text: a list is never
+longer than the text it is about, however many rows share an id or have none.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh3_128_digest
 
-from .runtime import ship, written
+from .runtime import bare, named, place, row_keys, ship, written
 from .words import BASES, U, covered, sliding_min, windows, word_hashes
 
 _LAST = (1 << 63) - 1
+_BATCH = 512
 
 
 def _sequence(words: list[bytes]) -> np.ndarray:
@@ -68,42 +74,44 @@ def _sorted(values: pa.Scalar) -> np.ndarray:
     return np.sort(values.values.to_numpy(zero_copy_only=False).view(U))
 
 
-def _order(id_col: str) -> Column:
-    return F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST)).alias("_id")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """(_id, _k1, _k2): the place of a row of ``bare(docs)`` in the order; null ids come last."""
+    i = F.coalesce(place(docs, id_col).cast("bigint"), F.lit(_LAST))
+    return [i.alias("_id"), *row_keys(i, place(docs, text_col).cast("binary"))]
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
-    """(_id, _s1, _s2, _anchors) of the rows that have a window at all."""
+def _scan(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """(_id, _k1, _k2, _s1, _s2, _anchors) of the rows that have a window at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, seqs, lists = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for b in (whole.slice(at, _BATCH) for whole in batches for at in range(0, whole.num_rows, _BATCH)):
+            at, seqs, lists = [], [], []
+            for k, text in enumerate(b.column(3)):
                 words = (text.as_py() or b"").split()
                 if len(words) < width:
                     continue
-                ids.append(i)
+                at.append(k)
                 seqs.append(_sequence(words))
                 lists.append(_anchors(word_hashes(words), width, gram).view(np.int64))
-            if ids:
+            if at:
                 seq = np.stack(seqs)
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+                keys = [b.column(c).take(pa.array(at)) for c in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(seq[:, 0].copy()), pa.array(seq[:, 1].copy()), anchors],
-                    names=["_id", "_s1", "_s2", "_anchors"],
+                    [*keys, pa.array(seq[:, 0].copy()), pa.array(seq[:, 1].copy()), anchors], names=["_id", "_k1", "_k2", "_s1", "_s2", "_anchors"]
                 )
 
-    rows = docs.select(_order(id_col), F.col(f"`{text_col}`").cast("binary").alias("_t"))
-    return rows.mapInArrow(run, "_id bigint, _s1 bigint, _s2 bigint, _anchors array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _k1 bigint, _k2 bigint, _s1 bigint, _s2 bigint, _anchors array<bigint>")
 
 
 def _windows_of(texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """(_h1, _h2, _id): the candidate windows of rows (_id, _t, _anchors), each once a row."""
+    """(_h1, _h2, _id, _k1, _k2): the candidate windows of rows (_id, _k1, _k2, _t, _anchors), each once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text, repeated in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            keys = zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)
+            for key, text, repeated in zip(keys, b.column(3), b.column(4), strict=True):
                 words = (text.as_py() or b"").split()
                 if len(words) < width:
                     continue
@@ -113,29 +121,28 @@ def _windows_of(texts: DataFrame, width: int, gram: int) -> DataFrame:
                 first = _first_starts(one)
                 one, two = one[first], windows(hashes, width, BASES[1])[at][first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(one), i))],
-                    names=["_h1", "_h2", "_id"],
+                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.full(len(one), k)) for k in key)],
+                    names=["_h1", "_h2", "_id", "_k1", "_k2"],
                 )
 
-    return texts.mapInArrow(run, "_h1 bigint, _h2 bigint, _id bigint")
+    return texts.mapInArrow(run, "_h1 bigint, _h2 bigint, _id bigint, _k1 bigint, _k2 bigint")
 
 
-def _cut(docs: DataFrame, text_at: int, width: int, gram: int) -> DataFrame:
+def _cut(rows: DataFrame, text_at: int, width: int, gram: int) -> DataFrame:
     """Apply the findings in the last three columns to the text at ``text_at``."""
-    schema = docs.schema
-    names = docs.columns[:-3]
-    out = [f for f in schema.fields if f.name in names]
+    fields = rows.schema.fields[:-3]
+    out = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            whole, anchors, firsts = b.column(b.num_columns - 3), b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+        for b in (whole.slice(at, _BATCH) for whole in batches for at in range(0, whole.num_rows, _BATCH)):
+            copied, anchors, firsts = b.columns[-3:]
             kept, n_words, n_removed = [], [], []
-            for text, seqs, own, first in zip(b.column(text_at), whole, anchors, firsts, strict=True):
+            for text, again, own, first in zip(b.column(text_at), copied, anchors, firsts, strict=True):
                 words = text.as_py().encode().split() if text.is_valid else []
                 n = len(words)
                 gone = np.zeros(n, bool)
                 own = _sorted(own) if n >= width else own
-                if n >= width and (got := _sorted(seqs)).size and np.any(got == _sequence(words).view(U)[0]):
+                if again.as_py():
                     gone[:] = True
                 elif n >= width and len(own):
                     hashes = word_hashes(words)
@@ -149,15 +156,12 @@ def _cut(docs: DataFrame, text_at: int, width: int, gram: int) -> DataFrame:
                     kept.append(text.as_py())
                 else:
                     kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
-            arrays = list(b.columns[: b.num_columns - 3])
+            arrays = list(b.columns[:-3])
             arrays[text_at] = pa.array(kept, arrays[text_at].type)
             arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_n_words", "_n_removed"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+            yield pa.RecordBatch.from_arrays(arrays, names=[*out, "_n_words", "_n_removed"])
 
-    target = StructType([*out, StructField("_n_words", LongType()), StructField("_n_removed", LongType())])
-    return docs.mapInArrow(run, target)
+    return rows.mapInArrow(run, StructType([*fields, StructField("_n_words", LongType()), StructField("_n_removed", LongType())]))
 
 
 def remove_repeats(
@@ -174,28 +178,32 @@ def remove_repeats(
     went is its kept words joined by one space, any other text is unchanged.
     Windows are judged on the input.  Null and empty texts and texts of fewer
     than ``width`` words keep all.  Rows with a null id come after all others;
-    rows that share an id are never earlier than one another (each is compared
-    with smaller ids and with itself).  An empty table gives an empty result.
-    The text must be a string column; column names are free, except that those
-    beginning with ``__`` and ``_n_words``, ``_n_removed`` are taken.
+    rows that share an id (or have none) are ordered by a hash of id and text,
+    and rows of equal id and text get equal results, never each other's repeat.
+    An empty table gives an empty result.  The text must be a string column;
+    input columns of the two added names are replaced, all other names are free.
     """
     ship(docs.sparkSession)
-    scanned = written(_scan(docs, id_col, text_col, width, gram), "substring-anchors")
-    least = scanned.groupBy("_s1", "_s2").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
-    least = written(least.filter("_least < _most").drop("_most"), "substring-copied")
-    copies = scanned.select("_id", "_s1", "_s2").join(least, ["_s1", "_s2"]).filter("_id > _least")
-    copies = copies.select("_id", F.col("_s1").alias("_seq"))
-    rows = scanned.join(copies.distinct(), (scanned["_id"] == copies["_id"]) & (scanned["_s1"] == copies["_seq"]), "left_anti")
-    anchors = rows.select("_id", F.explode("_anchors").alias("_a"))
+    docs = docs.drop("_n_words", "_n_removed")
+    text_at = docs.columns.index(text_col)
+    keys = ["_k1", "_k2"]
+    keyed = bare(docs).select("*", *_keyed(docs, id_col, text_col))
+    texts = keyed.select("_id", *keys, F.col(f"c{text_at}").cast("binary").alias("_t"))
+    scanned = written(_scan(texts, width, gram), "substring-anchors")
+    order = F.struct("_id", *keys)
+    least = scanned.groupBy("_s1", "_s2").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    least = written(least.filter("_first < _last").drop("_last"), "substring-copied")
+    marked = scanned.join(least, ["_s1", "_s2"], "left").withColumn("_copied", F.coalesce(order > F.col("_first"), F.lit(False)))
+    copied = written(marked.filter("_copied").select(*keys).distinct(), "substring-copies")
+    anchors = marked.filter("not _copied").select("_id", *keys, F.explode("_anchors").alias("_a"))
     twice = anchors.groupBy("_a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
-    shared = anchors.join(twice, "_a").groupBy("_id").agg(F.collect_set("_a").alias("__anchors"))
+    shared = anchors.join(twice, "_a").groupBy(*keys).agg(F.collect_set("_a").alias("_anchors"))
     shared = written(shared, "substring-shared")
-    texts = docs.select(_order(id_col), F.col(f"`{text_col}`").cast("binary").alias("_t"))
-    whole = written(copies.groupBy("_id").agg(F.collect_set("_seq").alias("__whole")), "substring-whole")
-    found = _windows_of(texts.join(shared, "_id").select("_id", "_t", "__anchors"), width, gram)
-    firsts = found.groupBy("_h1", "_h2").agg(F.min("_id").alias("_id"))
-    firsts = written(firsts.groupBy("_id").agg(F.collect_set("_h1").alias("__firsts")), "substring-firsts")
-    known = shared.join(firsts, "_id", "left").join(whole, "_id", "full")
-    known = known.select(F.col("_id").alias("__id"), "__whole", "__anchors", "__firsts")
-    all_docs = docs.join(known, _order(id_col) == F.col("__id"), "left").drop("__id")
-    return _cut(all_docs, docs.columns.index(text_col), width, gram)
+    found = _windows_of(texts.join(shared, keys).select("_id", *keys, "_t", "_anchors"), width, gram)
+    firsts = found.groupBy("_h1", "_h2").agg(F.min(order).alias("_first")).select("_first._k1", "_first._k2", "_h1")
+    firsts = written(firsts.groupBy(*keys).agg(F.collect_set("_h1").alias("_firsts")), "substring-firsts")
+    known = shared.join(firsts, keys, "left").select(*keys, F.lit(False).alias("_copied"), "_anchors", "_firsts")
+    none = F.lit(None).cast("array<bigint>")
+    known = known.union(copied.select(*keys, F.lit(True), none, none))
+    judged = keyed.drop("_id").join(known, keys, "left").drop(*keys)
+    return named(_cut(judged, text_at, width, gram), [*docs.columns, "_n_words", "_n_removed"])
