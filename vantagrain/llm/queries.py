@@ -62,11 +62,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
+    lines = chat.transcript_lines(table(spark, sf_dir, "conversations"))
     unseen = quality_mil.held_out(F.col("conv_id"))
-    model = chat.fit(rows.filter(~unseen), "conv_id", "turn", "role", "text")
-    found = chat.recover_roles(rows, model)
-    return found.select("conv_id", "turn", "role", unseen.alias("held_out"), "recovered_role", "rendered")
+    model = chat.fit_turns(lines.filter(~unseen), "conv_id", "line", "role", "begins", "text")
+    found = chat.recover_turns(lines, model)
+    return found.select("conv_id", "line", "role", "begins", unseen.alias("held_out"), "recovered_role", "turn_no", "opens", "closes", "rendered")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

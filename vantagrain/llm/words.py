@@ -19,7 +19,7 @@ class _Known(dict):
     """Hashes of words met before; a text's words are mostly old ones."""
 
     def __missing__(self, word: bytes | str) -> int:
-        if len(self) >= 1 << 18:  # bounded whatever the vocabulary
+        if len(self) >= 1 << 17:  # bounded whatever the vocabulary
             self.clear()
         if len(word) > 64:
             return xxh3_64_intdigest(word)
