@@ -14,8 +14,9 @@ anchors than windows.  Only windows whose anchor occurs twice anywhere can
 repeat, and only those are shuffled, the first of equal ones taken map-side, so a
 passage in a third of all rows costs one row per task.  Rows whose whole word
 sequence equals that of an earlier row are settled by one digest and send no
-windows.  What is found goes back by 128-bit keys of id and text: a list is never
+windows.  What is found goes back by id and a hash of the text: a list is never
 longer than the text it is about, however many rows share an id or have none.
+Where ids alone do not order the rows, they are numbered by a sort across tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh3_128_digest
 
-from .runtime import bare, named, place, row_keys, ship, written
+from .runtime import bare, named, place, ship, written
 from .words import BASES, U, covered, sliding_min, windows, word_hashes
 
 _LAST = (1 << 63) - 1
@@ -75,18 +76,29 @@ def _sorted(values: pa.Scalar) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """(_id, _k1, _k2): the place of a row of ``bare(docs)`` in the order; null ids come last."""
+    """(_id, _k): what orders the rows of ``bare(docs)``; null ids come last."""
     i = F.coalesce(place(docs, id_col).cast("bigint"), F.lit(_LAST))
-    return [i.alias("_id"), *row_keys(i, place(docs, text_col).cast("binary"))]
+    return [i.alias("_id"), F.xxhash64(place(docs, text_col).cast("binary"), i).alias("_k")]
+
+
+def _ordered(scanned: DataFrame) -> DataFrame:
+    """``scanned`` with ``_o``, a number in the order of (_id, _k): the id itself
+    if no two texts share one."""
+    shared = scanned.groupBy("_id").agg(F.min("_k").alias("a"), F.max("_k").alias("b")).filter("a < b")
+    if shared.isEmpty():
+        return scanned.withColumn("_o", F.col("_id"))
+    units = scanned.select("_id", "_k").distinct().repartitionByRange("_id", "_k").sortWithinPartitions("_id", "_k")
+    units = written(units.withColumn("_o", F.monotonically_increasing_id()), "substring-order")
+    return written(scanned.join(units, ["_id", "_k"]), "substring-ordered")
 
 
 def _scan(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """(_id, _k1, _k2, _s1, _s2, _anchors) of the rows that have a window at all."""
+    """(_id, _k, _s1, _s2, _anchors) of the rows that have a window at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, _BATCH) for whole in batches for at in range(0, whole.num_rows, _BATCH)):
             at, seqs, lists = [], [], []
-            for k, text in enumerate(b.column(3)):
+            for k, text in enumerate(b.column(2)):
                 words = (text.as_py() or b"").split()
                 if len(words) < width:
                     continue
@@ -97,21 +109,21 @@ def _scan(rows: DataFrame, width: int, gram: int) -> DataFrame:
                 seq = np.stack(seqs)
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-                keys = [b.column(c).take(pa.array(at)) for c in range(3)]
+                keys = [b.column(c).take(pa.array(at)) for c in range(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [*keys, pa.array(seq[:, 0].copy()), pa.array(seq[:, 1].copy()), anchors], names=["_id", "_k1", "_k2", "_s1", "_s2", "_anchors"]
+                    [*keys, pa.array(seq[:, 0].copy()), pa.array(seq[:, 1].copy()), anchors], names=["_id", "_k", "_s1", "_s2", "_anchors"]
                 )
 
-    return rows.mapInArrow(run, "_id bigint, _k1 bigint, _k2 bigint, _s1 bigint, _s2 bigint, _anchors array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _k bigint, _s1 bigint, _s2 bigint, _anchors array<bigint>")
 
 
 def _windows_of(texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """(_h1, _h2, _id, _k1, _k2): the candidate windows of rows (_id, _k1, _k2, _t, _anchors), each once a row."""
+    """(_h1, _h2, _o): the candidate windows of rows (_o, _t, _anchors), each once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)
-            for key, text, repeated in zip(keys, b.column(3), b.column(4), strict=True):
+        for b in (whole.slice(at, _BATCH) for whole in batches for at in range(0, whole.num_rows, _BATCH)):
+            ones, twos, owners = [], [], []
+            for o, text, repeated in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 words = (text.as_py() or b"").split()
                 if len(words) < width:
                     continue
@@ -119,13 +131,14 @@ def _windows_of(texts: DataFrame, width: int, gram: int) -> DataFrame:
                 at = _candidates(hashes, width, gram, _sorted(repeated))
                 one = windows(hashes, width, BASES[0])[at]
                 first = _first_starts(one)
-                one, two = one[first], windows(hashes, width, BASES[1])[at][first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.full(len(one), k)) for k in key)],
-                    names=["_h1", "_h2", "_id", "_k1", "_k2"],
-                )
+                ones.append(one[first])
+                twos.append(windows(hashes, width, BASES[1])[at][first])
+                owners.append(np.full(len(ones[-1]), o))
+            if ones:
+                arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in (ones, twos, owners)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_h1", "_h2", "_o"])
 
-    return texts.mapInArrow(run, "_h1 bigint, _h2 bigint, _id bigint, _k1 bigint, _k2 bigint")
+    return texts.mapInArrow(run, "_h1 bigint, _h2 bigint, _o bigint")
 
 
 def _cut(rows: DataFrame, text_at: int, width: int, gram: int) -> DataFrame:
@@ -186,24 +199,23 @@ def remove_repeats(
     ship(docs.sparkSession)
     docs = docs.drop("_n_words", "_n_removed")
     text_at = docs.columns.index(text_col)
-    keys = ["_k1", "_k2"]
+    keys = ["_id", "_k"]
     keyed = bare(docs).select("*", *_keyed(docs, id_col, text_col))
-    texts = keyed.select("_id", *keys, F.col(f"c{text_at}").cast("binary").alias("_t"))
-    scanned = written(_scan(texts, width, gram), "substring-anchors")
-    order = F.struct("_id", *keys)
-    least = scanned.groupBy("_s1", "_s2").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    texts = keyed.select(*keys, F.col(f"c{text_at}").cast("binary").alias("_t"))
+    scanned = _ordered(written(_scan(texts, width, gram), "substring-anchors"))
+    least = scanned.groupBy("_s1", "_s2").agg(F.min("_o").alias("_first"), F.max("_o").alias("_last"))
     least = written(least.filter("_first < _last").drop("_last"), "substring-copied")
-    marked = scanned.join(least, ["_s1", "_s2"], "left").withColumn("_copied", F.coalesce(order > F.col("_first"), F.lit(False)))
+    marked = scanned.join(least, ["_s1", "_s2"], "left").withColumn("_copied", F.coalesce(F.col("_o") > F.col("_first"), F.lit(False)))
     copied = written(marked.filter("_copied").select(*keys).distinct(), "substring-copies")
-    anchors = marked.filter("not _copied").select("_id", *keys, F.explode("_anchors").alias("_a"))
+    anchors = marked.filter("not _copied").select("_o", *keys, F.explode("_anchors").alias("_a"))
     twice = anchors.groupBy("_a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
-    shared = anchors.join(twice, "_a").groupBy(*keys).agg(F.collect_set("_a").alias("_anchors"))
+    shared = anchors.join(twice, "_a").groupBy("_o", *keys).agg(F.collect_set("_a").alias("_anchors"))
     shared = written(shared, "substring-shared")
-    found = _windows_of(texts.join(shared, keys).select("_id", *keys, "_t", "_anchors"), width, gram)
-    firsts = found.groupBy("_h1", "_h2").agg(F.min(order).alias("_first")).select("_first._k1", "_first._k2", "_h1")
-    firsts = written(firsts.groupBy(*keys).agg(F.collect_set("_h1").alias("_firsts")), "substring-firsts")
-    known = shared.join(firsts, keys, "left").select(*keys, F.lit(False).alias("_copied"), "_anchors", "_firsts")
+    found = _windows_of(texts.join(shared, keys).select("_o", "_t", "_anchors"), width, gram)
+    firsts = found.groupBy("_h1", "_h2").agg(F.min("_o").alias("_o"))
+    firsts = written(firsts.groupBy("_o").agg(F.collect_set("_h1").alias("_firsts")), "substring-firsts")
+    known = shared.join(firsts, "_o", "left").select(*keys, F.lit(False).alias("_copied"), "_anchors", "_firsts")
     none = F.lit(None).cast("array<bigint>")
     known = known.union(copied.select(*keys, F.lit(True), none, none))
-    judged = keyed.drop("_id").join(known, keys, "left").drop(*keys)
+    judged = keyed.join(known, keys, "left").drop(*keys)
     return named(_cut(judged, text_at, width, gram), [*docs.columns, "_n_words", "_n_removed"])
