@@ -283,3 +283,38 @@ def test_gradient_training_and_attention(spark):
     assert all(0 <= r.score <= 1 for r in quality_mil.score(extra, model).collect())
     assert quality_mil.score(extra.limit(0), model).count() == 0
     assert quality_mil.fit(df.limit(0), df.select("doc_id", "quality"))["c"].sum() == 0
+
+
+def test_substring_orders_rows_that_share_an_id(spark):
+    """Null and equal ids: by a hash of id and text; equal rows are one row."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passage = word(30)
+    texts = [f"{word(5)} {passage} {word(3)}" for _ in range(60)]
+    rows = [(None, t) for t in texts] + [(None, texts[0])] + [(7, passage + " x")] * 2 + [(9, f"{word(4)} {passage}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as _k", "2 as _o", "3 as _n_words", "4 as __whole", "5 as c0")
+    got = substring.remove_repeats(df)
+    assert got.columns == ["doc_id", "text", "_k", "_o", "__whole", "c0", "_n_words", "_n_removed"]
+    found = got.collect()
+    assert sorted((str(r.doc_id), r._n_removed) for r in found) == sorted([("7", 0)] * 2 + [("9", 30)] + [("None", 30)] * 61)
+    only = substring.remove_repeats(df.filter("doc_id is null")).collect()
+    assert sorted(r._n_removed for r in only)[:3] in ([0, 30, 30], [0, 0, 30]) and sum(r._n_removed == 30 for r in only) >= 59
+
+
+def test_free_column_names(spark, odd):
+    """Columns named as the operators name their own."""
+    names = "1 as c0, 2 as _t, 3 as __text, 4 as _fp, 5 as _row, 6 as _keys, 7 as `a.b`, 8 as _words, 9 as __q_kept".split(", ")
+    clash = odd.selectExpr("*", *names)
+    assert simhash.near_duplicates(clash).count() == 5
+    for similarity in (None, 0.8):
+        kept = simhash.keep_one_of_each(clash, similarity=similarity)
+        assert kept.columns == clash.columns and kept.count() == 3
+    dotted = clash.withColumnRenamed("text", "the.text")
+    assert simhash.near_duplicates(dotted, text_col="the.text").count() == 5
+    for out in (
+        bpe.encode(clash, tokenizer_path()), quality_rules.judge(clash), quality_rules.keep_good(clash), substring.remove_repeats(clash),
+        quality_mil.score(clash, quality_mil.fit(clash, clash.selectExpr("doc_id", "1 as quality"))),
+    ):
+        assert set(clash.columns) <= set(out.columns) | {"score"} and out.count() in (0, 5)

@@ -25,16 +25,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .runtime import ship
+from .runtime import bare, named, place, ship
 
 #: The pre-tokenisation pattern of byte-level BPE.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space other than space and line feed, and the mark used in cutting.
 _UNUSUAL = re.compile(r"[^\S \n]|\x00")
 _MAX_CACHE = 1 << 19
+_MAX_PAIRS = 1 << 20
 _NEVER = 1 << 60
 
 
@@ -49,7 +50,8 @@ class Codec:
     """Encoder and decoder for the vocabulary file at ``path``.
 
     The file must hold byte-level BPE without normaliser, prefix space or
-    post-processor; truncation and padding in it are not used.
+    post-processor; truncation and padding in it are not used.  Added tokens that
+    match whole words only or strip blanks beside them are refused.
     """
 
     def __init__(self, path: str):
@@ -60,6 +62,8 @@ class Codec:
             raise ValueError("the file must hold byte-level BPE without prefix space")
         if spec["normalizer"] or spec["post_processor"] or spec["model"].get("ignore_merges"):
             raise ValueError("normalisers, post-processors and ignored merges are not supported")
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens with single_word, lstrip or rstrip are not supported")
         letters = _byte_letters()
         raw = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"] if all(c in letters for c in t)}
         self.vocab = {raw[t]: i for t, i in spec["model"]["vocab"].items() if t in raw}
@@ -151,10 +155,12 @@ class Codec:
         keys = left.astype(np.int64) << 32 | right
         new = np.setdiff1d(keys, self._pairs)
         if len(new):
+            if len(self._pairs) + len(new) > _MAX_PAIRS:  # bounded whatever the texts
+                self._pairs, self._fits = np.zeros(0, np.int64), np.zeros(0, bool)
+                new = np.unique(keys)
             fits = [self.merge(self.token[k >> 32] + self.token[k & 0xFFFFFFFF]) == [k >> 32, k & 0xFFFFFFFF] for k in new.tolist()]
-            every = np.concatenate((self._pairs, new))
-            order = np.argsort(every, kind="stable")
-            self._pairs, self._fits = every[order], np.concatenate((self._fits, np.array(fits, bool)))[order]
+            at = np.searchsorted(self._pairs, new)
+            self._pairs, self._fits = np.insert(self._pairs, at, new), np.insert(self._fits, at, fits)
         return self._fits[np.searchsorted(self._pairs, keys)]
 
     def words(self, words: list[bytes]) -> list[list[int]]:
@@ -261,7 +267,8 @@ def encode(
     numbers) and ``decoded_sha256`` (of the decoded text in UTF-8), which bounds
     a row whatever its text.  Null texts count as empty: no ids.  Rows, repeated
     ones too, come back one for one; input columns of the added names are
-    replaced; an empty table gives an empty result.  Executors must see ``path``.
+    replaced, other names are free; an empty table gives an empty result.
+    Executors must see ``path``.
     """
     from pyspark.sql.types import LongType
 
@@ -271,7 +278,9 @@ def encode(
     else:
         extra = [("input_ids", ArrayType(IntegerType()), pa.list_(pa.int32())), ("decoded", StringType(), pa.string())]
     added = [e[0] for e in extra]
-    carried = [c for c in docs.columns if c not in added]
+    kept = [k for k, c in enumerate(docs.columns) if c not in added]
+    rows = bare(docs).select(*[f"c{k}" for k in kept], place(docs, text_col).cast("string").alias("_text"))
+    carried = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
@@ -290,15 +299,16 @@ def encode(
                 arrays = [pa.array(f, e[2]) for f, e in zip(found, extra, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*carried, *added])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").alias("__text"))
-    schema = StructType([*[docs.schema[c] for c in carried], *[StructField(e[0], e[1]) for e in extra]])
-    return rows.mapInArrow(run, schema)
+    schema = StructType([*rows.schema.fields[:-1], *[StructField(e[0], e[1]) for e in extra]])
+    return named(rows.mapInArrow(run, schema), [*[docs.columns[k] for k in kept], *added])
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "input_ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of ``ids_col``; a null array gives an empty text."""
     ship(rows.sparkSession)
-    carried = [c for c in rows.columns if c != out_col]
+    kept = [k for k, c in enumerate(rows.columns) if c != out_col]
+    given = bare(rows).select(*[f"c{k}" for k in kept], place(rows, ids_col).alias("_ids"))
+    carried = given.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
@@ -306,5 +316,5 @@ def decode(rows: DataFrame, path: str, ids_col: str = "input_ids", out_col: str
             texts = [codec.decode(np.array(x or [], np.int64)) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*carried, out_col])
 
-    schema = StructType([*[rows.schema[c] for c in carried], StructField(out_col, StringType())])
-    return rows.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{ids_col}`").alias("__ids")).mapInArrow(run, schema)
+    schema = StructType([*given.schema.fields[:-1], StructField(out_col, StringType())])
+    return named(given.mapInArrow(run, schema), [*[rows.columns[k] for k in kept], out_col])

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .runtime import ship
+from .runtime import bare, named, place, ship, written
 from .words import BASES, U, mix, power_tables
 
 WORDS = 64
@@ -125,6 +125,25 @@ def forward(model: dict, x: np.ndarray, owner: np.ndarray, n: int) -> dict:
     return {"h": h, "t": t, "s": s, "g": g, "a": a, "z": z, "p": _sigmoid(z @ model["c"] + model["c0"])}
 
 
+def gradients(m: dict, x: np.ndarray, seg: np.ndarray, y: np.ndarray) -> dict:
+    """Gradient of the mean log loss over the texts with labels ``y``."""
+    xs = ((x - m["mean"]) / m["sd"]).clip(-8, 8)
+    f = forward(m, x, seg, len(y))
+    do = (f["p"] - y) / len(y)
+    dz = do[:, None] * m["c"][None, :]
+    dh = f["a"][:, None] * dz[seg]
+    da = (f["h"] * dz[seg]).sum(axis=1)
+    dl = f["a"] * (da - np.bincount(seg, f["a"] * da, len(y))[seg])
+    dg = dl[:, None] * m["w"][None, :]
+    dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * f["t"] * f["s"] * (1 - f["s"])
+    dh += dt @ m["V"].T + ds @ m["Q"].T
+    du = dh * (1 - f["h"] ** 2)
+    return {
+        "W": xs.T @ du, "b": du.sum(axis=0), "V": f["h"].T @ dt, "Q": f["h"].T @ ds,
+        "w": f["g"].T @ dl, "c": f["z"].T @ do, "c0": do.sum(keepdims=True),
+    }
+
+
 def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, *, code: int = 24, gate: int = 12, epochs: int = 40, batch: int = 128, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7) -> dict:
     """Gated attention network by Adam on the log loss; deterministic.
 
@@ -155,21 +174,7 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, *, code: int = 24, ga
             sizes = edge[docs + 1] - edge[docs]
             rows = np.repeat(edge[docs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             seg = np.repeat(np.arange(len(docs)), sizes)
-            xs = ((x[rows] - m["mean"]) / m["sd"]).clip(-8, 8)
-            f = forward(m, x[rows], seg, len(docs))
-            do = (f["p"] - y[docs]) / len(docs)
-            dz = do[:, None] * m["c"][None, :]
-            dh = f["a"][:, None] * dz[seg]
-            da = (f["h"] * dz[seg]).sum(axis=1)
-            dl = f["a"] * (da - np.bincount(seg, f["a"] * da, len(docs))[seg])
-            dg = dl[:, None] * m["w"][None, :]
-            dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * f["t"] * f["s"] * (1 - f["s"])
-            dh += dt @ m["V"].T + ds @ m["Q"].T
-            du = dh * (1 - f["h"] ** 2)
-            grads = {
-                "W": xs.T @ du, "b": du.sum(axis=0), "V": f["h"].T @ dt, "Q": f["h"].T @ ds,
-                "w": f["g"].T @ dl, "c": f["z"].T @ do, "c0": do.sum(keepdims=True),
-            }
+            grads = gradients(m, x[rows], seg, y[docs])
             step += 1
             for k in names:
                 g = grads[k] + decay * m[k] * (m[k].ndim > 1)
@@ -186,49 +191,59 @@ def held_out(id_column: Column) -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *,
-    max_rows: int = 4000, max_bytes: int = 1 << 18, **params,
+    max_rows: int = 4000, max_bytes: int = 1 << 18, max_total: int = 1 << 26, **params,
 ) -> dict:
-    """Train on at most ``max_rows`` labelled texts of at most ``max_bytes``.
+    """Train on at most ``max_rows`` labelled texts of at most ``max_bytes`` each
+    and ``max_total`` together.
 
     The sample is bounded by these parameters: the labelled ids that are not
-    held out, in the order of a hash of the id, the first ``max_rows`` of them.
-    An id with several labels has the least; ids or labels that are null, and
-    labelled ids without a text, are left out.
+    held out, in the order of a hash of the id, the first ``max_rows`` of them,
+    as far as their texts go into ``max_total``; the features that reach the
+    driver take less room than the texts.  An id with several labels has the
+    least, an id with several texts the one with the least hash; ids or labels
+    that are null, and labelled ids without a text, are left out.
     """
     ship(docs.sparkSession)
-    known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y"))
+    known = bare(labels).select(place(labels, id_col).alias("_id"), place(labels, label_col).cast("int").alias("_y"))
     known = known.filter("_id is not null and _y is not null").filter(~held_out(F.col("_id")))
     chosen = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    text = F.col(f"`{text_col}`").cast("binary")
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_t")).join(F.broadcast(chosen), "_id")  # max_rows at most
-    rows = rows.filter(F.coalesce(F.octet_length("_t"), F.lit(0)) <= max_bytes).select("_id", "_y", "_t")
+    rows = bare(docs).select(place(docs, id_col).alias("_id"), place(docs, text_col).cast("binary").alias("_t")).join(F.broadcast(chosen), "_id")  # max_rows at most
+    rows = rows.withColumn("_size", F.coalesce(F.octet_length("_t"), F.lit(0))).filter(F.col("_size") <= max_bytes)
+    one = rows.groupBy("_id", "_y").agg(F.min_by(F.struct("_t", "_size"), F.xxhash64("_t")).alias("_x"))
+    one = written(one.select("_id", "_y", "_x._t", "_x._size"), "mil-sample")
+    ahead = Window.orderBy(F.xxhash64("_id"), "_id")  # over max_rows small rows
+    room = one.select("_id", F.sum("_size").over(ahead.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum")).filter(F.col("_sum") <= max_total)
+    sample = one.join(F.broadcast(room.select("_id")), "_id").select("_id", "_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, owner = encode(b.column(2).to_pylist())
-            lists = [part.ravel() for part in np.split(x, np.searchsorted(owner, np.arange(1, b.num_rows)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.float64()))], names=["_id", "_y", "_x"])
+            parts = [part.tobytes() for part in np.split(x, np.searchsorted(owner, np.arange(1, b.num_rows)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.binary())], names=["_id", "_y", "_x"])
 
-    schema = StructType([rows.schema["_id"], rows.schema["_y"]])
-    found = rows.mapInArrow(run, schema.add("_x", ArrayType(DoubleType()))).limit(max_rows).collect()
-    found.sort(key=lambda r: (str(r._id), r._y, r._x))  # any order of tasks gives one model
-    xs = [np.array(r._x).reshape(-1, N_FEATURES) for r in found]
+    schema = f"_id {sample.schema['_id'].dataType.simpleString()}, _y int, _x binary"
+    found = sample.mapInArrow(run, schema).toArrow()
+    order = sorted(range(found.num_rows), key=lambda k: str(found["_id"][k].as_py()))  # any order of tasks gives one model
+    xs = [np.frombuffer(found["_x"][k].as_py()).reshape(-1, N_FEATURES) for k in order]
     x = np.concatenate(xs) if xs else np.zeros((0, N_FEATURES))
     owner = np.repeat(np.arange(len(xs)), [len(v) for v in xs])
-    return train(x, owner, np.array([float(r._y == 1) for r in found]), **params)
+    return train(x, owner, np.array([float(found["_y"][k].as_py() == 1) for k in order]), **params)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", *, attention: bool = False, batch: int = 256) -> DataFrame:
     """``docs`` with ``score``, from 0 to 1, of every whole text; with
-    ``attention`` also ``top_passage``, the number of the heaviest passage.
+    ``attention`` also ``top_passage``, the number of the heaviest passage (the
+    first of equal ones).
 
     A null text is empty: one passage without words.  Only the text is read for
     the score.  Rows come back one for one; input columns of the added names are
-    replaced; an empty table gives an empty result.
+    replaced, other names are free; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     added = ["score", *(["top_passage"] if attention else [])]
-    carried = [c for c in docs.columns if c not in added]
+    kept = [k for k, c in enumerate(docs.columns) if c not in added]
+    rows = bare(docs).select(*[f"c{k}" for k in kept], place(docs, text_col).cast("binary").alias("_text"))
+    carried = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -242,6 +257,6 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", *, attention: bo
                     arrays.append(pa.array([int(f["a"][i:j].argmax()) for i, j in zip(edge, edge[1:], strict=False)], pa.int64()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *added])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("binary").alias("__text"))
     kinds = [StructField("score", DoubleType()), *([StructField("top_passage", LongType())] if attention else [])]
-    return rows.mapInArrow(run, StructType([*[docs.schema[c] for c in carried], *kinds]))
+    out = rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *kinds]))
+    return named(out, [*[docs.columns[k] for k in kept], *added])

@@ -1,16 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
-A rule rejects a text on the strength of one measure.  Measures differ in cost
+A rule rejects a text on the strength of some measures.  Measures differ in cost
 by two orders of magnitude and rules differ in how much they reject, so the
-order matters when a text needs only a verdict: the cascade times every rule on
-a sample, counts what it rejects there, and runs the rules by rejections per
-second.  A text leaves at its first rejection.  All rules are deterministic and
-the verdict is their conjunction, so the order changes cost and nothing else.
+order matters when a text needs only a verdict.  On a sample the cascade finds
+what each rule reads and rejects, and takes as the next rule the one with the
+most rejections for its cost among the texts that the rules before let pass;
+measures that an earlier rule has read cost nothing.  Costs come from COST, a
+table of what each measure takes for a word and for a byte, not from a clock, so
+one table always gives one order.  A text leaves at its first rejection.  The
+verdict is the conjunction of all rules and does not depend on the order;
+``reason``, the first rule that rejects, does.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import ship
+from .runtime import bare, named, place, ship
 from .words import covered, windows, word_hashes
 
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -33,6 +36,7 @@ class Text:
         self.raw = raw or b""
         self._known: dict[str, float] = {}
         self._words: list[bytes] | None = None
+        self.asked: set[str] = set()
 
     @property
     def words(self) -> list[bytes]:
@@ -41,6 +45,7 @@ class Text:
         return self._words
 
     def __getitem__(self, measure: str) -> float:
+        self.asked.add(measure)
         if measure not in self._known:
             self._known[measure] = MEASURES[measure](self)
         return self._known[measure]
@@ -125,6 +130,13 @@ OWN = (
 )
 
 
+#: Nanoseconds that a measure takes for a byte of text and for a word, roughly.
+COST: dict[str, tuple[float, float]] = {
+    "n_words": (2, 20), "word_chars": (3, 0), "n_symbols": (2, 0), "n_dup_lines": (2, 3), "n_repeat_words": (2, 400),
+    "n_lines": (2, 3), "n_shouts": (1, 0), "upper_share": (30, 0), "n_stutters": (2, 45), "n_distinct_words": (2, 60),
+}
+
+
 def plan(
     docs: DataFrame,
     text_col: str = "text",
@@ -132,22 +144,49 @@ def plan(
     sample_rows: int = 500,
     sample_bytes: int = 1 << 20,
 ) -> list[int]:
-    """Order of ``rules`` by rejections per second on at most ``sample_rows`` rows.
+    """Order of ``rules`` by rejections for their cost on at most ``sample_rows`` rows.
 
-    The rows are the first that a scan yields, of at most ``sample_bytes`` each,
-    so both the reading and the driver's memory are bounded: the sample sets an
-    order, never a verdict.  Rules that reject nothing go last, cheapest first;
-    an empty table keeps the given order.
+    The rows are those with the least hash of all columns, of texts of at most
+    ``sample_bytes`` each, so that the driver's memory is bounded and every task
+    keeps no more than a few: the sample sets an order, never a verdict.  On
+    equal yields (rules that reject nothing go last) the cheaper rule comes
+    first, then the one given first; an empty table keeps the given order.
     """
-    texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("_t"))
-    sample = [bytes(r._t or b"") for r in texts.filter(F.coalesce(F.octet_length("_t"), F.lit(0)) <= sample_bytes).take(sample_rows)]
-    by = []
-    for rule in rules:
-        began = time.perf_counter()
-        gone = sum(rule.rejects(Text(raw)) for raw in sample)  # a new Text: each rule pays for what it reads
-        cost = time.perf_counter() - began
-        by.append((-gone / max(cost, 1e-9), cost))
-    return sorted(range(len(rules)), key=by.__getitem__) if sample else list(range(len(rules)))
+    rows, text = bare(docs), place(docs, text_col).cast("binary")
+    some = rows.select(text.alias("_t"), F.xxhash64(*rows.columns).alias("_h")).filter(F.coalesce(F.octet_length("_t"), F.lit(0)) <= sample_bytes)
+    share = docs.count() // (40 * sample_rows)  # of a large table only one row in so many is compared
+    some = some.filter(F.pmod(F.xxhash64("_h"), F.lit(max(1, share))) == 0)
+    sample = [Text(bytes(r._t or b"")) for r in some.orderBy("_h", "_t").limit(sample_rows).collect()]
+    return order_of([(r, r.rejects) for r in rules], sample) if sample else list(range(len(rules)))
+
+
+def order_of(rules: list[tuple[Rule, Callable[[Text], bool]]], sample: list[Text]) -> list[int]:
+    """The cascade's order on the texts of a sample."""
+    gone: list[list[bool]] = []
+    reads: list[list[set[str]]] = []
+    for _, rejects in rules:
+        hit, read = [], []
+        for t in sample:
+            t.asked = set()
+            hit.append(rejects(t))
+            read.append(t.asked)
+        gone.append(hit)
+        reads.append(read)
+    price = [{m: c[0] * len(t.raw) + c[1] * len(t.words) for m, c in COST.items()} for t in sample]
+    left, known, out = set(range(len(sample))), [set() for _ in sample], []
+    while len(out) < len(rules):
+        best = None
+        for k in (k for k in range(len(rules)) if k not in out):
+            cost = sum(price[i].get(m, 0.0) for i in left for m in reads[k][i] - known[i])
+            yields = sum(gone[k][i] for i in left) / max(cost, 1.0)
+            if best is None or (-yields, cost) < best[0]:
+                best = ((-yields, cost), k)
+        k = best[1]
+        out.append(k)
+        for i in left:
+            known[i] |= reads[k][i]
+        left = {i for i in left if not gone[k][i]}
+    return out
 
 
 def judge(
@@ -172,7 +211,7 @@ def judge(
     Null texts count as empty; an empty text has no words and fails the base;
     repeated rows get equal verdicts; an empty table gives an empty result.
     ``prefix`` goes before the added names; input columns of these names are
-    replaced, and the text must not be one of them.
+    replaced (the text may be one of them), other names are free.
     """
     ship(docs.sparkSession)
     first = [*base]
@@ -182,14 +221,15 @@ def judge(
     n_base = {id(r) for r in first}
     added = [*(REPORTED if report else ()), "base_failed", "kept", "reason"]
     names = [prefix + a for a in added]
-    carried = [c for c in docs.columns if c not in names]
-    at_text = carried.index(text_col)
+    stay = [k for k, c in enumerate(docs.columns) if c not in names]
+    rows = bare(docs).select(*[f"c{k}" for k in stay], place(docs, text_col).cast("binary").alias("_text"))
+    carried = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, batch) for whole in batches for at in range(0, whole.num_rows, batch)):
             found: dict[str, list] = {a: [] for a in added}
-            for raw in b.column(at_text).cast(pa.binary()).to_pylist():
-                t = Text(raw)
+            for raw in b.column(b.num_columns - 1):
+                t = Text(raw.as_py())
                 failed: bool | None = None
                 reason = None
                 if report:
@@ -205,16 +245,15 @@ def judge(
                 found["base_failed"].append(failed)
                 found["kept"].append(reason is None)
                 found["reason"].append(reason)
-            arrays = [*b.columns, *(pa.array(found[a], kinds[a]) for a in added)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
+            arrays = [*b.columns[:-1], *(pa.array(found[a], kinds[a]) for a in added)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *added])
 
     kinds = {m: pa.int64() for m in REPORTED} | {"base_failed": pa.bool_(), "kept": pa.bool_(), "reason": pa.string()}
     from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
     sparks = {pa.int64(): LongType(), pa.bool_(): BooleanType(), pa.string(): StringType()}
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried])
-    schema = StructType([*[docs.schema[c] for c in carried], *[StructField(n, sparks[kinds[a]]) for n, a in zip(names, added, strict=True)]])
-    return rows.mapInArrow(run, schema)
+    schema = StructType([*rows.schema.fields[:-1], *[StructField(a, sparks[kinds[a]]) for a in added]])
+    return named(rows.mapInArrow(run, schema), [*[docs.columns[k] for k in stay], *names])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
@@ -222,5 +261,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
 
     Only the verdict is needed here, so the whole cascade short-circuits.
     """
-    judged = judge(docs, text_col, report=False, prefix="__q_", **params)
-    return judged.filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = judge(bare(docs), f"c{docs.columns.index(text_col)}", report=False, prefix="_q_", **params)
+    return named(judged.filter("_q_kept").drop("_q_base_failed", "_q_kept", "_q_reason"), docs.columns)

@@ -53,6 +53,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload_digest",
         "record_type",
         F.col("refers_to").cast("bigint").alias("refers_to"),
+        F.sha2(warc.record_bytes(records), 256).alias("record_sha256"),
     )
 
 
@@ -140,19 +141,27 @@ _BASE32 = " || ".join(
     for at in range(0, 40, 5)
     for shift in (15, 10, 5, 0)
 )
+_SAFE_URL = "url"
+for _c in "%\t\n\r <>":
+    _SAFE_URL = f"replace({_SAFE_URL}, chr({ord(_c)}), '%{ord(_c):02X}')"
 OP3_SQL = f"""
 with rows as (
-  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages
+  select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages
 ), ranked as (
-  select page_id, strlen(html)::bigint as payload_bytes, sha,
+  select page_id, url, html, strlen(html)::bigint as payload_bytes, sha,
     max(page_id) over (partition by html) as top,
     row_number() over (partition by html order by page_id desc) as n
   from rows
+), found as (
+  select *, {_BASE32} as payload_digest, case when n = 1 then 'response' else 'revisit' end as record_type, case when n > 1 then top end as refers_to, chr(13) || chr(10) as nl
+  from ranked
 )
-select page_id, payload_bytes, {_BASE32} as payload_digest,
-  case when n = 1 then 'response' else 'revisit' end as record_type,
-  case when n > 1 then top end as refers_to
-from ranked
+select page_id, payload_bytes, payload_digest, record_type, refers_to,
+  sha256('WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Date: 1970-01-01T00:00:00Z'
+    || coalesce(nl || 'WARC-Target-URI: ' || {_SAFE_URL}, '') || nl || 'WARC-Payload-Digest: sha1:' || payload_digest
+    || case when n > 1 then nl || 'WARC-Refers-To: <urn:page:' || top || '>' || nl || 'WARC-Profile: identical-payload-digest' else '' end
+    || nl || 'Content-Length: ' || case when n = 1 then payload_bytes else 0 end || nl || nl || case when n = 1 then html else '' end || nl || nl) as record_sha256
+from found
 """
 
 _DRAWS = ", ".join(f"{{'s': substr(md5(name || ':{n}'), 1, 13), 'n': {-n}}}" for n in range(17))

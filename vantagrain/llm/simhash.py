@@ -9,8 +9,9 @@ some a is orthogonal to all of it: in that table the two agree.  With radius 4
 there are 31 tables that keep 32 bits each.
 
 Equal fingerprints are one node, so copies cost one row each and no pairs.  A
-bucket of up to ``bucket_limit`` fingerprints is paired and verified.  The
-fingerprints of larger buckets (clusters of near copies) are linked through the
+bucket of up to ``bucket_limit`` fingerprints is paired and verified (with ten
+billion different texts a bucket of 32 kept bits holds two or three by chance in
+each of the 31 tables, which the verification drops).  The fingerprints of larger buckets (clusters of near copies) are linked through the
 points within ``radius``/2 of them instead: two fingerprints are within radius
 exactly if such points coincide, and a point links its fingerprints as a star,
 so no cluster is ever paired with itself.
@@ -23,11 +24,11 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from .graph import components
-from .runtime import ship, written
+from .runtime import bare, place, ship, written
 
 _CHUNK = 1 << 16
 
@@ -66,6 +67,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _row, _t): the id, a hash of all columns, and the text's bytes."""
+    rows = bare(docs)
+    return rows.select(place(docs, id_col).cast("bigint").alias("_id"), F.xxhash64(*rows.columns).alias("_row"), place(docs, text_col).cast("binary").alias("_t"))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
     """(_id, _row, _fp): one row for each row of ``docs``; _row hashes all its columns."""
 
@@ -77,16 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed
             )
 
     ship(docs.sparkSession)
-    rows = docs.select(_id(id_col), _row(docs), F.col(text_col).cast("binary").alias("_t"))
-    return rows.mapInArrow(run, "_id bigint, _row bigint, _fp bigint")
-
-
-def _id(id_col: str) -> Column:
-    return F.col(f"`{id_col}`").cast("bigint").alias("_id")
-
-
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "_id bigint, _row bigint, _fp bigint")
 
 
 def links(nodes: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
@@ -186,11 +184,7 @@ def near_duplicates(
     an empty result.
     """
     rows, label = _grouped(docs, id_col, text_col, shingle, radius, seed, bucket_limit)
-    return rows.join(label, "_fp", "left").select(
-        F.col("_id").alias(id_col),
-        F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
-        F.col("_comp").alias("component_id"),
-    )
+    return rows.join(label, "_fp", "left").select("_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")), "_comp").toDF(id_col, "fingerprint", "component_id")
 
 
 def keep_one_of_each(
@@ -198,17 +192,31 @@ def keep_one_of_each(
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
-    shingle: int = 4,
+    shingle: int | None = None,
     radius: int = 4,
+    similarity: float | None = None,
     seed: int = 42,
     bucket_limit: int = 64,
 ) -> DataFrame:
     """``docs`` without near duplicates: of each component one row stays, that
     with the smallest id (nulls last); among rows that share the id, the one
-    with the smallest hash of all columns; of wholly equal rows, one.  Columns
-    and values stay as they are; see near_duplicates for null and empty texts.
+    with the smallest hash of all columns; of wholly equal rows, one.  Columns,
+    of whatever name, and values stay as they are; see near_duplicates for null
+    and empty texts.
+
+    Texts are linked if their fingerprints of four-word shingles differ in at
+    most ``radius`` bits; with ``similarity``, if their sets of five-word
+    shingles have at least that Jaccard similarity.  A similarity of 0.8 is some
+    ten of 64 bits, up to eighteen, for which a covering family would need 2**19
+    tables; candidates then come from minimum hashes (see ``jaccard``) and every
+    link is verified on the sets.
     """
-    rows, label = _grouped(docs, id_col, text_col, shingle, radius, seed, bucket_limit)
+    if similarity is not None:
+        from .jaccard import grouped
+
+        rows, label = grouped(docs, id_col, text_col, shingle or 5, similarity, seed)
+    else:
+        rows, label = _grouped(docs, id_col, text_col, shingle or 4, radius, seed, bucket_limit)
     return keep_best(docs, rows, label, id_col)
 
 
@@ -223,12 +231,11 @@ def keep_best(docs: DataFrame, rows: DataFrame, label: DataFrame, id_col: str) -
     once, again = copies.filter("_n = 1"), copies.filter("_n > 1")
     kept = _only(docs, once, id_col)
     # wholly equal rows are rare: only they pass through a grouping of full rows
-    return kept.unionByName(_only(docs, again, id_col).dropDuplicates())
+    return kept.union(_only(docs, again, id_col).dropDuplicates()).toDF(*docs.columns)
 
 
 def _only(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(F.struct(*names).alias("_all"), _id(id_col), _row(docs))
-    keys = keys.select(F.col("_id").alias("_kid"), F.col("_row").alias("_krow"))
-    found = marked.join(keys, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_row") == F.col("_krow")), "left_semi")
-    return found.select("_all.*")
+    """The rows of ``bare(docs)`` with these keys."""
+    rows = bare(docs)
+    i, row = place(docs, id_col).cast("bigint"), F.xxhash64(*rows.columns)
+    return rows.join(keys, i.eqNullSafe(F.col("_id")) & (row == F.col("_row")), "left_semi")

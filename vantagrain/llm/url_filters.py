@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .runtime import bare, named, place
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,7 +71,11 @@ def judge(
     with a null or empty host or a null verdict fit nothing; a null rule path is
     empty.  A null URL, or one without ``://``, has an empty host and path and
     fits no rule.  Rows come back one for one, repeated ones too; input columns
-    of the added names are replaced; empty tables give the default or nothing.
+    of the added names are replaced (the URL may be one of them), other names
+    are free; empty tables give the default or nothing.
+
+    A URL is expanded no deeper than the deepest rule and its own host and path
+    go, so one rule of very many labels or slashes makes all such URLs wide.
 
     Rules are joined as the optimiser sees fit: broadcast only if their size is
     known to be below the session's threshold, by shuffle otherwise.
@@ -86,7 +92,8 @@ def judge(
     ).first()  # two numbers, whatever the number of rules
     labels, slashes = int(depth.labels or 0), int(depth.slashes or 0)
 
-    urls = pages.select(F.col(f"`{url_col}`").alias("url")).filter("url is not null").distinct()
+    rows, address = bare(pages), place(pages, url_col)
+    urls = rows.select(address.alias("url")).filter("url is not null").distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("uh"), path_of(F.col("url")).alias("up"))
     parts, pieces = F.split("uh", r"\."), F.split("up", "/")
     hosts = F.transform(
@@ -109,13 +116,8 @@ def judge(
         (F.col("v") != "block").alias("c"), F.col("v").alias("v"),
     )
     best = met.groupBy("url").agg(F.min(F.when(fits, order)).alias("w")).filter("w is not null")
-    best = best.select(F.col("url").alias("__u"), F.col("w.rule").alias("__rule"), F.col("w.v").alias("__v"))
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in added]
-    marked = pages.select(*kept, F.col(f"`{url_col}`").alias("__url")).join(best, F.col("__url") == F.col("__u"), "left")
-    return marked.select(
-        *kept,
-        host_of(F.col("__url")).alias(host),
-        path_of(F.col("__url")).alias(path),
-        F.col("__rule").alias(rule),
-        F.coalesce("__v", F.lit(default)).alias(verdict),
-    )
+    best = best.select(F.col("url").alias("u"), F.col("w.rule").alias("rule"), F.col("w.v").alias("v"))
+    marked = rows.join(best, address == F.col("u"), "left")
+    kept = [(k, c) for k, c in enumerate(pages.columns) if c not in added]
+    out = marked.select(*[f"c{k}" for k, _ in kept], host_of(address), path_of(address), "rule", F.coalesce("v", F.lit(default)))
+    return named(out, [*[c for _, c in kept], *added])

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .runtime import ship, written
+from .runtime import bare, place, ship, written
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EPOCH = "1970-01-01T00:00:00Z"
+_RUN = 10_000
 
 
 def base32_of_hex(digest: Column, n_hex: int = 40) -> Column:
@@ -48,6 +49,7 @@ def write_archive(
     payload_col: str = "html",
     *,
     min_bytes: int = 0,
+    filter_bits: int = 1 << 23,
 ) -> None:
     """Write the archive folders ``records`` and ``payloads`` below ``path``.
 
@@ -58,26 +60,35 @@ def write_archive(
     Line ends, tabs, blanks, ``%``, ``<`` and ``>`` in ids and URLs are
     percent-encoded in headers.
 
-    Only digests are shuffled.  Payloads that occur once are written by the task
-    that reads them; the others are first deduplicated within each task.
+    Digests are shuffled, and of payloads only those that may occur again: a
+    bitmap of ``filter_bits`` marks the shared digests, and what it does not mark
+    is written by the task that reads it.  Of the others each task sends one.
+    Repeated rows come out in runs of bounded length.
     """
-    payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
+    payload = F.coalesce(place(pages, payload_col).cast("binary"), F.lit("").cast("binary"))
+    rows = bare(pages).select(place(pages, id_col).alias("id"), place(pages, url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
     seen = rows.select("id", "url", "sha256", F.octet_length("payload").cast("bigint").alias("size"), F.sha1("payload").alias("sha1"))
     equal = written(seen.groupBy("id", "url", "sha256", "size", "sha1").agg(F.count(F.lit(1)).alias("n")), "warc-seen")
     per = equal.groupBy("sha256").agg(F.sum("n").alias("n"), F.max(F.struct("id", "url")).alias("top"))
     shared = written(per.filter("n > 1"), "warc-shared")
 
-    once = rows.join(shared.select("sha256"), "sha256", "left_anti").select("sha256", "payload")
-    again = rows.join(shared.select("sha256"), "sha256", "left_semi").select("sha256", "payload").dropDuplicates(["sha256"])
-    once.unionByName(again).write.parquet(f"{path}/payloads")
-
-    marked = equal.join(shared.select("sha256", "top"), "sha256", "left")
+    place_of = F.pmod(F.xxhash64("sha256"), F.lit(filter_bits))
+    word, bit = F.floor(place_of / 64), (place_of % 64).cast("int")
+    mark = F.expr("shiftleft(1L, bit)")
+    marks = shared.select(word.alias("word"), bit.alias("bit")).select("word", mark.alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    marked = rows.select("sha256", "payload", word.alias("word"), bit.alias("bit")).join(F.broadcast(marks), "word", "left")  # filter_bits / 64 rows at most
+    again = F.coalesce(F.col("marks"), F.lit(0)).bitwiseAND(mark) != 0
+    once = marked.filter(~again).select("sha256", "payload")
+    some = marked.filter(again).select("sha256", "payload").dropDuplicates(["sha256"])
+    once.unionByName(some).write.parquet(f"{path}/payloads")
+
+    ranked = equal.join(shared.select("sha256", "top"), "sha256", "left")
     first = F.col("id").eqNullSafe(F.col("top.id")) & F.col("url").eqNullSafe(F.col("top.url"))
     alone = F.col("top").isNull() | (F.col("size") < min_bytes)
-    copies = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")
-    each = marked.select("*", copies).withColumn("response", alone | (first & (F.col("copy") == 1)))
+    runs = ranked.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _RUN))))
+    copies = F.explode(F.sequence(F.col("run") * _RUN + 1, F.least(F.col("n"), (F.col("run") + 1) * _RUN))).alias("copy")
+    each = runs.select("*", copies).withColumn("response", alone | (first & (F.col("copy") == 1)))
     target = F.when(~F.col("response"), F.col("top.id"))
     headers = _header(F.col("id"), F.col("copy"), F.col("url"), F.col("size"), F.col("sha1"), F.col("response"), target)
     each.select(headers.alias("header"), "sha256").write.parquet(f"{path}/records")
@@ -153,6 +164,15 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def record_bytes(rows: DataFrame) -> Column:
+    """The original record of each row of ``read_archive``, byte for byte; a block
+    whose length is not the header's Content-Length stops the job."""
+    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
+    said = F.regexp_extract("header", r"\r\nContent-Length: (\d+)\r\n", 1).cast("bigint")
+    whole = F.concat(F.col("header").cast("binary"), block, F.lit("\r\n\r\n").cast("binary"))
+    return F.when(F.octet_length(block) == said, whole).otherwise(F.raise_error(F.concat(F.lit("wrong length: "), F.col("header"))).cast("binary"))
+
+
 def export_warc(spark: SparkSession, archive: str, path: str, *, max_records: int = 50_000) -> None:
     """Write the original records as WARC files on any Hadoop file system.
 
