@@ -154,7 +154,7 @@ def plan(
     """
     rows, text = bare(docs), place(docs, text_col).cast("binary")
     some = rows.select(text.alias("_t"), F.xxhash64(*rows.columns).alias("_h")).filter(F.coalesce(F.octet_length("_t"), F.lit(0)) <= sample_bytes)
-    share = docs.count() // (40 * sample_rows)  # of a large table only one row in so many is compared
+    share = docs.count() // (4 * sample_rows)  # of a large table only one row in so many is compared
     some = some.filter(F.pmod(F.xxhash64("_h"), F.lit(max(1, share))) == 0)
     sample = [Text(bytes(r._t or b"")) for r in some.orderBy("_h", "_t").limit(sample_rows).collect()]
     return order_of([(r, r.rejects) for r in rules], sample) if sample else list(range(len(rules)))

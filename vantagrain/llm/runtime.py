@@ -5,12 +5,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.shipping import ship
 
-__all__ = ["bare", "drop_written", "named", "new_path", "place", "row_keys", "shared_dir", "ship", "written"]
+__all__ = ["bare", "delete", "drop_written", "named", "new_path", "place", "row_keys", "scratch", "shared_dir", "ship", "written"]
+
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/vantagrain/{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vantagrain/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,13 +56,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_written(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables from the shared folder."""
-    path = f"{shared_dir(spark)}/vantagrain/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    """Delete this application's intermediate tables from the shared folder, and
+    with them all results not yet read that rest on them."""
+    delete(spark, f"{shared_dir(spark)}/vantagrain/{spark.sparkContext.applicationId}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any Hadoop file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of tables written inside; on leaving, all but the last are deleted.
+
+    The last must be a result that was written out, since a DataFrame that still
+    rests on one of the others could no longer be read.
+    """
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+    for path in made[:-1]:
+        delete(spark, path)
+
+
 def bare(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns renamed by position (c0, c1, ...), so that no
     name of the input can clash with those an operator adds."""
