@@ -24,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     that holds the package.  The zip goes through Spark's own file server, so no
     shared folder is needed.
     """
-    now = spark.conf.get(_LIMIT, "0").rstrip("b")
+    now = spark.conf.get(_LIMIT, str(1 << 26)).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(_LIMIT, str(BATCH_BYTES))
     context = spark.sparkContext
