@@ -3,24 +3,26 @@
 Records are paired by id in truth.  For every query record the attacker's
 candidate set among the released records of its block is found, and the risk is
 the weight of the true record in it.  Distances are evaluated block against
-block in numpy; a task returns only candidates (the nearest with ties, the k
-nearest with ties, or those within a threshold), never all pairs.
+block in numpy; a task returns a few numbers for a record (its least distances
+and how many have them, or counts and weights within a threshold), never pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.shipping import ship
 from ..functions.special import chi2_ppf
 from .blocks import ranges
 from .common import MeasureResult, is_numeric, key_join
+from .density import concentrated_covariance
 from .distributions import covariance, median_absolute_deviation
 from .ranks import average_ranks, running
 
@@ -28,33 +30,35 @@ BLOCK_ROWS = 2048
 _BANDS = (0.05, 0.1, 0.2, 0.5)
 
 
-def _distances(a: tuple, b: tuple, spec: dict) -> np.ndarray:
-    """All distances between two small blocks of (numbers, category hashes)."""
+def _distance(a: tuple, b: tuple, spec: dict) -> np.ndarray:
+    """Distances of (numbers, category hashes) that broadcast against each other;
+    the last axis holds the columns."""
     num_a, cat_a = a
     num_b, cat_b = b
+    shape = np.broadcast_shapes(num_a.shape[:-1], num_b.shape[:-1])
     if spec["kind"] == "fs":
-        out = np.zeros((len(num_a), len(num_b)))
-        for k in range(num_a.shape[1]):
-            agree = np.abs(num_a[:, k, None] - num_b[None, :, k]) <= spec["tolerance"][k]
+        out = np.zeros(shape)
+        for k in range(num_a.shape[-1]):
+            agree = np.abs(num_a[..., k] - num_b[..., k]) <= spec["tolerance"][k]
             out -= np.where(agree, *spec["num_lr"][k])
-        for k in range(cat_a.shape[1]):
-            out -= np.where(cat_a[:, k, None] == cat_b[None, :, k], *spec["cat_lr"][k])
+        for k in range(cat_a.shape[-1]):
+            out -= np.where(cat_a[..., k] == cat_b[..., k], *spec["cat_lr"][k])
         return np.round(out, 12)
     if spec["kind"] == "mahalanobis":
-        d = np.sqrt(sum((num_a[:, k, None] - num_b[None, :, k]) ** 2 for k in range(num_a.shape[1]))) / spec["scale"]
-        if cat_a.shape[1]:
-            share = num_a.shape[1] / (num_a.shape[1] + cat_a.shape[1])
-            miss = np.mean([cat_a[:, k, None] != cat_b[None, :, k] for k in range(cat_a.shape[1])], axis=0)
+        d = np.sqrt(sum((num_a[..., k] - num_b[..., k]) ** 2 for k in range(num_a.shape[-1]))) / spec["scale"]
+        if cat_a.shape[-1]:
+            share = num_a.shape[-1] / (num_a.shape[-1] + cat_a.shape[-1])
+            miss = np.mean([cat_a[..., k] != cat_b[..., k] for k in range(cat_a.shape[-1])], axis=0)
             d = share * np.minimum(d, 1) + (1 - share) * miss
         return np.round(d, 12)
-    total = np.zeros((len(num_a), len(num_b)))
-    weight = np.zeros_like(total)
+    total = np.zeros(shape)
+    weight = np.zeros(shape)
     fill = {"match": 0.0, "mismatch": 1.0}.get(spec["na"])
-    parts = [(np.abs(num_a[:, k, None] - num_b[None, :, k]), w) for k, w in enumerate(spec["num_w"])]
+    parts = [(np.abs(num_a[..., k] - num_b[..., k]), w) for k, w in enumerate(spec["num_w"])]
     for k, w in enumerate(spec["cat_w"]):
         # null categories carry the hash of null, given with the block's spec
-        miss = (cat_a[:, k, None] == spec["null"]) | (cat_b[None, :, k] == spec["null"])
-        parts.append((np.where(miss, np.nan, cat_a[:, k, None] != cat_b[None, :, k]), w))
+        miss = (cat_a[..., k] == spec["null"]) | (cat_b[..., k] == spec["null"])
+        parts.append((np.where(miss, np.nan, cat_a[..., k] != cat_b[..., k]), w))
     for d, w in parts:
         known = ~np.isnan(d)
         if fill is None:
@@ -63,7 +67,12 @@ def _distances(a: tuple, b: tuple, spec: dict) -> np.ndarray:
         else:
             total += w * np.where(known, d, fill)
             weight += w
-    return np.round(np.divide(total, weight, out=np.ones_like(total), where=weight > 0), 12)
+    return np.round(np.divide(total, weight, out=np.ones(shape), where=weight > 0), 12)
+
+
+def _distances(a: tuple, b: tuple, spec: dict) -> np.ndarray:
+    """All distances between two small blocks."""
+    return _distance(tuple(v[:, None, :] for v in a), tuple(v[None, :, :] for v in b), spec)
 
 
 def _vectors(df: DataFrame, id_col: str, nums: Sequence, cats: Sequence[str], block: Sequence[str]) -> DataFrame:
@@ -78,57 +87,179 @@ def _vectors(df: DataFrame, id_col: str, nums: Sequence, cats: Sequence[str], bl
     )
 
 
-def candidates(queries: DataFrame, refs: DataFrame, spec: dict, strategy: str, k: int, tau: float) -> DataFrame:
-    """(id, d_true, n_less, n_refs, rids, ds): candidates of each query by block.
+def _deal(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with group columns (g0, g1, g2, g3): every query meets every
+    reference of its block in one group.
 
-    Results of several reference blocks are merged by the caller; each holds at
-    least the final candidates that lie in it.
+    Blocks of at most BLOCK_ROWS on either side travel once, several to a group;
+    only larger ones are cut, and only their rows are copied, as often as the
+    other side has parts.  A block that one side lacks has no candidates.
     """
-    ship(queries.sparkSession)
-    n_q, n_r = (max(1, -(-d.count() // BLOCK_ROWS)) for d in (queries, refs))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
-    left = queries.select("id", "block", "nums", "cats", "true_nums", "true_cats", part(n_q).alias("qb"), every(n_r).alias("rb"))
-    right = refs.select("id", "block", "nums", "cats", part(n_r).alias("rb"), every(n_q).alias("qb"))
-    right = right.toDF(*[f"r_{c}" for c in right.columns])
+    n = F.count(F.lit(1))
+    sizes = queries.groupBy("block").agg(n.alias("n_q")).join(refs.groupBy("block").agg(n.alias("n_r")), "block")
+    cells = max(1, -(-queries.count() // BLOCK_ROWS))
+    parts = lambda c: F.ceil(F.col(c) / BLOCK_ROWS)
+    sizes = sizes.select("block", parts("n_q").alias("p_q"), parts("n_r").alias("p_r"))
+    large = (F.col("p_q") > 1) | (F.col("p_r") > 1)
+    group = F.when(large, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(cells)))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("bigint")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    left = queries.join(sizes, "block").select("*", large.alias("g0"), group.alias("g1"), own("p_q").alias("g2"), every("p_r").alias("g3"))
+    right = refs.join(sizes, "block").select("*", large.alias("g0"), group.alias("g1"), own("p_r").alias("g3"), every("p_q").alias("g2"))
+    right = right.drop("p_q", "p_r")
+    return left.drop("p_q", "p_r"), right.toDF(*[f"r_{c}" for c in right.columns])
+
+
+def _matrix(col: pa.ChunkedArray, rows: np.ndarray | None = None, n: int = 0, fill: float = 0) -> np.ndarray:
+    """A column of equally long lists as a matrix; absent rows hold ``fill``."""
+    flat = col.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    if rows is None:
+        return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
+    some = int(rows.sum())
+    out = np.full((n, len(flat) // some if some else 0), fill, flat.dtype)
+    if some:
+        out[rows] = flat.reshape(some, -1)
+    return out
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "d_true", "n_less", "n_refs", "rids", "ds"]
-        if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in names})
-        stack = lambda s: np.stack(s.to_numpy())
-        vb = stack(b["r_nums"]), stack(b["r_cats"])
-        ids = b["r_id"].to_numpy()
-        rows = []
-        for at in range(0, len(a), 256):
-            q = a.iloc[at : at + 256]
-            va = stack(q["nums"]), stack(q["cats"])
-            d = _distances(va, vb, spec)
-            for n in range(len(q)):
-                row = q.iloc[n]
-                true = None
-                if row["true_nums"] is not None:
-                    one = (va[0][n : n + 1], va[1][n : n + 1])
-                    true = float(_distances(one, (np.array([row["true_nums"]], float).reshape(1, -1), np.array([row["true_cats"]], np.int64).reshape(1, -1)), spec)[0, 0])
-                here = d[n]
-                if strategy == "nearest":
-                    limit = here.min()
-                elif strategy == "threshold":
-                    limit = tau
-                else:
-                    limit = np.partition(here, min(k, len(here)) - 1)[min(k, len(here)) - 1]
-                    limit = min(limit, tau) if strategy == "topk_threshold" else limit
-                keep = here <= limit
-                rows.append((row["id"], true, int((here < true).sum()) if true is not None else 0, len(here), ids[keep].tolist(), here[keep].tolist()))
-        return pd.DataFrame(rows, columns=names)
-
-    schema = "id bigint, d_true double, n_less bigint, n_refs bigint, rids array<bigint>, ds array<double>"
-    return left.groupBy("qb", "rb", "block").cogroup(right.groupBy("r_qb", "r_rb", "r_block")).applyInPandas(
-        lambda key, a, b: run(a, b), schema
-    )
+
+def _blocks(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of both tables in each block that both have, at most 256 queries at once."""
+    ka, kb = a["block"].to_numpy(), b["r_block"].to_numpy()
+    oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+    for key in np.intersect1d(ka, kb):
+        ia = oa[np.searchsorted(ka, key, "left", sorter=oa) : np.searchsorted(ka, key, "right", sorter=oa)]
+        ib = ob[np.searchsorted(kb, key, "left", sorter=ob) : np.searchsorted(kb, key, "right", sorter=ob)]
+        for at in range(0, len(ia), 256):
+            yield ia[at : at + 256], ib
+
+
+def _weigh(d: np.ndarray, weighting: str, kappa: float, bandwidth: float) -> np.ndarray:
+    if weighting == "softmax":
+        return np.exp(-kappa * d)
+    return np.exp(-0.5 * (d / bandwidth) ** 2) if weighting == "kernel" else np.ones_like(d)
 
 
-def _spec(x: DataFrame, y: DataFrame, keys: Sequence[str], method: str, weights, na: str, m, u):
+_FOUND = "id bigint, d_true double, n_less bigint, n_refs bigint, n bigint, w double, d_min double, ds array<double>, ns array<bigint>"
+
+
+def candidates(left: DataFrame, right: DataFrame, spec: dict, strategy: str, k: int, tau: float, weigh: tuple) -> DataFrame:
+    """A row for each query and part of its block, made of dealt tables.
+
+    ``n``, ``w`` and ``d_min`` are the count, weight and least distance of the
+    references within ``tau`` (threshold); ``ds`` and ``ns`` the least distances
+    and how many references have them (the other strategies: the nearest, or the
+    ``k`` nearest with ties).  Both merge over parts without any pair of records.
+    """
+    ship(left.sparkSession)
+    kept = k if strategy.startswith("topk") else 1
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("id", "d_true", "n_less", "n_refs", "n", "w", "d_min", "ds", "ns", "len")}
+        if a.num_rows and b.num_rows:
+            va, vb = (_matrix(a["nums"]), _matrix(a["cats"])), (_matrix(b["r_nums"]), _matrix(b["r_cats"]))
+            has = a["true_nums"].is_valid().to_numpy()
+            vt = _matrix(a["true_nums"], has, a.num_rows, np.nan), _matrix(a["true_cats"], has, a.num_rows)
+            ids = a["id"].to_numpy()
+            for ia, ib in _blocks(a, b):
+                q = tuple(v[ia] for v in va)
+                d = _distances(q, tuple(v[ib] for v in vb), spec)
+                true = np.full(len(ia), np.nan)
+                here = has[ia]
+                if here.any():
+                    true[here] = _distance(tuple(v[here] for v in q), tuple(v[ia][here] for v in vt), spec)
+                out["id"].append(ids[ia])
+                out["d_true"].append(true)
+                out["n_less"].append((d < true[:, None]).sum(axis=1))
+                out["n_refs"].append(np.full(len(ia), len(ib)))
+                if strategy == "threshold":
+                    near = d <= tau
+                    out["n"].append(near.sum(axis=1))
+                    out["w"].append(np.where(near, _weigh(d, *weigh), 0.0).sum(axis=1))
+                    out["d_min"].append(d.min(axis=1))
+                    out["len"].append(np.zeros(len(ia), np.int64))
+                    continue
+                m = min(kept, len(ib))
+                least = np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)
+                last = least[:, -1]
+                counts = np.ones(least.shape, np.int64)
+                tied = least == last[:, None]
+                counts[tied] = 0
+                counts[np.arange(len(ia)), tied.argmax(axis=1)] = (d == last[:, None]).sum(axis=1)
+                out["ds"].append(least.ravel())
+                out["ns"].append(counts.ravel())
+                out["len"].append(np.full(len(ia), m))
+                for c in ("n", "w", "d_min"):
+                    out[c].append(np.zeros(len(ia), np.int64 if c == "n" else float))
+        join = lambda c, kind: np.concatenate(out[c]).astype(kind) if out[c] else np.zeros(0, kind)
+        ends = pa.array(np.concatenate(([0], np.cumsum(join("len", np.int64)))), pa.int32())
+        true = join("d_true", float)
+        columns = {c: pa.array(join(c, np.int64)) for c in ("id", "n_less", "n_refs", "n")}
+        columns |= {"d_true": pa.array(true, mask=np.isnan(true)), "w": pa.array(join("w", float)), "d_min": pa.array(join("d_min", float))}
+        columns |= {c: pa.ListArray.from_arrays(ends, pa.array(join(c, kind))) for c, kind in (("ds", float), ("ns", np.int64))}
+        return pa.table([columns[c] for c in ("id", "d_true", "n_less", "n_refs", "n", "w", "d_min", "ds", "ns")], ["id", "d_true", "n_less", "n_refs", "n", "w", "d_min", "ds", "ns"])
+
+    groups = [f"g{n}" for n in range(4)]
+    return left.groupBy(*groups).cogroup(right.groupBy(*[f"r_{g}" for g in groups])).applyInArrow(run, _FOUND)
+
+
+def _pairs_within(left: DataFrame, right: DataFrame, spec: dict) -> DataFrame:
+    """(id, rid, d): the references within each query's own ``reach``."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if a.num_rows and b.num_rows:
+            va, vb = (_matrix(a["nums"]), _matrix(a["cats"])), (_matrix(b["r_nums"]), _matrix(b["r_cats"]))
+            ids, rids, reach = a["id"].to_numpy(), b["r_id"].to_numpy(), a["reach"].to_numpy()
+            for ia, ib in _blocks(a, b):
+                d = _distances(tuple(v[ia] for v in va), tuple(v[ib] for v in vb), spec)
+                i, j = np.nonzero(d <= reach[ia][:, None])
+                for k, part in enumerate((ids[ia][i], rids[ib][j], d[i, j])):
+                    out[k].append(part)
+        kinds = (np.int64, np.int64, float)
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, t)) for o, t in zip(out, kinds, strict=True)], ["id", "rid", "d"])
+
+    groups = [f"g{n}" for n in range(4)]
+    return left.groupBy(*groups).cogroup(right.groupBy(*[f"r_{g}" for g in groups])).applyInArrow(run, "id bigint, rid bigint, d double")
+
+
+def agreement_rates(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """(m, u): how often a key agrees in true pairs, and in all other pairs.
+
+    Numbers agree within the original's median absolute deviation (a tenth of
+    the range if that is zero).  Pairs with a null are left out; rates of zero
+    or one become 0.01 and 0.99.  Other pairs are counted from the counts of
+    values on both sides, over all rows and without making a pair.
+    """
+    nums = [c for c in keys if is_numeric(original, c)]
+    tolerance = _tolerances(original, released, nums)
+    theirs = released.select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__{c}") for c in keys])
+    both = original.select(id_col, *keys).join(theirs, F.col(id_col) == F.col("__id"))
+    agrees = {c: F.abs(F.col(c) - F.col(f"__{c}")) <= tolerance[c] if c in tolerance else F.col(c).cast("string") == F.col(f"__{c}").cast("string") for c in keys}
+    row = both.agg(*[f(agrees[c]).alias(f"{n}{k}") for k, c in enumerate(keys) for n, f in (("n", F.count), ("a", F.count_if))]).first()
+    rate = lambda a, n: min(0.99, a / n) if n and a > 0 else 0.01
+    m, u = {}, {}
+    for k, c in enumerate(keys):
+        known, agree = row[f"n{k}"], row[f"a{k}"]
+        sizes = [d.select(F.count(c)).first()[0] for d in (original, released)]
+        if c in tolerance:
+            v = F.col(c).cast("double")
+            ends = [original.select((v + s * tolerance[c]).alias("v"), F.lit(n).alias("kind")) for s, n in ((1, 1), (-1, 2))]
+            values = released.select(v.alias("v"), F.lit(0).alias("kind")).unionByName(ends[0]).unionByName(ends[1]).filter("v is not null")
+            counts = values.groupBy("v").agg(*[F.count_if(F.col("kind") == n).alias(name) for n, name in enumerate(("y", "high", "low"))])
+            every = running(counts, "v", ["y"]).agg(F.sum(F.col("high") * F.col("run_y") - F.col("low") * (F.col("run_y") - F.col("y")))).first()[0] or 0
+        else:
+            one = [d.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias(n)) for d, n in ((original, "a"), (released, "b"))]
+            every = one[0].join(one[1], "v").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+        m[c], u[c] = rate(agree, known), rate(every - agree, sizes[0] * sizes[1] - known)
+    return m, u
+
+
+def _tolerances(x: DataFrame, y: DataFrame, nums: Sequence[str]) -> dict[str, float]:
+    spans = ranges([x, y], nums) if nums else {}
+    return {c: median_absolute_deviation(x, c) or 0.1 * (spans[c] or 1.0) for c in nums}
+
+
+def _spec(x: DataFrame, y: DataFrame, keys: Sequence[str], method: str, weights, na: str, m, u, robust: bool = True):
     nums = [c for c in keys if is_numeric(x, c)]
     cats = [c for c in keys if c not in nums]
     w = weights or dict.fromkeys(keys, 1.0)
@@ -148,13 +279,12 @@ def _spec(x: DataFrame, y: DataFrame, keys: Sequence[str], method: str, weights,
         return sides[0], sides[1], cats, base
     if method == "probabilistic":
         lr = lambda c: (math.log(m[c] / u[c]), math.log((1 - m[c]) / (1 - u[c])))
-        spans = ranges([x, y], nums) if nums else {}
-        tol = [median_absolute_deviation(x, c) or 0.1 * spans[c] for c in nums]
+        tol = list(_tolerances(x, y, nums).values())
         spec = {"kind": "fs", "tolerance": tol, "num_lr": [lr(c) for c in nums], "cat_lr": [lr(c) for c in cats]}
         plain = [F.col(c) for c in nums]
         return (x, plain), (y, plain), cats, spec
     if method == "mahalanobis":
-        _, cov, _ = covariance(x, nums)
+        cov = concentrated_covariance(x, nums)[1] if robust and len(nums) > 1 else covariance(x, nums)[1]
         root = np.linalg.cholesky(np.linalg.pinv(cov) + 1e-15 * np.eye(len(nums)))
         turned = [reduce(lambda a, b: a + b, [F.col(c).cast("double") * float(root[i, j]) for i, c in enumerate(nums)]) for j in range(len(nums))]
         spec = {"kind": "mahalanobis", "scale": math.sqrt(2 * chi2_ppf(0.975, len(nums)))}
@@ -166,52 +296,68 @@ def record_linkage(
     original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], *, method: str = "deterministic", strategy: str = "nearest",
     k: int = 5, tau: float = 0.1, weighting: str = "uniform", kappa: float = 2.0, bandwidth: float = 0.1, block: Sequence[str] = (),
     weights: dict[str, float] | None = None, na_anon: str = "ignore", m: dict[str, float] | None = None, u: dict[str, float] | None = None,
-    fs_threshold: float = 0.0, direction: str = "forward", risk_threshold: float = 0.1,
+    fs_threshold: float = 0.0, direction: str = "forward", risk_threshold: float = 0.1, robust: bool = True,
 ) -> MeasureResult:
     """Linkage risk per record.
 
     ``method``: deterministic (Gower), rank (Gower on ranks), probabilistic
-    (Fellegi-Sunter log ratios with given m and u; numeric agreement within the
-    original's median absolute deviation), mahalanobis.  ``strategy``: nearest,
-    threshold, topk, topk_threshold, all with ties; probabilistic links are the
-    records with a log ratio of at least ``fs_threshold``.  ``weighting`` of the
-    candidates: uniform, softmax or kernel (Gaussian).  ``direction`` reverse
-    makes released records the queries.  Null keys follow ``na_anon`` in the
-    Gower methods; a null block value is a block.  Ids must be unique.
+    (Fellegi-Sunter log ratios; ``m`` and ``u`` are estimated if not given, see
+    ``agreement_rates``; numeric agreement within the original's median absolute
+    deviation), mahalanobis (by the minimum covariance determinant, or with
+    ``robust`` false the covariance).  ``strategy``: nearest, threshold, topk,
+    topk_threshold, all with ties; probabilistic links are the records with a
+    log ratio of at least ``fs_threshold``.  ``weighting`` of the candidates:
+    uniform, softmax or kernel (Gaussian).  ``direction`` reverse makes released
+    records the queries.  Null keys follow ``na_anon`` in the Gower methods; a
+    null block value is a block; a record whose block the other table lacks has
+    no candidates and risk zero.  Ids must be unique.
     """
     if direction == "reverse":
         original, released = released, original
-    (x, xn), (y, yn), cats, spec = _spec(original, released, keys, method, weights, na_anon, m, u)
+    if method == "probabilistic" and (m is None or u is None):
+        rates = agreement_rates(original, released, id_col, keys)
+        m, u = m or rates[0], u or rates[1]
+    (x, xn), (y, yn), cats, spec = _spec(original, released, keys, method, weights, na_anon, m, u, robust)
     if method == "probabilistic":
         strategy, tau = "threshold", -fs_threshold
     refs = _vectors(y, id_col, yn, cats, block)
     true = refs.select(F.col("id").alias("t_id"), F.col("block").alias("t_block"), F.col("nums").alias("true_nums"), F.col("cats").alias("true_cats"))
     queries = _vectors(x, id_col, xn, cats, block)
     queries = queries.join(true, (F.col("id") == F.col("t_id")) & (F.col("block") == F.col("t_block")), "left").drop("t_id", "t_block")
-    found = candidates(queries, refs, spec, strategy, k, tau)
-    heads = found.groupBy("id").agg(F.max("d_true").alias("d_true"), F.sum("n_less").alias("n_less"), F.sum("n_refs").alias("n_refs"))
-    pairs = found.select("id", F.explode(F.arrays_zip("rids", "ds")).alias("p")).select("id", F.col("p.rids").alias("rid"), F.col("p.ds").alias("d"))
-    per = Window.partitionBy("id")  # candidates of one record
-    if strategy == "nearest":
-        pairs = pairs.withColumn("least", F.min("d").over(per)).filter("d = least").drop("least")
-    elif strategy.startswith("topk"):
-        pairs = pairs.withColumn("r", F.rank().over(per.orderBy("d"))).filter(F.col("r") <= k).drop("r")
-    score = {"uniform": F.lit(1.0), "softmax": F.exp(-kappa * F.col("d")), "kernel": F.exp(-0.5 * F.pow(F.col("d") / bandwidth, 2))}[weighting]
-    summed = pairs.withColumn("w", score).groupBy("id").agg(
-        F.count(F.lit(1)).alias("cand_n"), F.min("d").alias("d_min"), F.sum("w").alias("w_all"),
-        F.sum(F.when(F.col("rid") == F.col("id"), F.col("w")).otherwise(0.0)).alias("w_true"), F.bool_or(F.col("rid") == F.col("id")).alias("true_in_set"),
-    )
-    risk = F.coalesce(F.when(F.col("w_all") > 0, F.col("w_true") / F.col("w_all")), F.lit(0.0))
+    found = candidates(*_deal(queries, refs), spec, strategy, k, tau, (weighting, kappa, bandwidth))
+    score = lambda d: {"uniform": F.lit(1.0), "softmax": F.exp(-kappa * d), "kernel": F.exp(-0.5 * F.pow(d / bandwidth, 2))}[weighting]
+    one = [F.max("d_true").alias("d_true"), F.sum("n_less").alias("n_less")]
+    if strategy == "threshold":
+        merged = found.groupBy("id").agg(*one, F.sum("n").alias("cand_n"), F.sum("w").alias("w_all"), F.min("d_min").alias("d_min"), F.lit(float(tau)).alias("reach"))
+    else:
+        # of each part at most k distances: the list of a record is as long as its parts are many
+        lists = found.groupBy("id").agg(*one, F.array_sort(F.flatten(F.collect_list(F.arrays_zip("ds", "ns")))).alias("all"))
+        places = lists.select("id", F.explode("all").alias("p")).select("id", F.col("p.ds").alias("d"), F.col("p.ns").alias("n")).groupBy("id", "d").agg(F.sum("n").alias("n")).filter("n > 0")
+        per = Window.partitionBy("id").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = places.withColumn("ahead", F.coalesce(F.sum("n").over(per), F.lit(0)))
+        kept = ranked.filter(F.col("ahead") < (k if strategy.startswith("topk") else 1))
+        kept = kept.filter(F.col("d") <= tau) if strategy == "topk_threshold" else kept
+        sums = kept.groupBy("id").agg(F.sum("n").alias("cand_n"), F.sum(F.col("n") * score(F.col("d"))).alias("w_all"), F.min("d").alias("d_min"), F.max("d").alias("reach"))
+        merged = key_join(lists.drop("all"), sums, ["id"], "left")
+    inside = F.coalesce(F.col("d_true") <= F.col("reach"), F.lit(False))
+    scored = key_join(queries.select("id"), merged, ["id"], "left").withColumn("true_in_set", inside)
+    w_true = F.when(F.col("true_in_set"), score(F.col("d_true"))).otherwise(0.0)
+    scored = scored.withColumn("risk", F.coalesce(F.when(F.col("w_all") > 0, w_true / F.col("w_all")), F.lit(0.0)))
     band = F.lit("very high")
     for limit, name in reversed(list(zip(_BANDS, ("very low", "low", "medium", "high"), strict=True))):
         band = F.when(F.col("risk") <= limit, name).otherwise(band)
-    records = key_join(queries.select("id"), heads, ["id"], "left")
-    records = key_join(records, summed, ["id"], "left").withColumn("risk", risk)
-    records = records.select(
-        "id", "risk", F.coalesce("cand_n", F.lit(0)).alias("cand_n"), F.coalesce("true_in_set", F.lit(False)).alias("true_in_set"), "d_true", "d_min",
+    d_min = F.when(F.coalesce("cand_n", F.lit(0)) > 0, F.col("d_min"))
+    records = scored.select(
+        "id", "risk", F.coalesce("cand_n", F.lit(0)).alias("cand_n"), "true_in_set", "d_true", d_min.alias("d_min"),
         F.when(F.col("d_true").isNotNull(), F.col("n_less") + 1).alias("d_rank"), band.alias("risk_band"),
     )
-    return MeasureResult(linkage_summary(records, risk_threshold), records, pairs)
+
+    def pairs_of(which: Column) -> DataFrame:
+        """(id, rid, d): the candidates of the records for which ``which`` holds."""
+        some = key_join(queries.filter(which), merged.select("id", "reach").filter("reach is not null"), ["id"], "inner")
+        return _pairs_within(*_deal(some, refs), spec)
+
+    return MeasureResult(linkage_summary(records, risk_threshold), records, params={"pairs_of": pairs_of})
 
 
 def linkage_summary(records: DataFrame, risk_threshold: float = 0.1) -> DataFrame:
@@ -277,7 +423,7 @@ def merge_per_record(records: DataFrame, table: DataFrame, id_col: str) -> DataF
 
 def inspect_record(result: MeasureResult, released: DataFrame, id_col: str, record_id: int) -> tuple[DataFrame, DataFrame]:
     """One record's risk, and its candidates with their released values."""
-    pairs = result.groups.filter(F.col("id") == record_id)
+    pairs = result.params["pairs_of"](F.col("id") == record_id)
     return result.records.filter(F.col("id") == record_id), pairs.join(released, F.col("rid") == released[id_col].cast("bigint")).drop("id")
 
 
@@ -345,7 +491,7 @@ def sinkhorn(cost: np.ndarray, *, epsilon: float | None = None, max_iter: int =
     return np.exp((f[:, None] + g[None, :] - cost) / eps)
 
 
-def block_assignment(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], block: Sequence[str], *, how: str = "bijective", max_block: int = 2000) -> DataFrame:
+def block_assignment(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], block: Sequence[str], *, how: str = "bijective", max_block: int = 4000) -> DataFrame:
     """(id, rid, p): one-to-one or transport matching within blocks.
 
     The solvers need a block's whole cost matrix, so blocks above ``max_block``
