@@ -48,63 +48,54 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-#: Row count up to which the exact percentile aggregate is used; its buffer
-#: holds the distinct values.  Beyond it the same quantiles come by refinement.
+#: Row count and number of probabilities up to which the exact percentile
+#: aggregate is used; its buffer holds the distinct values of a group.  Beyond
+#: them the same quantiles are read off running counts.
 PERCENTILE_ROWS = 2_000_000
+PERCENTILE_PROBS = 16
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], max_rows: int | None = None) -> list[float]:
     """Exact quantiles with linear interpolation between order statistics.
+    Empty: no values."""
+    row = group_quantiles(df, col, probs, max_rows=max_rows).first()
+    return list(row.q) if row else []
 
-    Small inputs use the percentile aggregate.  Large ones are narrowed down by
-    counting: each pass histograms the brackets that hold the wanted order
-    statistics, so memory stays the same at any size.  Empty: no values.
+
+def group_quantiles(df: DataFrame, col: str, probs: Sequence[float], within: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
+    """(within, q): exact quantiles of each group, in the order of ``probs``;
+    groups without a value are left out, and a null is a group.
+
+    Beyond PERCENTILE_ROWS rows or PERCENTILE_PROBS probabilities the quantiles
+    come from running counts of the distinct values: order statistics are looked
+    up by their rank in an equi-join on steps of ranks, so no task holds a group
+    and the cost does not grow with the number of probabilities.
     """
-    values = df.select(F.col(col).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    n = values.count()
-    if not n:
-        return []
-    if n <= (PERCENTILE_ROWS if max_rows is None else max_rows):
-        return list(values.agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).first().q)
-    wanted = [p * (n - 1) for p in probs]
-    ranks = sorted({int(w) for w in wanted} | {min(n - 1, int(w) + 1) for w in wanted})
-    found = _order_statistics(values, ranks)
-    out = []
-    for w in wanted:
-        lo, hi = found[int(w)], found[min(n - 1, int(w) + 1)]
-        out.append(lo + (hi - lo) * (w - int(w)))
-    return out
-
-
-def _order_statistics(values: DataFrame, ranks: list[int], bins: int = 1024) -> dict[int, float]:
-    """The values at 0-based ranks of the sorted column ``v``."""
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    brackets = {(low, high): [(r, r) for r in ranks]}  # bracket: ranks, and ranks within it
-    found: dict[int, float] = {}
-    while brackets:
-        keys = list(brackets)
-        number = reduce(
-            lambda rest, k: F.when(F.col("v").between(*keys[k]), k).otherwise(rest), range(len(keys)), F.lit(None).cast("int")
-        )
-        width = F.element_at(F.array(*[F.lit(max((b - a) / bins, 5e-324)) for a, b in keys]), F.col("k") + 1)
-        start = F.element_at(F.array(*[F.lit(a) for a, _ in keys]), F.col("k") + 1)
-        place = F.least(F.lit(bins - 1), F.floor((F.col("v") - start) / width))
-        hist = values.select("v", number.alias("k")).filter("k is not null").withColumn("b", place)
-        rows = hist.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        rows.sort(key=lambda r: (r.k, r.b))  # at most bins rows a bracket
-        after: dict[tuple[float, float], list[tuple[int, int]]] = {}
-        for k, key in enumerate(keys):
-            for rank, inside in brackets[key]:
-                for r in (r for r in rows if r.k == k):
-                    if inside < r.n:
-                        if r.lo == r.hi or (r.lo, r.hi) == key:
-                            found[rank] = r.lo if inside < r.n - 1 or r.lo == r.hi else r.hi
-                        else:
-                            after.setdefault((r.lo, r.hi), []).append((rank, inside))
-                        break
-                    inside -= r.n
-        brackets = after
-    return found
+    values = df.select(*within, F.col(col).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    limit = PERCENTILE_ROWS if max_rows is None else max_rows
+    if len(probs) <= PERCENTILE_PROBS and limit and values.limit(limit + 1).count() <= limit:
+        return values.groupBy(*within).agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).filter("q is not null")
+    from .ranks import running
+
+    names = [f"g{k}" for k in range(len(within))]
+    rows = values.toDF(*names, "v")
+    n = F.count(F.lit(1))
+    counts = running(rows.groupBy(*names, "v").agg(n.alias("n")), "v", ["n"], names)
+    totals = rows.groupBy(*names).agg(n.alias("all")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("all") / len(probs)))).filter("all > 0")
+    at = F.col("p") * (F.col("all") - 1)
+    low = F.floor(at)
+    wanted = totals.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("k", "p")).select(*names, "k", "step", (at - low).alias("part"), F.explode(F.array(low, F.least(low + 1, F.col("all") - 1))).alias("rank"))
+    wanted = wanted.withColumn("s", F.floor(F.col("rank") / F.col("step")))
+    sizes = totals.select(*[F.col(g).alias(f"t_{g}") for g in names], F.col("step").alias("width"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}{g}").eqNullSafe(F.col(f"{b}{g}")) for g in names], F.lit(True))
+    first, last = F.col("run_n") - F.col("n"), F.col("run_n") - 1
+    spans = counts.join(sizes, same("", "t_")) if names else counts.join(F.broadcast(sizes))  # one row without groups
+    spans = spans.select(*[F.col(g).alias(f"v_{g}") for g in names], "v", first.alias("first"), last.alias("last"), F.explode(F.sequence(F.floor(first / F.col("width")), F.floor(last / F.col("width")))).alias("v_s"))
+    met = wanted.join(spans, same("", "v_") & (F.col("s") == F.col("v_s")) & F.col("rank").between(F.col("first"), F.col("last")))
+    lo, hi = F.min("v"), F.max("v")
+    found = met.groupBy(*names, "k").agg((lo + (hi - lo) * F.max("part")).alias("x"))
+    lists = found.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("q"))  # as many as probabilities
+    return lists.toDF(*within, "q")
 
 
 def pooled_breaks(frames: Sequence[DataFrame], col: str, n_bins: int) -> list[float]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import t_ppf
 from .cells import cells, cramers_v, total_variation
-from .common import MeasureResult, complete, key_join, quantiles, safe_div, scalar_row
+from .common import MeasureResult, complete, group_quantiles, key_join, quantiles, safe_div, scalar_row
 from .ranks import average_ranks, ks_p_value, ks_two_sample, running, value_counts
 
 
@@ -27,12 +27,8 @@ def compare_ks(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = ())
 def wasserstein(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = (), *, n_grid: int = 1000) -> DataFrame:
     """(group, wasserstein): mean gap between quantile functions on a grid."""
     grid = [k / (n_grid - 1) for k in range(n_grid)]
-    if not group:
-        a, b = quantiles(x, col, grid), quantiles(y, col, grid)
-        gap = float(np.mean(np.abs(np.array(a) - np.array(b)))) if a and b else None
-        return x.sparkSession.createDataFrame([(gap,)], "wasserstein double")
-    sides = [df.groupBy(*group).agg(F.percentile(col, F.array(*map(F.lit, grid))).alias(f"q{n}")) for n, df in enumerate((x, y))]
-    both = key_join(sides[0], sides[1], group, "inner")
+    sides = [group_quantiles(df, col, grid, group).withColumnRenamed("q", f"q{n}") for n, df in enumerate((x, y))]
+    both = key_join(sides[0], sides[1], group, "inner") if group else sides[0].join(sides[1])  # a row a side
     gaps = F.zip_with("q0", "q1", lambda a, b: F.abs(a - b))
     return both.select(*group, (F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v) / n_grid).alias("wasserstein"))
 
@@ -86,9 +82,8 @@ def moments(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (), weigh
     rows = df.select(*group, w.alias("w"), pairs.alias("p")).select(*group, "w", "p.variable", "p.v").filter("v is not null and w is not null")
     keys = [*group, "variable"]
     s = lambda k: F.sum(F.col("w") * F.pow("v", k))
-    first = rows.groupBy(*keys).agg(
-        F.sum("w").alias("n"), (s(1) / F.sum("w")).alias("mean"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    )
+    first = rows.groupBy(*keys).agg(F.sum("w").alias("n"), (s(1) / F.sum("w")).alias("mean"))
+    first = key_join(first, group_quantiles(rows, "v", [0.25, 0.5, 0.75], keys), keys, "inner", na_rm=False)
     centred = key_join(rows, first.select(*keys, "mean"), keys, "inner").withColumn("d", F.col("v") - F.col("mean"))
     m = lambda k: F.sum(F.col("w") * F.pow("d", k))
     second = centred.groupBy(*keys).agg(m(2).alias("m2"), m(3).alias("m3"), m(4).alias("m4"))
@@ -268,7 +263,7 @@ def boxplot_stats(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFra
     """(group, lower_whisker, q1, median, q3, upper_whisker, n_out)."""
     one = [*group] or ["_all"]
     rows = (df if group else df.withColumn("_all", F.lit(1))).filter(F.col(col).isNotNull())
-    q = rows.groupBy(*one).agg(F.percentile(col, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    q = group_quantiles(rows, col, (0.25, 0.5, 0.75), one)
     joined = key_join(rows.select(*one, F.col(col).alias("v")), q, one, "inner")
     q1, q3 = F.col("q")[0], F.col("q")[2]
     inside = F.col("v").between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
