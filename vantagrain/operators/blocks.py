@@ -11,11 +11,12 @@ keys where the tables are large.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.shipping import ship
@@ -137,29 +138,42 @@ def nearest(
 
 def kernel_sum(queries: DataFrame, refs: DataFrame, sigma: float, block_rows: int | None = None) -> float:
     """Sum of the Gaussian kernel over all pairs of rows of tables (id, nums)."""
+    return _pair_sum(queries, refs, lambda d2: np.exp(d2 / (-2 * sigma**2)), block_rows)
+
+
+def distance_sum(queries: DataFrame, refs: DataFrame, block_rows: int | None = None) -> float:
+    """Sum of the Euclidean distance over all pairs of rows of tables (id, nums)."""
+    return _pair_sum(queries, refs, np.sqrt, block_rows)
+
+
+def _pair_sum(queries: DataFrame, refs: DataFrame, of: Callable[[np.ndarray], np.ndarray], block_rows: int | None) -> float:
+    """Sum of a function of the squared distance over all pairs, block against block."""
     size = block_rows or BLOCK_ROWS
     ship(queries.sparkSession)
     n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
+    # few blocks are cut finer, so that all cores have some
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_q = max(n_q, min(cores, -(-2 * cores // (n_q * n_r))))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
     left = queries.select("nums", block(n_q).alias("qb"), every(n_r).alias("rb"))
     right = refs.select("nums", block(n_r).alias("rb"), every(n_q).alias("qb"))
     right = right.toDF(*[f"r_{c}" for c in right.columns])
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"s": []})
-        num_a, num_b = np.stack(a["nums"].to_numpy()), np.stack(b["r_nums"].to_numpy())
-        total, step = 0.0, max(1, 4_000_000 // len(num_b))
-        for at in range(0, len(num_a), step):
-            part = num_a[at : at + step]
-            d2 = np.zeros((len(part), len(num_b)))
-            for k in range(part.shape[1]):
-                d2 += (part[:, k, None] - num_b[None, :, k]) ** 2
-            total += float(np.exp(d2 / (-2 * sigma**2)).sum())
-        return pd.DataFrame({"s": [total]})
-
-    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInPandas(run, "s double")
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        total = 0.0
+        if a.num_rows and b.num_rows:
+            num_a, num_b = (t.combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t in (a["nums"], b["r_nums"]))
+            step = max(1, 1_000_000 // len(num_b))
+            for at in range(0, len(num_a), step):
+                part = num_a[at : at + step]
+                d2 = np.zeros((len(part), len(num_b)))
+                for k in range(part.shape[1]):
+                    d2 += (part[:, k, None] - num_b[None, :, k]) ** 2
+                total += float(of(d2).sum())
+        return pa.table({"s": pa.array([total])})
+
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(run, "s double")
     return float(parts.agg(F.sum("s")).first()[0] or 0.0)
 
 

@@ -8,11 +8,12 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.special import chi2_ppf
 from .blocks import kernel_sum
 from .common import MeasureResult, complete, quantiles, scalar_row
+from .distributions import covariance
 
 
 def bandwidth(df: DataFrame, col: str) -> float:
@@ -157,18 +158,53 @@ def robust_covariance(points: np.ndarray, *, starts: int = 20, steps: int = 20,
     return mean, cov * float(np.median(d)) / chi2_ppf(0.5, p)
 
 
-def robust_outliers(df: DataFrame, id_col: str, cols: Sequence[str], *, sample: int = 2000, level: float = 0.975) -> DataFrame:
-    """(id, d2, outlier): squared robust distance of every row; the covariance is
-    fitted on a bounded sample, the distance is an expression over all rows."""
-    mean, cov = robust_covariance(bounded_sample(df, id_col, cols, sample))
+def concentrated_covariance(df: DataFrame, cols: Sequence[str], *, sample: int = 2000, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum covariance determinant over all rows.
+
+    The search starts from the estimate on at most ``sample`` rows; each
+    concentration step takes the half of all rows that is nearest, by an exact
+    quantile of the squared distance, and its mean and covariance, until these
+    no longer change.
+    """
+    rows, p = complete(df, cols).select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(cols)]), len(cols)
+    names = rows.columns
+    start = rows.orderBy(F.xxhash64(*names), *names).limit(sample)
+    points = np.array([list(r) for r in start.collect()]).reshape(-1, p)
+    mean, cov = robust_covariance(points)
+    n = rows.count()
+    if n <= 2 * p:
+        return mean, cov
+    share = ((n + p + 1) // 2 - 1) / (n - 1)
+    # the distance is scaled so that the steps compare like with like
+    for _ in range(steps):
+        near = rows.withColumn("d2", squared_distance(names, mean, cov))
+        cut = quantiles(near, "d2", [share])[0]
+        new_mean, new_cov, _ = covariance(near.filter(F.col("d2") <= cut + 1e-12 * abs(cut)), names)
+        still = np.allclose(new_mean, mean, rtol=1e-9, atol=1e-12) and np.allclose(new_cov, cov, rtol=1e-9, atol=1e-12)
+        mean, cov = new_mean, new_cov
+        if still:
+            break
+    middle = quantiles(rows.withColumn("d2", squared_distance(names, mean, cov)), "d2", [0.5])[0]
+    return mean, cov * middle / chi2_ppf(0.5, p)
+
+
+def squared_distance(cols: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> Column:
+    """Squared Mahalanobis distance of a row as an expression."""
     inv = np.linalg.pinv(cov)
     parts = [F.col(c).cast("double") - float(mean[k]) for k, c in enumerate(cols)]
-    d2 = sum((parts[i] * parts[j] * float(inv[i, j]) for i in range(len(cols)) for j in range(len(cols))), F.lit(0.0))
+    return sum((parts[i] * parts[j] * float(inv[i, j]) for i in range(len(cols)) for j in range(len(cols))), F.lit(0.0))
+
+
+def robust_outliers(df: DataFrame, id_col: str, cols: Sequence[str], *, level: float = 0.975) -> DataFrame:
+    """(id, d2, outlier): squared robust distance of every row, from the minimum
+    covariance determinant of all rows."""
+    mean, cov = concentrated_covariance(df, cols)
+    d2 = squared_distance(cols, mean, cov)
     return complete(df, cols).select(F.col(id_col).alias("id"), d2.alias("d2")).withColumn("outlier", F.col("d2") > chi2_ppf(level, len(cols)))
 
 
-def robust_correlation(df: DataFrame, id_col: str, cols: Sequence[str], *, sample: int = 2000) -> np.ndarray:
-    _, cov = robust_covariance(bounded_sample(df, id_col, cols, sample))
+def robust_correlation(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    _, cov = concentrated_covariance(df, cols)
     sd = np.sqrt(np.diag(cov))
     return cov / np.outer(sd, sd)
 
@@ -234,14 +270,35 @@ def stochastic_neighbours(points: np.ndarray, *, perplexity: float = 30.0, steps
 
 
 def compare_embedding(x: DataFrame, y: DataFrame, id_col: str, cols: Sequence[str], *, method: str = "mds", sample: int = 200) -> DataFrame:
-    """(side, dim1, dim2) of a bounded sample of each side."""
+    """(side, id, dim1, dim2): each side in two dimensions.
+
+    ``mds`` is classical scaling of Euclidean distances, which is linear: its
+    axes come from the covariance of all rows and every row is projected.
+    ``tsne`` embeds at most ``sample`` rows a side, in the order of a hash of the
+    id, since its cost grows with the square of the rows.
+    """
+    if method == "mds":
+        out = None
+        for side, d in (("x", x), ("y", y)):
+            rows = complete(d, cols)
+            mean, cov, _ = covariance(rows, cols)
+            sd = np.where(np.diag(cov) > 0, np.sqrt(np.diag(cov)), 1)
+            values, axes = np.linalg.eigh(cov / np.outer(sd, sd))
+            axes = axes[:, np.argsort(-values, kind="stable")[:2]]
+            axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1, 1)
+            z = [(F.col(c).cast("double") - float(mean[k])) / float(sd[k]) for k, c in enumerate(cols)]
+            dims = [sum((z[k] * float(axes[k, j]) for k in range(len(cols))), F.lit(0.0)).alias(f"dim{j + 1}") for j in range(axes.shape[1])]
+            one = rows.select(F.lit(side).alias("side"), F.col(id_col).alias("id"), *dims)
+            out = one if out is None else out.unionByName(one)
+        return out
     rows = []
     for side, d in (("x", x), ("y", y)):
+        ids = [r[0] for r in complete(d, cols).orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(sample).select(id_col).collect()]
         pts = bounded_sample(d, id_col, cols, sample)
         pts = (pts - pts.mean(axis=0)) / np.where(pts.std(axis=0) > 0, pts.std(axis=0), 1)
-        made = classical_scaling(pts) if method == "mds" else stochastic_neighbours(pts)
-        rows += [(side, float(a), float(b)) for a, b in made]
-    return x.sparkSession.createDataFrame(rows, "side string, dim1 double, dim2 double")
+        rows += [(side, i, float(a), float(b)) for i, (a, b) in zip(ids, stochastic_neighbours(pts), strict=True)]
+    kind = x.schema[id_col].dataType.simpleString()
+    return x.sparkSession.createDataFrame(rows, f"side string, id {kind}, dim1 double, dim2 double")
 
 
 def ci_overlap(x: DataFrame, y: DataFrame, id_col: str, estimator: Callable[[DataFrame], float], *, rounds: int = 20, level: float = 0.95, seed: int = 1) -> DataFrame:

@@ -8,15 +8,17 @@ scaling.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.special import chi2_ppf, residual_risk, wilson
-from .blocks import category_weights, minima, minmax_vectors, nearest, ranges, vectors
+from .blocks import category_weights, distance_sum, minima, minmax_vectors, nearest, ranges, vectors
 from .common import MeasureResult, complete, is_numeric, quantiles, scalar_row
+from .density import concentrated_covariance
 from .distributions import covariance
 from .ranks import auc, signed_rank_p
 
@@ -203,11 +205,12 @@ def drisk_interval(original: DataFrame, released: DataFrame, id_col: str, cols:
     return MeasureResult(summary, hit, params={"widths": widths})
 
 
-def drisk_mahalanobis(original: DataFrame, released: DataFrame, id_col: str, cols: Sequence[str], *, alpha: float = 0.05) -> MeasureResult:
+def drisk_mahalanobis(original: DataFrame, released: DataFrame, id_col: str, cols: Sequence[str], *, alpha: float = 0.05, robust: bool = True) -> MeasureResult:
     """Share of originals whose nearest released record is within the
-    chi-square radius, in robust or classical Mahalanobis distance."""
+    chi-square radius, in Mahalanobis distance by the minimum covariance
+    determinant or, with ``robust`` false, by the covariance."""
     x, y = complete(original, cols), complete(released, cols)
-    _, cov, n = covariance(x, cols)
+    cov = concentrated_covariance(x, cols)[1] if robust and len(cols) > 1 else covariance(x, cols)[1]
     root = np.linalg.cholesky(np.linalg.pinv(cov) + 1e-12 * np.eye(len(cols)))
     rotated = lambda d: d.select(
         F.col(id_col).cast("bigint").alias("id"),
@@ -288,29 +291,44 @@ def energy_distance(original: DataFrame, released: DataFrame, id_col: str, cols:
         F.array().cast("array<bigint>").alias("cats"),
     )
     zx, zy = z(x), z(y)
-
-    def mean(a: DataFrame, b: DataFrame, name: str, own: bool) -> DataFrame:
-        found = nearest(a, b, metric="euclidean", not_self=own)
-        return found.agg((F.sum("sum_d") / F.sum("n_refs")).alias(name))
-
-    row = mean(zx, zy, "mean_dist_xy", False).join(mean(zx, zx, "mean_dist_xx", True)).join(mean(zy, zy, "mean_dist_yy", True))
+    n, k = zx.count(), zy.count()
+    xy, xx, yy = (distance_sum(a, b) for a, b in ((zx, zy), (zx, zx), (zy, zy)))  # a row with itself adds nothing
+    share = lambda total, pairs: total / pairs if pairs else None
+    row = scalar_row(x.sparkSession, mean_dist_xy=share(xy, n * k), mean_dist_xx=share(xx, n * (n - 1)), mean_dist_yy=share(yy, k * (k - 1)))
     e = F.greatest(F.lit(0.0), 2 * F.col("mean_dist_xy") - F.col("mean_dist_xx") - F.col("mean_dist_yy"))
     within = (F.col("mean_dist_xx") + F.col("mean_dist_yy")) / 2
     return MeasureResult(row.select("*", e.alias("energy_distance"), (e / within).alias("energy_distance_normalized"), F.exp(-e).alias("utility_score")))
 
 
-def mmd_rff(original: DataFrame, released: DataFrame, cols: Sequence[str], *, sigma: float, n_features: int = 100, seed: int = 1) -> DataFrame:
+def mmd_rff(original: DataFrame, released: DataFrame, cols: Sequence[str], *, sigma: float, n_features: int = 500, seed: int = 1) -> DataFrame:
     """Maximum mean discrepancy by random Fourier features: one pass a side.
 
-    Frequencies are drawn from the seed; features are column expressions whose
-    means are the only numbers kept, so the cost is linear in the rows.
+    Frequencies are drawn from the seed; a task returns the sum of each feature
+    over its rows, so the cost is linear in the rows and nothing else travels.
     """
     rng = np.random.default_rng(seed)
     omega, phase = rng.normal(0, 1 / sigma, (len(cols), n_features)), rng.uniform(0, 2 * math.pi, n_features)
     pooled = original.select(*cols).unionByName(released.select(*cols)).na.drop()
     m = pooled.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s{k}") for k, c in enumerate(cols)]).first()
-    zs = [(F.col(c).cast("double") - m[f"m{k}"]) / (m[f"s{k}"] or 1.0) for k, c in enumerate(cols)]
-    feats = [F.cos(reduce(lambda a, b: a + b, [z * float(omega[i, j]) for i, z in enumerate(zs)]) + float(phase[j])) for j in range(n_features)]
-    means = [np.array(complete(d, cols).agg(*[F.avg(f).alias(f"f{j}") for j, f in enumerate(feats)]).first()) for d in (original, released)]
-    mmd2 = float(2 / n_features * ((means[0] - means[1]) ** 2).sum())
+    mean, sd = np.array([float(m[f"m{k}"]) for k in range(len(cols))]), np.array([float(m[f"s{k}"] or 1.0) for k in range(len(cols))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(n_features), 0
+        for b in batches:
+            z = (np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]) - mean) / sd
+            for at in range(0, len(z), 4096):
+                total += np.cos(z[at : at + 4096] @ omega + phase).sum(axis=0)
+            n += len(z)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_features)), pa.array(total), pa.array(np.full(n_features, n))], names=["k", "s", "n"])
+
+    def means(df: DataFrame) -> np.ndarray:
+        rows = complete(df, cols).select(*[F.col(c).cast("double").alias(c) for c in cols])
+        found = rows.mapInArrow(run, "k bigint, s double, n bigint").groupBy("k").agg((F.sum("s") / F.sum("n")).alias("m")).collect()  # a row a feature
+        out = np.zeros(n_features)
+        for r in found:
+            out[r.k] = r.m
+        return out
+
+    mmd2 = float(2 / n_features * ((means(original) - means(released)) ** 2).sum())
     return scalar_row(original.sparkSession, mmd2=mmd2, sigma=sigma, utility_score=min(1.0, max(0.0, math.exp(-mmd2 / sigma**2))))
