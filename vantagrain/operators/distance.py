@@ -317,7 +317,7 @@ def mmd_rff(original: DataFrame, released: DataFrame, cols: Sequence[str], *, si
         for b in batches:
             z = (np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]) - mean) / sd
             for at in range(0, len(z), 4096):
-                total += np.cos(z[at : at + 4096] @ omega + phase).sum(axis=0)
+                total += np.cos((z[at : at + 4096] @ omega + phase).astype(np.float32)).sum(axis=0, dtype=float)  # single precision is vectorised
             n += len(z)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_features)), pa.array(total), pa.array(np.full(n_features, n))], names=["k", "s", "n"])
