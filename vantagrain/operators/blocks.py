@@ -136,9 +136,11 @@ def nearest(
     return merged.select("id", known("d1").alias("d1"), F.col("best.d1_id").alias("d1_id"), known("d2").alias("d2"), "n_within", "sum_d", "n_refs")
 
 
-def kernel_sum(queries: DataFrame, refs: DataFrame, sigma: float, block_rows: int | None = None) -> float:
-    """Sum of the Gaussian kernel over all pairs of rows of tables (id, nums)."""
-    return _pair_sum(queries, refs, lambda d2: np.exp(d2 / (-2 * sigma**2)), block_rows)
+def kernel_sum(queries: DataFrame, refs: DataFrame, sigma: float, block_rows: int | None = None, kernel: str = "gaussian") -> float:
+    """Sum of a Gaussian or rational quadratic kernel over all pairs of rows of
+    tables (id, nums)."""
+    of = {"gaussian": lambda d2: np.exp(d2 / (-2 * sigma**2)), "rational_quadratic": lambda d2: 1 / (1 + d2 / (2 * sigma**2))}[kernel]
+    return _pair_sum(queries, refs, of, block_rows)
 
 
 def distance_sum(queries: DataFrame, refs: DataFrame, block_rows: int | None = None) -> float:
@@ -225,3 +227,39 @@ def within(queries: DataFrame, refs: DataFrame, radius: float, cat_weights: Sequ
     parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInPandas(run, "id bigint, n bigint, n_same bigint, low bigint, high bigint")
     merged = parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("n_same").alias("n_same"), F.min("low").alias("low"), F.max("high").alias("high"))
     return merged.select("id", "n", "n_same", ((F.col("n") > 0) & (F.col("low") == F.col("high"))).alias("one_target"))
+
+
+def rank_of(queries: DataFrame, refs: DataFrame, cat_weights: Sequence[float], block_rows: int | None = None) -> DataFrame:
+    """For tables (id, nums, cats), the queries also with (rid, r_nums, r_cats), a
+    reference of each: (id, n), the references that come before that one in the
+    order of Gower distance and id."""
+    size = block_rows or BLOCK_ROWS
+    ship(queries.sparkSession)
+    n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
+    left = queries.select("id", "nums", "cats", "rid", "r_nums", "r_cats", block(n_q).alias("qb"), every(n_r).alias("rb"))
+    right = refs.select("id", "nums", "cats", block(n_r).alias("rb"), every(n_q).alias("qb"))
+    right = right.toDF(*[f"o_{c}" for c in right.columns])
+    weights = np.array(cat_weights, float)
+
+    def distance(a: tuple, b: tuple) -> np.ndarray:
+        d = sum((np.abs(a[0][..., k] - b[0][..., k]) for k in range(a[0].shape[-1])), 0.0)
+        d = d + sum((weights[k] * (a[1][..., k] != b[1][..., k]) for k in range(a[1].shape[-1])), 0.0)
+        return np.round(d, 12)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if a.num_rows and b.num_rows:
+            stack = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            mine, own, theirs = ((stack(t, n), stack(t, c)) for t, n, c in ((a, "nums", "cats"), (a, "r_nums", "r_cats"), (b, "o_nums", "o_cats")))
+            ids, rid, oid, counts = a["id"].to_numpy(), a["rid"].to_numpy(), b["o_id"].to_numpy(), np.zeros(a.num_rows, np.int64)
+            limit = distance(mine, own)
+            for at in range(0, a.num_rows, 256):
+                q = slice(at, at + 256)
+                d = distance(tuple(v[q][:, None, :] for v in mine), tuple(v[None, :, :] for v in theirs))
+                counts[q] = ((d < limit[q, None]) | ((d == limit[q, None]) & (oid[None, :] < rid[q, None]))).sum(axis=1)
+        return pa.table({"id": pa.array(ids), "n": pa.array(counts)})
+
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("o_qb", "o_rb")).applyInArrow(run, "id bigint, n bigint")
+    return parts.groupBy("id").agg(F.sum("n").alias("n"))

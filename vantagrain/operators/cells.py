@@ -24,15 +24,19 @@ def cells(x: DataFrame, y: DataFrame, cols: Sequence[str], weight_x: str | None
     return both.groupBy(*cols).agg(F.sum("o").alias("o"), F.sum("r").alias("r"))
 
 
-def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(var, level): a row for each value of each column, nulls left out."""
+def long_values(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(var, level), with a weight also _w: a row for each value of each column;
+    nulls, and rows without a weight, are left out."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("var"), F.col(c).cast("string").alias("level")) for c in cols]))
-    return df.select(pairs.alias("p")).select("p.var", "p.level").filter("level is not null")
+    if not weight:
+        return df.select(pairs.alias("p")).select("p.var", "p.level").filter("level is not null")
+    return df.select(pairs.alias("p"), F.col(weight).alias("_w")).select("p.var", "p.level", "_w").filter("level is not null and _w is not null")
 
 
-def hellinger(x: DataFrame, y: DataFrame, cols: Sequence[str]) -> MeasureResult:
-    """Hellinger distance of every categorical variable, in one pass over each side."""
-    both = cells(long_values(x, cols), long_values(y, cols), ["var", "level"])
+def hellinger(x: DataFrame, y: DataFrame, cols: Sequence[str], *, weight_x: str | None = None, weight_y: str | None = None) -> MeasureResult:
+    """Hellinger distance of every categorical variable, in one pass over each
+    side; a row counts as its weight says."""
+    both = cells(long_values(x, cols, weight_x), long_values(y, cols, weight_y), ["var", "level"], "_w" if weight_x else None, "_w" if weight_y else None)
     totals = both.groupBy("var").agg(F.sum("o").alias("no"), F.sum("r").alias("nr"))
     gap = F.sqrt(F.col("o") / F.col("no")) - F.sqrt(F.col("r") / F.col("nr"))
     per = key_join(both, totals, ["var"], "inner").groupBy("var").agg(
@@ -104,13 +108,13 @@ def chisq_p_value(summary: DataFrame) -> float:
     return chi2_sf(row.chi2, row.df) if row.df > 0 else 1.0
 
 
-def chisq_gof(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
-    """Goodness of fit of released counts to original proportions, by group.
+def chisq_gof(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = (), *, weight_x: str | None = None, weight_y: str | None = None) -> DataFrame:
+    """Goodness of fit of released (weighted) counts to original proportions, by group.
 
     Levels that the original lacks in a group are left out, as their expected
     count is zero.
     """
-    both = cells(complete(x, [col, *group]), complete(y, [col, *group]), [*group, col]).filter("o > 0")
+    both = cells(complete(x, [col, *group]), complete(y, [col, *group]), [*group, col], weight_x, weight_y).filter("o > 0")
     one = [*group] or ["_all"]
     both = both if group else both.withColumn("_all", F.lit(1))
     totals = both.groupBy(*one).agg(F.sum("o").alias("no"), F.sum("r").alias("nr"), F.count(F.lit(1)).alias("k"))

@@ -62,36 +62,39 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], max_rows: int | N
     return list(row.q) if row else []
 
 
-def group_quantiles(df: DataFrame, col: str, probs: Sequence[float], within: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
+def group_quantiles(df: DataFrame, col: str, probs: Sequence[float], within: Sequence[str] = (), max_rows: int | None = None, weight: str | None = None) -> DataFrame:
     """(within, q): exact quantiles of each group, in the order of ``probs``;
-    groups without a value are left out, and a null is a group.
+    groups without a value are left out, and a null is a group.  A row counts
+    ``weight`` times; rows without a positive weight do not count.
 
     Beyond PERCENTILE_ROWS rows or PERCENTILE_PROBS probabilities the quantiles
     come from running counts of the distinct values: order statistics are looked
     up by their rank in an equi-join on steps of ranks, so no task holds a group
     and the cost does not grow with the number of probabilities.
     """
-    values = df.select(*within, F.col(col).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    w = F.col(weight).cast("double") if weight else F.lit(1).cast("bigint")
+    values = df.select(*within, F.col(col).cast("double").alias("v"), w.alias("w")).filter("v is not null and not isnan(v) and w > 0")
     limit = PERCENTILE_ROWS if max_rows is None else max_rows
-    if len(probs) <= PERCENTILE_PROBS and limit and values.limit(limit + 1).count() <= limit:
+    if not weight and len(probs) <= PERCENTILE_PROBS and limit and values.limit(limit + 1).count() <= limit:
         return values.groupBy(*within).agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).filter("q is not null")
     from .ranks import running
 
     names = [f"g{k}" for k in range(len(within))]
-    rows = values.toDF(*names, "v")
-    n = F.count(F.lit(1))
+    rows = values.toDF(*names, "v", "w")
+    n = F.sum("w")
     counts = running(rows.groupBy(*names, "v").agg(n.alias("n")), "v", ["n"], names)
     totals = rows.groupBy(*names).agg(n.alias("all")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("all") / len(probs)))).filter("all > 0")
     at = F.col("p") * (F.col("all") - 1)
     low = F.floor(at)
-    wanted = totals.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("k", "p")).select(*names, "k", "step", (at - low).alias("part"), F.explode(F.array(low, F.least(low + 1, F.col("all") - 1))).alias("rank"))
+    wanted = totals.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("k", "p")).select(*names, "k", "step", (at - low).alias("part"), F.explode(F.array((low + 1).cast("double"), F.least(low + 2, F.col("all")).cast("double"))).alias("rank"))
+    # rank r is the first value whose running count reaches r
     wanted = wanted.withColumn("s", F.floor(F.col("rank") / F.col("step")))
     sizes = totals.select(*[F.col(g).alias(f"t_{g}") for g in names], F.col("step").alias("width"))
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}{g}").eqNullSafe(F.col(f"{b}{g}")) for g in names], F.lit(True))
-    first, last = F.col("run_n") - F.col("n"), F.col("run_n") - 1
+    first, last = F.col("run_n") - F.col("n"), F.col("run_n")
     spans = counts.join(sizes, same("", "t_")) if names else counts.join(F.broadcast(sizes))  # one row without groups
     spans = spans.select(*[F.col(g).alias(f"v_{g}") for g in names], "v", first.alias("first"), last.alias("last"), F.explode(F.sequence(F.floor(first / F.col("width")), F.floor(last / F.col("width")))).alias("v_s"))
-    met = wanted.join(spans, same("", "v_") & (F.col("s") == F.col("v_s")) & F.col("rank").between(F.col("first"), F.col("last")))
+    met = wanted.join(spans, same("", "v_") & (F.col("s") == F.col("v_s")) & (F.col("first") < F.col("rank")) & (F.col("rank") <= F.col("last")))
     lo, hi = F.min("v"), F.max("v")
     found = met.groupBy(*names, "k").agg((lo + (hi - lo) * F.max("part")).alias("x"))
     lists = found.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("q"))  # as many as probabilities

@@ -321,10 +321,14 @@ def ci_overlap(x: DataFrame, y: DataFrame, id_col: str, estimator: Callable[[Dat
     return scalar_row(x.sparkSession, m_x=m1, m_y=m2, lower_x=float(l1), upper_x=float(u1), lower_y=float(l2), upper_y=float(u2), overlap_perc=100 * inter / union if union else 100.0 * (m1 == m2), ratio_se=s2 / s1 if s1 else float("nan"))
 
 
-def mmd_exact(x: DataFrame, y: DataFrame, id_col: str, cols: Sequence[str], *, heuristic_rows: int = 2000, sigma: float | None = None) -> DataFrame:
+def mmd_exact(
+    x: DataFrame, y: DataFrame, id_col: str, cols: Sequence[str], *, heuristic_rows: int = 2000, sigma: float | None = None, kernel: str = "gaussian", n_perm: int = 0, seed: int = 1
+) -> DataFrame:
     """Unbiased squared maximum mean discrepancy over all pairs of rows, after
-    pooled z-scores.  The bandwidth is the median distance; only that heuristic
-    looks at ``heuristic_rows`` pooled rows at most."""
+    pooled z-scores, with a ``gaussian`` or ``rational_quadratic`` kernel.  The
+    bandwidth is the median distance; only that heuristic looks at
+    ``heuristic_rows`` pooled rows at most.  With ``n_perm`` also ``p_value``:
+    the share of permutations, by a hash of the rows, with at least that value."""
     x, y = complete(x, cols), complete(y, cols)
     both = x.select(id_col, *cols).unionByName(y.select(id_col, *cols))
     m = both.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s{k}") for k, c in enumerate(cols)]).first()
@@ -335,10 +339,25 @@ def mmd_exact(x: DataFrame, y: DataFrame, id_col: str, cols: Sequence[str], *, h
         sigma = float(np.median(dist[np.triu_indices(len(pts), 1)])) or 1.0
     z = lambda d: d.select(F.col(id_col).cast("bigint").alias("id"), F.array(*[(F.col(c).cast("double") - mean[k]) / sd[k] for k, c in enumerate(cols)]).alias("nums"))
     zx, zy = z(x), z(y)
-    n, k = zx.count(), zy.count()
-    xx, yy, xy = (kernel_sum(a, b, sigma) for a, b in ((zx, zx), (zy, zy), (zx, zy)))
-    mmd2 = (xx - n) / (n * (n - 1)) + (yy - k) / (k * (k - 1)) - 2 * xy / (n * k)  # a row with itself counts one
-    return scalar_row(x.sparkSession, mmd2=mmd2, sigma=sigma, utility_score=min(1.0, max(0.0, math.exp(-max(0.0, mmd2) / sigma**2))))
+
+    def value(a: DataFrame, b: DataFrame) -> float:
+        n, k = a.count(), b.count()
+        xx, yy, xy = (kernel_sum(p, q, sigma, kernel=kernel) for p, q in ((a, a), (b, b), (a, b)))
+        return (xx - n) / (n * (n - 1)) + (yy - k) / (k * (k - 1)) - 2 * xy / (n * k)  # a row with itself counts one
+
+    mmd2 = value(zx, zy)
+    extra = {}
+    if n_perm:
+        n = zx.count()
+        pool = zx.withColumn("side", F.lit(0)).unionByName(zy.withColumn("side", F.lit(1)))
+        null = []
+        for b in range(n_perm):
+            drawn = pool.withColumn("u", F.xxhash64("id", "side", F.lit(seed + b)))
+            share = n / max(1, drawn.count())
+            cut = quantiles(drawn, "u", [share])[0]  # the sizes stay as they were, but for the rounding of hashes
+            null.append(value(drawn.filter(F.col("u") <= cut).select("id", "nums"), drawn.filter(F.col("u") > cut).select("id", "nums")))
+        extra = {"p_value": (1 + sum(v >= mmd2 for v in null)) / (1 + n_perm)}
+    return scalar_row(x.sparkSession, mmd2=mmd2, sigma=sigma, utility_score=min(1.0, max(0.0, math.exp(-max(0.0, mmd2) / sigma**2))), **extra)
 
 
 def mutual_information_distance(x: DataFrame, y: DataFrame, cols: Sequence[str], *, n_bins: int = 10) -> DataFrame:

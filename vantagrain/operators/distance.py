@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.special import chi2_ppf, residual_risk, wilson
-from .blocks import category_weights, distance_sum, minima, minmax_vectors, nearest, ranges, vectors
+from .blocks import category_weights, distance_sum, minima, minmax_vectors, nearest, rank_of, ranges, vectors
 from .common import MeasureResult, complete, is_numeric, quantiles, scalar_row
 from .density import concentrated_covariance
 from .distributions import covariance
@@ -259,15 +259,23 @@ def _attack_summary(df: DataFrame, n: int, hits: int, control: int) -> DataFrame
     )
 
 
-def linkability(train: DataFrame, holdout: DataFrame, released: DataFrame, id_col: str, aux: Sequence[str], secret: Sequence[str]) -> MeasureResult:
-    """Does the released record nearest in some columns also win in the others?"""
+def linkability(
+    train: DataFrame, holdout: DataFrame, released: DataFrame, id_col: str, aux: Sequence[str], secret: Sequence[str], *, neighbours: int = 1
+) -> MeasureResult:
+    """Is the released record nearest in some columns among the ``neighbours``
+    nearest in the others?  The lower id comes first among equally near ones."""
 
     def side(df: DataFrame) -> DataFrame:
-        links = []
-        for cols in (aux, secret):
-            (a, y), how = _vectors([df, released], id_col, cols, "gower")
-            links.append(nearest(a, y, **how).select("id", F.col("d1_id").alias(f"n{len(links)}")))
-        return links[0].join(links[1], "id").select("id", (F.col("n0") == F.col("n1")).alias("link"))
+        (a, y), how = _vectors([df, released], id_col, aux, "gower")
+        first = nearest(a, y, **how).select("id", F.col("d1_id").alias("n0"))
+        (b, z), how = _vectors([df, released], id_col, secret, "gower")
+        if neighbours == 1:
+            second = nearest(b, z, **how).select("id", F.col("d1_id").alias("n1"))
+            return first.join(second, "id").select("id", (F.col("n0") == F.col("n1")).alias("link"))
+        theirs = z.select(F.col("id").alias("rid"), F.col("nums").alias("r_nums"), F.col("cats").alias("r_cats"))
+        known = b.join(first, "id").withColumnRenamed("n0", "rid").join(theirs, "rid")
+        ahead = rank_of(known, z, how["cat_weights"])
+        return first.join(ahead, "id", "left").select("id", F.coalesce(F.col("n") < neighbours, F.lit(False)).alias("link"))
 
     a, c = side(train), side(holdout)
     ra, rc = (d.agg(F.count(F.lit(1)).alias("n"), F.count_if("link").alias("k")).first() for d in (a, c))

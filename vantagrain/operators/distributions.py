@@ -24,10 +24,12 @@ def compare_ks(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = ())
     return x.sparkSession.createDataFrame(out, kinds)
 
 
-def wasserstein(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = (), *, n_grid: int = 1000) -> DataFrame:
-    """(group, wasserstein): mean gap between quantile functions on a grid."""
+def wasserstein(
+    x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = (), *, n_grid: int = 1000, weight_x: str | None = None, weight_y: str | None = None
+) -> DataFrame:
+    """(group, wasserstein): mean gap between (weighted) quantile functions on a grid."""
     grid = [k / (n_grid - 1) for k in range(n_grid)]
-    sides = [group_quantiles(df, col, grid, group).withColumnRenamed("q", f"q{n}") for n, df in enumerate((x, y))]
+    sides = [group_quantiles(df, col, grid, group, weight=w).withColumnRenamed("q", f"q{n}") for n, (df, w) in enumerate(((x, weight_x), (y, weight_y)))]
     both = key_join(sides[0], sides[1], group, "inner") if group else sides[0].join(sides[1])  # a row a side
     gaps = F.zip_with("q0", "q1", lambda a, b: F.abs(a - b))
     return both.select(*group, (F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v) / n_grid).alias("wasserstein"))
@@ -37,14 +39,28 @@ def wasserstein_nominal(x: DataFrame, y: DataFrame, col: str, group: Sequence[st
     return total_variation(x, y, col, group).withColumnRenamed("tv", "wasserstein")
 
 
-def ci_proximity(x: DataFrame, y: DataFrame, cols: Sequence[str], *, level: float = 0.95) -> MeasureResult:
-    """Overlap of the confidence intervals of means, per variable."""
+def ci_proximity(
+    x: DataFrame, y: DataFrame, cols: Sequence[str], *, level: float = 0.95, weight_x: str | None = None, weight_y: str | None = None
+) -> MeasureResult:
+    """Overlap of the confidence intervals of means, per variable.
 
-    def side(df: DataFrame) -> dict:
-        row = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))]).first()
-        return row.asDict()
+    With a weight the mean is weighted and the spread is the weighted mean
+    square; n stays the number of rows with a value and a weight.
+    """
 
-    a, b = side(x), side(y)
+    def side(df: DataFrame, weight: str | None) -> dict:
+        if not weight:
+            return df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))]).first().asDict()
+        w = F.col(weight).cast("double")
+        known = lambda c, e: F.when(F.col(c).isNotNull() & w.isNotNull(), e)
+        means = df.agg(
+            *[F.count(known(c, w)).alias(f"n_{c}") for c in cols],
+            *[(F.sum(known(c, w * F.col(c))) / F.sum(known(c, w))).alias(f"m_{c}") for c in cols],
+        ).first().asDict()
+        spread = df.agg(*[F.sqrt(F.sum(known(c, w * F.pow(F.col(c) - F.lit(means[f"m_{c}"]), 2))) / F.sum(known(c, w))).alias(f"s_{c}") for c in cols]).first().asDict()
+        return means | spread
+
+    a, b = side(x, weight_x), side(y, weight_y)
     rows = []
     for c in cols:
         cis = []
@@ -187,10 +203,33 @@ def mixed_associations(x: DataFrame, y: DataFrame, num: Sequence[str], cat: Sequ
     return out
 
 
-def multivariate_statistics(x: DataFrame, y: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(var1, var2, cov_x, cov_y, cov_diff, cor_x, cor_y, cor_diff)."""
+def weighted_covariance(df: DataFrame, cols: Sequence[str], weight: str) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted means and covariance, over the sum of weights less one; rows with
+    a null are left out."""
+    rows = complete(df, [*cols, weight])
+    w, c = F.col(weight).cast("double"), [F.col(k).cast("double") for k in cols]
+    first = rows.agg(F.sum(w).alias("w"), *[(F.sum(w * v) / F.sum(w)).alias(f"m{i}") for i, v in enumerate(c)]).first()
+    mean = np.array([first[f"m{i}"] for i in range(len(c))], float)
+    d = [v - float(m) for v, m in zip(c, mean, strict=True)]
+    row = rows.agg(*[F.sum(w * d[i] * d[j]).alias(f"c{i}_{j}") for i in range(len(c)) for j in range(i, len(c))]).first()
+    cov = np.zeros((len(c), len(c)))
+    for i in range(len(c)):
+        for j in range(i, len(c)):
+            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] / (first.w - 1)
+    return mean, cov
+
+
+def multivariate_statistics(x: DataFrame, y: DataFrame, cols: Sequence[str], *, weight_x: str | None = None, weight_y: str | None = None) -> DataFrame:
+    """(var1, var2, cov_x, cov_y, cov_diff, cor_x, cor_y, cor_diff); without
+    weights pairwise complete, with weights over complete rows."""
     parts = []
-    for s, d in (("x", x), ("y", y)):
+    for s, d, w in (("x", x, weight_x), ("y", y, weight_y)):
+        if w:
+            _, cov = weighted_covariance(d, cols, w)
+            rows = [(a, b, float(cov[i, j]), float(cov[i, j] / math.sqrt(cov[i, i] * cov[j, j])) if cov[i, i] * cov[j, j] > 0 else None) for (i, a), (j, b) in combinations(enumerate(cols), 2)]
+            both = x.sparkSession.createDataFrame(rows, f"var1 string, var2 string, cov_{s} double, cor_{s} double")
+            parts += [both.drop(f"cor_{s}"), both.drop(f"cov_{s}")]
+            continue
         parts.append(pairwise(d, cols, "cov").withColumnRenamed("value", f"cov_{s}"))
         parts.append(pairwise(d, cols, "corr").withColumnRenamed("value", f"cor_{s}"))
     out = parts[0]
@@ -273,11 +312,13 @@ def boxplot_stats(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFra
     return out.select(*group, "lower_whisker", q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"), "upper_whisker", "n_out")
 
 
-def ecdf_table(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
-    """(group, v, ecdf_x, ecdf_y) at every pooled value; null without rows."""
+def ecdf_table(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = (), *, weight_x: str | None = None, weight_y: str | None = None) -> DataFrame:
+    """(group, v, ecdf_x, ecdf_y), weighted if weights are given, at every pooled
+    value; null without rows."""
     one = [*group] or ["_all"]
     x, y = (x, y) if group else (d.withColumn("_all", F.lit(1)) for d in (x, y))
-    counts = running(value_counts({"x": x, "y": y}, col, one), "v", ["x", "y"], one)
+    sums = value_counts({"x": x, "y": y}, col, one, {"x": weight_x, "y": weight_y})
+    counts = running(sums, "v", ["x", "y"], one)
     totals = counts.groupBy(*one).agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
     both = key_join(counts, totals, one, "inner")
     return both.select(*group, "v", safe_div(F.col("run_x"), F.col("nx")).alias("ecdf_x"), safe_div(F.col("run_y"), F.col("ny")).alias("ecdf_y"))
@@ -352,24 +393,30 @@ def hill_estimator(df: DataFrame, col: str, *, percentile: float = 95.0) -> floa
     return k / row.s if row.s else None
 
 
-def regression_simple(df: DataFrame, x: str, y: str) -> Column:
-    """Struct of slope, intercept and their standard errors, as an aggregate."""
-    n, sxx, syy, r = F.regr_count(y, x), F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_r2(y, x)
-    s2 = syy * (1 - r) / (n - 2)
-    return F.struct(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.sqrt(s2 / sxx).alias("se_slope"),
-        F.sqrt(s2 * (1 / n + F.pow(F.regr_avgx(y, x), 2) / sxx)).alias("se_intercept"), n.alias("n"),
-    )
-
-
-def regression_fidelity(a: DataFrame, b: DataFrame, x: str, y: str, *, level: float = 0.95) -> MeasureResult:
-    """A line fitted on both sides: bias, interval overlap and significance."""
-    fits = [d.agg(regression_simple(d, x, y).alias("f")).select("f.*").first() for d in (complete(a, [x, y]), complete(b, [x, y]))]
+def least_squares(df: DataFrame, predictors: Sequence[str], y: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(coefficients, standard errors, n) of a linear fit with intercept, from the
+    means and covariances of one pass over the complete rows."""
+    mean, cov, n = covariance(df, [*predictors, y])
+    p = len(predictors)
+    sxx, sxy, syy = cov[:p, :p] * (n - 1), cov[:p, p] * (n - 1), cov[p, p] * (n - 1)
+    inverse = np.linalg.pinv(sxx)
+    slopes = inverse @ sxy
+    s2 = max(0.0, syy - slopes @ sxy) / (n - p - 1) if n > p + 1 else 0.0
+    m = mean[:p]
+    errors = [math.sqrt(s2 * (1 / n + m @ inverse @ m)) if n else 0.0, *np.sqrt(s2 * np.diag(inverse))]
+    return np.array([mean[p] - slopes @ m, *slopes]), np.array(errors), n
+
+
+def regression_fidelity(a: DataFrame, b: DataFrame, x: str | Sequence[str], y: str, *, level: float = 0.95) -> MeasureResult:
+    """A linear model fitted on both sides: bias, interval overlap and
+    significance of each coefficient.  ``x`` names one or several numeric
+    predictors."""
+    names = [x] if isinstance(x, str) else list(x)
+    fits = [least_squares(d, names, y) for d in (a, b)]
     rows = []
-    for term in ("intercept", "slope"):
-        e1, e2 = fits[0][term], fits[1][term]
-        s1, s2 = fits[0][f"se_{term}"], fits[1][f"se_{term}"]
-        h1, h2 = (t_ppf(0.5 + level / 2, f.n - 2) * s for f, s in zip(fits, (s1, s2), strict=True))
+    for k, term in enumerate(["intercept", "slope"] if isinstance(x, str) else ["intercept", *names]):
+        (e1, e2), (s1, s2) = (tuple(float(f[i][k]) for f in fits) for i in (0, 1))
+        h1, h2 = (t_ppf(0.5 + level / 2, n - len(names) - 1) * s for (_, _, n), s in zip(fits, (s1, s2), strict=True))
         inter = max(0.0, min(e1 + h1, e2 + h2) - max(e1 - h1, e2 - h2))
         overlap = min(1.0, inter / (h1 + h2)) if h1 + h2 > 0 else float(e1 == e2)
         same = (abs(e1) > h1) == (abs(e2) > h2)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.pair import ReleasePair
 from . import attribution, cells, copies, distance, distributions, models, sdc
+from .common import quantiles
 
 FAMILIES = {
     "attribution": ("cap", "tcap", "weap", "disco", "rapid"),
@@ -157,24 +158,77 @@ def _dominated(comp: DataFrame) -> DataFrame:
     return joined.filter((F.col("u") < F.col("best")) | (F.coalesce("before", F.lit(float("-inf"))) >= F.col("u"))).select("release", F.lit(True).alias("dominated"))
 
 
-def score_release(pair: ReleasePair, name: str) -> list[tuple[str, str, str, float]]:
-    """Default risk and utility measures of one release, as long rows."""
-    x, y, i = pair.original, pair.released, pair.id_col
-    out = []
-    if pair.keys and pair.target:
-        out.append(("risk", "cap", attribution.dcap(x, y, i, pair.keys, pair.target).summary.first().cap))
-        out.append(("risk", "disco", attribution.disco(x, y, i, pair.keys, pair.target).summary.first().pct_disco_potential / 100))
-    out.append(("risk", "ims", copies.ims(x, y, i, pair.cols).summary.first().ims))
-    if pair.categorical:
-        out.append(("utility", "hellinger", cells.hellinger(x, y, pair.categorical).summary.first().utility_score))
-    for c in pair.numeric:
-        out.append(("utility", f"ks_{c}", 1 - distributions.compare_ks(x, y, c).first().ks_statistic))
-    return [(name, kind, m, float(v or 0.0)) for kind, m, v in out]
+RISK = ("dcap", "tcap", "disco", "rapid", "ims", "repu")
+UTILITY = ("pmse", "wasserstein", "hellinger", "energy", "ci_proximity")
 
 
-def release_scores(original: DataFrame, releases: dict[str, DataFrame], id_col: str, **roles) -> DataFrame:
+def map_measures() -> dict[str, tuple[str, Callable[[ReleasePair], float | None]]]:
+    """Every measure the map knows: its kind and its value in [0, 1] or so."""
+    from . import density as dens
+
+    at = lambda p: (p.original, p.released, p.id_col, p.keys, p.target)
+    two = lambda p: (p.original, p.released)
+    three = lambda p: (p.original, p.released, p.holdout, p.id_col, p.cols)
+
+    def moved(p: ReleasePair) -> float:
+        gaps = []
+        for c in p.numeric:
+            q1, q3 = quantiles(p.original, c, [0.25, 0.75])
+            gaps.append(distributions.wasserstein(*two(p), c).first().wasserstein / ((q3 - q1) or 1.0))
+        return 1 - min(1.0, sum(gaps) / len(gaps))
+
+    def rapid(p: ReleasePair) -> float:
+        model = "lm" if p.target in p.numeric else "logit"
+        return models.rapid(*at(p), model=model).summary.first().rapid
+
+    return {
+        "dcap": ("risk", lambda p: attribution.dcap(*at(p)).summary.first().cap),
+        "tcap": ("risk", lambda p: attribution.tcap(*at(p)).summary.first().tcap_mean),
+        "disco": ("risk", lambda p: attribution.disco(*at(p)).summary.first().pct_disco_potential / 100),
+        "rapid": ("risk", rapid),
+        "ims": ("risk", lambda p: copies.ims(*two(p), p.id_col, p.cols).summary.first().ims),
+        "repu": ("risk", lambda p: copies.repu(*two(p), p.id_col, p.cols).summary.first().ims),
+        "dcr": ("risk", lambda p: 1 - distance.dcr(*three(p)).summary.first().dcr_share),
+        "nndr": ("risk", lambda p: 1 - distance.nndr(*three(p)).summary.first().nndr_ratio),
+        "rf_privacy": ("risk", lambda p: models.rf_privacy(*three(p)).summary.first().max_prox_share),
+        "pmse": ("utility", lambda p: 1 - min(1.0, 10 * models.pmse(*two(p), p.id_col, p.cols).summary.first().pmse)),
+        "wasserstein": ("utility", moved),
+        "hellinger": ("utility", lambda p: cells.hellinger(*two(p), p.categorical).summary.first().utility_score),
+        "energy": ("utility", lambda p: distance.energy_distance(*two(p), p.id_col, p.numeric).summary.first().utility_score),
+        "ci_proximity": ("utility", lambda p: distributions.ci_proximity(*two(p), p.numeric).summary.first().proximity_mean),
+        "mmd": ("utility", lambda p: dens.mmd_exact(*two(p), p.id_col, p.numeric).first().utility_score),
+        "tstr": ("utility", lambda p: models.tstr(*two(p), p.id_col, [c for c in p.cols if c != p.target], p.target).summary.first().utility_score),
+        "copula": ("utility", lambda p: distributions.copula_fidelity(*two(p), p.numeric).summary.first().utility_score),
+        "tail": ("utility", lambda p: distributions.tail_fidelity(*two(p), p.numeric).summary.first().utility_score),
+        "contingency": ("utility", lambda p: cells.contingency_fidelity(*two(p), p.categorical).summary.first().utility_score),
+    }
+
+
+_NEEDS = {
+    "dcap": ("keys", "target"), "tcap": ("keys", "target"), "disco": ("keys", "target"), "rapid": ("keys", "target"), "tstr": ("target",),
+    "dcr": ("holdout",), "nndr": ("holdout",), "rf_privacy": ("holdout",), "wasserstein": ("numeric",), "energy": ("numeric",),
+    "ci_proximity": ("numeric",), "mmd": ("numeric",), "copula": ("numeric",), "tail": ("numeric",), "hellinger": ("categorical",), "contingency": ("categorical",),
+}
+
+
+def score_release(pair: ReleasePair, name: str, risk: Sequence[str] = RISK, utility: Sequence[str] = UTILITY) -> list[tuple[str, str, str, float | None]]:
+    """Risk and utility measures of one release, as long rows.  A measure for
+    which the pair lacks keys, target, holdout or columns is left out."""
+    known, out = map_measures(), []
+    for m in [*risk, *utility]:
+        if m not in known:
+            raise ValueError(f"unknown measure: {m}")
+        lacks = [need for need in _NEEDS.get(m, ()) if not isinstance(getattr(pair, need), DataFrame) and not getattr(pair, need)]
+        if lacks or (m in ("copula",) and len(pair.numeric) < 2) or (m == "contingency" and len(pair.categorical) < 2):
+            continue
+        value = known[m][1](pair)
+        out.append((name, known[m][0], m, None if value is None else float(value)))
+    return out
+
+
+def release_scores(original: DataFrame, releases: dict[str, DataFrame], id_col: str, *, risk: Sequence[str] = RISK, utility: Sequence[str] = UTILITY, **roles) -> DataFrame:
     """(release, kind, measure, value) of every release."""
-    rows = [r for name, df in releases.items() for r in score_release(ReleasePair(original, df, id_col, **roles), name)]
+    rows = [r for name, df in releases.items() for r in score_release(ReleasePair(original, df, id_col, **roles), name, risk, utility)]
     return original.sparkSession.createDataFrame(rows, "release string, kind string, measure string, value double")
 
 

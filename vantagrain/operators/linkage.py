@@ -384,7 +384,7 @@ def pram_risk(original: DataFrame, released: DataFrame, id_col: str, keys: Seque
 
     The probability that an original became a released record is a product over
     keys; the risk is that of the true record over the sum for all released
-    ones.  Records with equal keys are one class, so classes meet and records do
+    ones, ``expected_risk`` its mean over the transitions.  Records with equal keys are one class, so classes meet and records do
     not.
     """
     xs = original.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_x"))
@@ -399,8 +399,17 @@ def pram_risk(original: DataFrame, released: DataFrame, id_col: str, keys: Seque
     probs = both.select(*keys, *[f"r_{c}" for c in keys], "p").withColumnsRenamed({c: f"k_{c}" for c in keys}).withColumnsRenamed({f"r_{c}": f"kr_{c}" for c in keys})
     on = [F.col(c) == F.col(f"k_{c}") for c in keys] + [F.col(f"r_{c}") == F.col(f"kr_{c}") for c in keys]
     scored = key_join(mine.join(probs, on, "left").drop(*[f"k_{c}" for c in keys], *[f"kr_{c}" for c in keys]), total, keys, "left")
-    records = scored.select("id", F.coalesce("p", F.lit(0.0)).alias("p_true"), F.coalesce(F.when(F.col("p_all") > 0, F.coalesce("p", F.lit(0.0)) / F.col("p_all")), F.lit(0.0)).alias("risk"))
-    summary = records.agg(F.avg("risk").alias("mean_risk"), F.max("risk").alias("max_risk"), F.avg("p_true").alias("mean_p_true"), F.count(F.lit(1)).alias("n_query"))
+    p, every = F.coalesce("p", F.lit(0.0)), F.coalesce("p_all", F.lit(0.0))
+    scored = scored.withColumns({"p_true": p, "s": F.round(every - p, 15)})
+    # the risk expected over what the record could have become, the others as they are
+    cases = key_join(scored.select(*keys, "s").distinct(), both.select(*keys, "p"), keys, "inner")
+    expected = cases.groupBy(*keys, "s").agg(F.sum(F.col("p") * F.col("p") / (F.col("s") + F.col("p"))).alias("expected_risk"))
+    scored = key_join(scored, expected, [*keys, "s"], "left")
+    records = scored.select("id", "p_true", F.when(every > 0, F.col("p_true") / every).otherwise(0.0).alias("risk"), "expected_risk")
+    summary = records.agg(
+        F.avg("risk").alias("mean_risk"), F.max("risk").alias("max_risk"), F.avg("p_true").alias("mean_p_true"),
+        F.avg("expected_risk").alias("mean_expected_risk"), F.count(F.lit(1)).alias("n_query"),
+    )
     return MeasureResult(summary, records)
 
 

@@ -23,8 +23,9 @@ from .ranks import auc, ks_p_value, ks_two_sample, signed_rank_p
 
 
 def _order(id_col: str, seed: int):
-    """A reproducible random order: the hash of the id, spread over [0, 1)."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    """A reproducible random order: a digest of the id, spread over [0, 1)."""
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def _features(df: DataFrame, cols: Sequence[str], hot: bool = True) -> list:

@@ -44,15 +44,17 @@ def running(df: DataFrame, by: str, sums: Sequence[str], within: Sequence[str] =
     return out.drop("__b", *[f"__r{k}" for k in keys], *[f"__o_{c}" for c in sums])
 
 
-def value_counts(frames: dict[str, DataFrame], col: str, within: Sequence[str] = ()) -> DataFrame:
-    """(within, v, one count column per frame) over the pooled values."""
-    names = list(frames)
+def value_counts(frames: dict[str, DataFrame], col: str, within: Sequence[str] = (), weights: dict[str, str | None] | None = None) -> DataFrame:
+    """(within, v, one count or weight sum per frame) over the pooled values."""
+    names, weights = list(frames), weights or {}
+    heavy = any(weights.values())
     pooled = None
     for name, df in frames.items():
-        part = df.select(*within, F.col(col).cast("double").alias("v"), *[F.lit(int(n == name)).alias(n) for n in names])
+        amount = F.col(weights[name]).cast("double") if weights.get(name) else F.lit(1.0 if heavy else 1)
+        part = df.select(*within, F.col(col).cast("double").alias("v"), *[amount.alias(n) if n == name else F.lit(0.0 if heavy else 0).alias(n) for n in names])
         part = part.filter("v is not null and not isnan(v)")
         pooled = part if pooled is None else pooled.unionByName(part)
-    return pooled.groupBy(*within, "v").agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
+    return pooled.groupBy(*within, "v").agg(*[F.sum(n).cast("double" if heavy else "bigint").alias(n) for n in names])
 
 
 def ks_two_sample(x: DataFrame, y: DataFrame, col: str, within: Sequence[str] = ()) -> DataFrame:

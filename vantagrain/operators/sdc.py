@@ -124,19 +124,23 @@ def suda(df: DataFrame, id_col: str, keys: Sequence[str], *, max_msu: int | None
     """Special uniques: minimal key subsets on which a record is unique.
 
     All subsets are counted in one grouping-sets pass over distinct key tuples;
-    a tuple held by two rows is unique on no subset.
+    a tuple held by two rows is unique on no subset.  What is unique goes back
+    to its tuple by a 128-bit hash of the keys, in one join.
     """
     p = len(keys)
     most = max_msu or p
     rows = complete(df, keys)
-    tuples = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("f"))
+    whole = [F.xxhash64(*keys).alias("h1"), F.xxhash64(F.lit(1), *keys).alias("h2")]
+    tuples = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("f")).select("*", *whole)
     subsets = [s for r in range(1, most + 1) for s in combinations(keys, r)]
-    flags = []
-    found = tuples
-    for n, s in enumerate(subsets):
-        sizes = tuples.groupBy(*s).agg(F.sum("f").alias("g")).filter("g = 1").select(*s, F.lit(True).alias(f"u{n}"))
-        found = key_join(found, sizes, s, "left")
-        flags.append(F.coalesce(F.col(f"u{n}"), F.lit(False)))
+    sizes = tuples.groupingSets([[F.col(c) for c in s] for s in subsets], *keys).agg(
+        F.sum("f").alias("g"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.grouping_id().alias("gid")
+    )
+    unique = sizes.filter("g = 1").groupBy("h1", "h2").agg(F.collect_set("gid").alias("gids"))  # at most one for each subset
+    found = tuples.join(unique, ["h1", "h2"], "left")
+    # the grouping id has a bit for each key that is not in the subset, the first key highest
+    gid = lambda s: sum(1 << (p - 1 - i) for i, c in enumerate(keys) if c not in s)
+    flags = [F.coalesce(F.array_contains("gids", F.lit(gid(s)).cast("bigint")), F.lit(False)) for s in subsets]
     minimal = []
     for n, s in enumerate(subsets):
         below = [flags[m] for m, t in enumerate(subsets) if set(t) < set(s)]

@@ -68,6 +68,11 @@ _RT, _RH = _rng("ty").replace("rg as", "rt as"), _rng("hy").replace("rg as", "rh
 LINK_SQL = f"""with {CUST.sql3}, {_RT}, {_RH}, {_near('a1', 't', _AUX, 'rt')}, {_near('b1', 't', _SEC, 'rt')}, {_near('a2', 'h', _AUX, 'rh')}, {_near('b2', 'h', _SEC, 'rh')},
   v as (select (select count(*) from t) as n, (select count(*) from a1 join b1 using (id) where a1.n = b1.n) as k, (select count(*) from h) as nh, (select count(*) from a2 join b2 using (id) where a2.n = b2.n) as kh)
   select round(k / n, 6) as risk_attack, round(kh / nh, 6) as risk_control, n as n_attacks, k as n_success, kh as n_control_success, round(greatest(0, (k / n - kh / nh) / (1 - kh / nh)), 6) as risk from v"""
+def _three_nearest(name: str, a: str, dist: str, rg: str) -> str:
+    return f"{name} as (select id, rid as n from (select id, rid, row_number() over (partition by id order by d, rid) as rk from (select a.c_custkey as id, b.c_custkey as rid, {dist} as d from {a} a, y b, {rg})) where rk <= 3)"
+
+
+LINK3_SQL = LINK_SQL.replace(_near('b1', 't', _SEC, 'rt'), _three_nearest('b1', 't', _SEC, 'rt')).replace(_near('b2', 'h', _SEC, 'rh'), _three_nearest('b2', 'h', _SEC, 'rh'))
 SINGLE_SQL = f"""with {CUST.sql3}, m as (select median(c_acctbal) as ma, median(c_nationkey) as mn from y), g as (select y.*, ma, mn from y, m where c_custkey % 10 = 1),
   f as (select g.c_custkey as id, (select count(*) from t where t.c_mktsegment = g.c_mktsegment and case when g.c_acctbal > ma then t.c_acctbal >= g.c_acctbal else t.c_acctbal <= g.c_acctbal end and case when g.c_nationkey > mn then t.c_nationkey >= g.c_nationkey else t.c_nationkey <= g.c_nationkey end) as a,
     (select count(*) from h where h.c_mktsegment = g.c_mktsegment and case when g.c_acctbal > ma then h.c_acctbal >= g.c_acctbal else h.c_acctbal <= g.c_acctbal end and case when g.c_nationkey > mn then h.c_nationkey >= g.c_nationkey else h.c_nationkey <= g.c_nationkey end) as b from g),
@@ -120,6 +125,7 @@ QUERIES = {
     "nnaa": lambda s, d: rounded(D.nnaa(*CUST.three(s, d), "c_custkey", _COLS).summary),
     "domias": lambda s, d: rounded(D.domias(*CUST.three(s, d), "c_custkey", _COLS).summary),
     "linkability": lambda s, d: rounded(D.linkability(CUST.three(s, d)[0], CUST.three(s, d)[2], CUST.three(s, d)[1], "c_custkey", ("c_acctbal", "c_mktsegment"), ("c_nationkey",)).summary.select("risk_attack", "risk_control", "n_attacks", "n_success", "n_control_success", "risk")),
+    "linkability_three_neighbours": lambda s, d: rounded(D.linkability(CUST.three(s, d)[0], CUST.three(s, d)[2], CUST.three(s, d)[1], "c_custkey", ("c_acctbal", "c_mktsegment"), ("c_nationkey",), neighbours=3).summary.select("risk_attack", "risk_control", "n_attacks", "n_success", "n_control_success", "risk")),
     "singling_out": _singling,
     "gower_paired": lambda s, d: rounded(D.paired_gower(*_perturbed(s, d), "c_custkey", _COLS).summary),
     "drisk_interval": lambda s, d: rounded(D.drisk_interval(*PART.frames(s, d), "p_partkey", _PNUM).summary),
@@ -138,7 +144,7 @@ SQL = {
     "dcr_gower": dcr_sql(_GOWER), "dcr_euclidean": dcr_sql(_euclid(CUST.num)), "nndr_gower": NNDR_SQL,
     "hitting_rate": f"{_HIT} select round(avg((d <= 0.05)::int), 6) as rate, count(*) filter (d <= 0.05) as n_hits, round(avg((d = 0)::int), 6) as rate_at_zero, count(*) as n_synthetic, avg((d <= 0.05)::int) <= 0.1 as privacy_pass from m",
     "hitting_sweep": f"{_HIT} select tau::double as tau, round(avg((d <= tau)::int), 6) as rate from m, (select unnest([0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3]) as tau) group by 1",
-    "epsilon_identifiability": _entropy_sql(), "nnaa": NNAA_SQL, "domias": DOMIAS_SQL, "linkability": LINK_SQL, "singling_out": SINGLE_SQL,
+    "epsilon_identifiability": _entropy_sql(), "nnaa": NNAA_SQL, "domias": DOMIAS_SQL, "linkability": LINK_SQL, "linkability_three_neighbours": LINK3_SQL, "singling_out": SINGLE_SQL,
     "gower_paired": f"with {RLNK}, {_rng('xy').replace('select * from', 'select c_acctbal, c_nationkey from')}, p as (select {_GOWER.replace('round(', '(', 1).replace(', 9)', ')')} as d from x a join y b using (c_custkey), rg) select round(avg(d), 6) as gower_distance, round(1 - avg(d), 6) as utility_score, count(*) as n_records, 3::bigint as n_variables from p",
     "drisk_interval": DRISK_SQL, "energy_distance": ENERGY_SQL,
 }

@@ -93,7 +93,9 @@ PRAM_SQL = f"""with x as (select c_custkey, ['R', 'G', 'B'][c_nationkey % 3 + 1]
   y as (select c_custkey, ['R', 'G', 'B'][(c_nationkey + (c_custkey % 5 = 0)::int) % 3 + 1] as color, ['C', 'S', 'T'][(c_custkey + (c_custkey % 7 = 0)::int) % 3 + 1] as shape from customer),
   t as (select a.c_custkey as id, {_TC} * {_TS} as p from x a join y b using (c_custkey)),
   yc as (select color, shape, count(*) as n from y group by all), z as (select a.c_custkey as id, sum(b.n * {_TC} * {_TS}) as pa from x a, yc b group by 1)
-  select id, round(p, 6) as p_true, round(p / pa, 6) as risk from t join z using (id)"""
+  , o as (select a.c_custkey as id, {_TC} * {_TS} as po from x a, (select unnest(['R', 'G', 'B']) as color) c, (select unnest(['C', 'S', 'T']) as shape) d, lateral (select c.color as color, d.shape as shape) b),
+  e as (select id, sum(po * po / (pa - p + po)) as er from o join t using (id) join z using (id) group by 1)
+  select id, round(p, 6) as p_true, round(p / pa, 6) as risk, round(er, 6) as expected_risk from t join z using (id) join e using (id)"""
 
 
 def _maha(s, d):

@@ -24,7 +24,7 @@ def _rapid_cat(s, d, **k):
 def _report(s, d):
     x, y, h = CUST.three(s, d)
     pair = ReleasePair(x, y, "c_custkey", keys=list(_KEYS), target="c_acctbal", cols=["c_nationkey", "c_acctbal", "c_mktsegment"], holdout=h)
-    return rounded(W.disclosure_report(pair, [m for m in W.checks() if m not in ("rapid", "linkability", "nnaa", "domias")])[0])
+    return rounded(W.disclosure_report(pair)[0])
 
 
 def _releases(s, d):
@@ -93,6 +93,8 @@ QUERIES = {
     "robust_outliers": lambda s, d: Y.robust_outliers(CUST.frames(s, d)[0], "c_custkey", CUST.num).groupBy("outlier").count(),
     "dbscan_noise": lambda s, d: Y.dbscan_noise(CUST.frames(s, d)[0].withColumn("b", F.col("c_acctbal") / 500), "c_custkey", ("b", "c_nationkey"), eps=1.0).groupBy("core", "noise").agg(F.count(F.lit(1)).alias("n")),
     "ci_overlap_bootstrap": lambda s, d: rounded(Y.ci_overlap(*CUST.frames(s, d), "c_custkey", lambda f: f.agg(F.median("c_acctbal")).first()[0], rounds=5)),
+    "mmd_rational_quadratic": lambda s, d: rounded(Y.mmd_exact(*CUST.frames(s, d), "c_custkey", CUST.num, kernel="rational_quadratic", sigma=1.0)),
+    "compare_pca_pair": lambda s, d: rounded(Y.compare_pca(*CUST.frames(s, d), CUST.num).select("component", "variable", F.abs("loading_x").alias("size_x"), F.abs("loading_y").alias("size_y"), "explained_x", "explained_y")),
     "mmd_exact": lambda s, d: rounded(Y.mmd_exact(*CUST.frames(s, d), "c_custkey", CUST.num)),
     "histogram_divergence": lambda s, d: rounded(Y.mutual_information_distance(*CUST.frames(s, d), CUST.num)),
     "mahalanobis_between": lambda s, d: rounded(_mahalanobis(s, d)),
@@ -110,9 +112,47 @@ def _mahalanobis(s, d):
     return scalar_row(s, distance=mahalanobis_between(*CUST.frames(s, d), CUST.num))
 
 
+_Z = "((a.c_nationkey - b.c_nationkey) / sn) ** 2 + ((a.c_acctbal - b.c_acctbal) / sa) ** 2"
+
+
+def _mmd_sql(kernel: str, sigma: str) -> str:
+    """All pairs; the median distance is that of all pooled rows, which is what
+    the operator's heuristic looks at as long as they are 2,000 at most."""
+    mean = lambda a, b, on: f"(select avg({kernel}) from {a} a, {b} b, s, g{' where a.c_custkey <> b.c_custkey' if on else ''})"
+    return f"""with {CUST.sql}, u as (select * from x union all select * from y), s as (select stddev_samp(c_nationkey) as sn, stddev_samp(c_acctbal) as sa from u), g as (select {sigma} as g),
+      m as (select {mean('x', 'x', True)} + {mean('y', 'y', True)} - 2 * {mean('x', 'y', False)} as mmd2, g from g)
+      select round(mmd2, 6) as mmd2, round(g, 6) as sigma, round(least(1, greatest(0, exp(-greatest(0, mmd2) / g ** 2))), 6) as utility_score from m"""
+
+
+def _kl_sql(a: str, b: str, grid: int = 50) -> str:
+    """Counts on the nearest grid points, smoothed by a product kernel, over all pairs of grid points."""
+    cell = lambda c: f"least({grid - 1}, greatest(0, round(({c} - lo_{c}) / st_{c})))::int"
+    width = lambda c: f"0.9 * least(stddev_samp({c}), (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.34) * pow(count(*), -0.2) as h_{c}"
+    axis = lambda c: f"min({c})::double as lo_{c}, (max({c}) - min({c}))::double / {grid - 1} as st_{c}"
+    one = lambda s: f"""h{s} as (select {width(a)}, {width(b)} from {s}), m{s} as (select {cell(a)} as i, {cell(b)} as j, count(*) as n from {s}, ax group by 1, 2),
+      d{s} as (select g.i, g.j, greatest(1e-300, sum(n * exp(-0.5 * (st_{a} * (g.i - m.i) / h_{a}) ** 2) * exp(-0.5 * (st_{b} * (g.j - m.j) / h_{b}) ** 2))) as v from g, m{s} m, h{s}, ax group by 1, 2)"""
+    return f"""with {CUST.sql}, ax as (select {axis(a)}, {axis(b)} from (select * from x union all select * from y)), g as (select i, j from range({grid}) p(i), range({grid}) q(j)), {one('x')}, {one('y')}
+      select round(sum(p * ln(p / q)), 6) as kl from (select dx.v / (select sum(v) from dx) as p, dy.v / (select sum(v) from dy) as q from dx join dy using (i, j))"""
+
+
+_U = "('0x' || substr(md5(l_orderkey::varchar || ':1'), 1, 8))::bigint / 4294967296.0"
+TSTR_SQL = f"""with {LINE.sql}, t as (select * from x where {_U} < 0.3), r as (select * from x where {_U} >= 0.3),
+  f as (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from y), g as (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from r),
+  v as (select (select greatest(0, 1 - sum((l_extendedprice - i - s * l_quantity) ** 2) / (var_pop(l_extendedprice) * count(*))) from t, f) as a, (select greatest(0, 1 - sum((l_extendedprice - i - s * l_quantity) ** 2) / (var_pop(l_extendedprice) * count(*))) from t, g) as b)
+  select round(a, 6) as tstr_performance, round(b, 6) as trtr_performance, round(a / b, 6) as tstr_ratio, round(least(1, greatest(0, a / b)), 6) as utility_score, 'r2' as metric from v"""
+DBSCAN_SQL = f"""with {CUST.sql}, r as (select c_custkey as id, c_acctbal / 500 as b, c_nationkey as k from x), p as (select a.id, o.id as oid from r a, r o where (a.b - o.b) ** 2 + (a.k - o.k) ** 2 <= 1),
+  n as (select id, count(*) >= 5 as core from p group by 1), z as (select distinct p.id from p join n on p.oid = n.id where core)
+  select core, z.id is null as noise, count(*) as n from n left join z using (id) group by 1, 2"""
+_CORR = lambda s: f"(select corr(c_nationkey, c_acctbal) from {s})"
+PCA_SQL = f"""with {CUST.sql} select component, variable, round(sqrt(0.5), 6) as size_x, round(sqrt(0.5), 6) as size_y, round((1 + sign * abs({_CORR('x')})) / 2, 6) as explained_x, round((1 + sign * abs({_CORR('y')})) / 2, 6) as explained_y
+  from (select unnest([1, 2])::bigint as component), (select unnest(['c_nationkey', 'c_acctbal']) as variable), lateral (select case component when 1 then 1 else -1 end as sign)"""
+
 _MARGIN = "count(*) over (partition by c_nationkey) * count(*) over (partition by c_mktsegment) / count(*) over ()"
 _BIN = lambda c, s: f"least(10, greatest(1, ceil(round(({c} - (select min({c}) from {s})) / (((select max({c}) from {s}) - (select min({c}) from {s})) / 10.0), 9))))::int"
 SQL = {
+    "mmd_exact": _mmd_sql(f"exp(-({_Z}) / (2 * g * g))", f"(select median(sqrt({_Z})) from u a, u b, s where a.c_custkey < b.c_custkey)"),
+    "mmd_rational_quadratic": _mmd_sql(f"1 / (1 + ({_Z}) / (2 * g * g))", "1.0::double"),
+    "density_kl_2d": _kl_sql("c_acctbal", "c_nationkey"), "tstr_glm": TSTR_SQL, "dbscan_noise": DBSCAN_SQL, "compare_pca_pair": PCA_SQL,
     "individual_risk_model": f"with {CUST.sql}, f as (select greatest(1, {_MARGIN}) as m from y) select round(avg(1 / m), 6) as mean_risk, round(max(1 / m), 6) as max_risk, count(*) filter (1 / m > 0.1) as n_high_risk, count(*) as n_records from f",
     "histogram_divergence": f"""with {CUST.sql}, b as (select i, j, sum(o)::double as o, sum(r)::double as r from (select {_BIN('c_nationkey', 'x')} as i, {_BIN('c_acctbal', 'x')} as j, 1 as o, 0 as r from x
       union all select {_BIN('c_nationkey', 'y')}, {_BIN('c_acctbal', 'y')}, 0, 1 from y) group by all), n as (select o / sum(o) over () as p, r / sum(r) over () as q from b)

@@ -215,6 +215,65 @@ def regr_sql(p: Pair, x: str, y: str) -> str:
       select term, round(e1, 4) as estimate_x, round(e2, 4) as estimate_y, round(s1, 4) as se_x, round(s2, 4) as se_y, round(e2 - e1, 4) as bias, round((e2 - e1) / s1, 4) as std_bias from r"""
 
 
+def hellinger_weighted_sql(p: Pair, cols: tuple[str, ...], w: str) -> str:
+    one = lambda side, o, r: " union all ".join(f"select '{c}' as var, {c}::varchar as level, {o} as o, {r} as r from {side}" for c in cols)
+    return f"""with {p.sql}, b as (select var, level, sum(o)::double as o, sum(r)::double as r from ({one('x', w, 0)} union all {one('y', 0, w)}) group by all),
+      n as (select *, sum(o) over (partition by var) as no, sum(r) over (partition by var) as nr from b), h as (select var, sqrt(sum((sqrt(o / no) - sqrt(r / nr)) ** 2)) / sqrt(2) as h from n group by var)
+      select round(avg(h), 6) as hellinger_mean, round(max(h), 6) as hellinger_max, round(min(h), 6) as hellinger_min, count(*) as n_vars, round(1 - avg(h), 6) as utility_score from h"""
+
+
+def gof_weighted_sql(p: Pair, col: str, group: str, w: str) -> str:
+    return gof_sql(p, col, group).replace(f"select {group}, {col}, 1 as o, 0 as r from x", f"select {group}, {col}, {w} as o, 0 as r from x").replace(f"select {group}, {col}, 0, 1 from y", f"select {group}, {col}, 0, {w} from y")
+
+
+def wass_weighted_sql(p: Pair, col: str, w: str) -> str:
+    """A weighted quantile is the quantile of rows repeated by their weight."""
+    probs = "[" + ", ".join(str(k / 999) for k in range(1000)) + "]"
+    many = lambda s: f"(select quantile_cont(v, {probs}) from (select {col} as v, unnest(range({w}::bigint)) from {s}))"
+    return f"with {p.sql} select round(list_sum(list_transform(list_zip({many('x')}, {many('y')}), lambda z: abs(z[1] - z[2]))) / 1000, 4) as wasserstein"
+
+
+def ci_weighted_sql(p: Pair, cols: tuple[str, ...], w: str) -> str:
+    out = ci_sql(p, cols)
+    for c in cols:
+        for side in "xy":
+            mean = f"(select sum({w} * {c}) / sum({w}) from {side})"
+            out = out.replace(f"(select avg({c}) as m, ", f"(select {mean} as m, ", 1)
+            out = out.replace(f"stddev_samp({c})", f"sqrt(sum({w} * ({c} - {mean}) ** 2) / sum({w}))", 1)
+    return out
+
+
+def multi_weighted_sql(p: Pair, cols: tuple[str, ...], w: str) -> str:
+    mean = lambda s, c: f"(select sum({w} * {c}) / sum({w}) from {s})"
+    cov = lambda s, a, b: f"(select sum({w} * ({a} - {mean(s, a)}) * ({b} - {mean(s, b)})) / (sum({w}) - 1) from {s})"
+    cor = lambda s, a, b: f"{cov(s, a, b)} / sqrt({cov(s, a, a)} * {cov(s, b, b)})"
+    rows = " union all ".join(f"select '{a}' as var1, '{b}' as var2, {cov('x', a, b)} as vx, {cov('y', a, b)} as vy, {cor('x', a, b)} as cx, {cor('y', a, b)} as cy" for a, b in combinations(cols, 2))
+    return f"with {p.sql}, c as ({rows}) select var1, var2, round(vx, 4) as cov_x, round(vy, 4) as cov_y, round(vx - vy, 4) as cov_diff, round(cx, 4) as cor_x, round(cy, 4) as cor_y, round(cx - cy, 4) as cor_diff from c"
+
+
+def ecdf_weighted_sql(p: Pair, col: str, w: str) -> str:
+    return ecdf_sql(p, col).replace(f"select {col}, 1 as a, 0 as b from x", f"select {col}, {w} as a, 0 as b from x").replace(f"select {col}, 0, 1 from y", f"select {col}, 0, {w} from y")
+
+
+def regr_two_sql(p: Pair, a: str, b: str, y: str) -> str:
+    """Two predictors by their normal equations."""
+    fit = lambda s: f"""(select *, i * 0 as z, my - b1 * ma - b2 * mb as b0, (vy - b1 * cay - b2 * cby) * (n - 1) / (n - 3) as s2 from (select *, (vb * cay - cab * cby) / d as b1, (va * cby - cab * cay) / d as b2 from
+      (select *, va * vb - cab * cab as d, 1 as i from (select count(*) as n, avg({a}) as ma, avg({b}) as mb, avg({y}) as my, var_samp({a}) as va, var_samp({b}) as vb, var_samp({y}) as vy,
+        covar_samp({a}, {b}) as cab, covar_samp({a}, {y}) as cay, covar_samp({b}, {y}) as cby from {s}))))"""
+    term = lambda name, e, se: f"select '{name}' as term, (select {e} from p) as e1, (select {e} from q) as e2, (select sqrt({se}) from p) as s1, (select sqrt({se}) from q) as s2"
+    rows = [term("intercept", "b0", "s2 * (1 / n + (ma * ma * vb - 2 * ma * mb * cab + mb * mb * va) / d / (n - 1))"), term(a, "b1", "s2 * vb / d / (n - 1)"), term(b, "b2", "s2 * va / d / (n - 1)")]
+    return f"""with {p.sql}, p as {fit('x')}, q as {fit('y')}, r as ({' union all '.join(rows)})
+      select term, round(e1, 4) as estimate_x, round(e2, 4) as estimate_y, round(s1, 4) as se_x, round(s2, 4) as se_y, round(e2 - e1, 4) as bias, round((e2 - e1) / s1, 4) as std_bias from r"""
+
+
+HILL_SQL = f"""with {ORD.sql}, t as (select o_totalprice as v, row_number() over (order by o_totalprice) as rn, count(*) over () as n from x where o_totalprice > (select quantile_cont(o_totalprice, 0.95) from x) and o_totalprice > 0),
+  r as (select v as r, floor(sqrt(n)) as k from t where rn = n - floor(sqrt(n))) select round(any_value(k) / sum(ln(v / r)), 6) as hill from t, r where v > r"""
+HUBER_SQL = f"""with recursive {CUST.sql}, m as (select median(c_acctbal) as med from x), s as (select med, 1.4826 * (select median(abs(c_acctbal - (select med from m))) from x) as mad from m),
+  it as (select 0 as i, med as mu, false as done from s union all
+    select i + 1, avg(greatest(mu - 1.5 * mad, least(mu + 1.5 * mad, c_acctbal))), abs(avg(greatest(mu - 1.5 * mad, least(mu + 1.5 * mad, c_acctbal))) - mu) < 1e-6 * any_value(mad) from it, s, x where not done and i < 50 group by i, mu)
+  select round(mu, 6) as huber, round(mad, 6) as mad from it, s order by i desc limit 1"""
+
+
 def missing_sql(p: Pair, cols: tuple[str, ...]) -> str:
     rows = " union all ".join(f"select '{c}' as var, a.m as n_missing_x, a.m / a.n as px, b.m as n_missing_y, b.m / b.n as py from (select count(*) filter ({c} is null) as m, count(*) as n from x) a, (select count(*) filter ({c} is null) as m, count(*) as n from y) b" for c in cols)
     return f"with {p.sql}, r as ({rows}) select var, n_missing_x, round(px, 6) as prop_missing_x, n_missing_y, round(py, 6) as prop_missing_y from r"
@@ -265,6 +324,13 @@ QUERIES = {
     "tail_fidelity": lambda s, d: rounded(D.tail_fidelity(*LINE.frames(s, d), ("l_quantity", "l_extendedprice")).groups),
     "copula_fidelity": lambda s, d: rounded(D.copula_fidelity(*CUST.frames(s, d), CUST.num, n_grid=20).groups, 9),
     "regression_fidelity": lambda s, d: rounded(D.regression_fidelity(*LINE.frames(s, d), "l_quantity", "l_extendedprice").groups.drop("ci_overlap", "sig_agree"), 4),
+    "hellinger_weighted": lambda s, d: rounded(C.hellinger(*PART.frames(s, d), PART.cat, weight_x="p_size", weight_y="p_size").summary),
+    "chisq_gof_weighted": lambda s, d: rounded(C.chisq_gof(*LINE.frames(s, d), "l_linestatus", ["l_returnflag"], weight_x="l_quantity", weight_y="l_quantity")),
+    "wasserstein_weighted": lambda s, d: rounded(D.wasserstein(*LINE.frames(s, d), "l_extendedprice", weight_x="l_quantity", weight_y="l_quantity"), 4),
+    "ci_proximity_weighted": lambda s, d: rounded(D.ci_proximity(*LINE.frames(s, d), LINE.num[1:], weight_x="l_quantity", weight_y="l_quantity").groups.drop("lower_x", "upper_x", "lower_y", "upper_y"), 4),
+    "multivariate_weighted": lambda s, d: rounded(D.multivariate_statistics(*LINE.frames(s, d), LINE.num[1:], weight_x="l_quantity", weight_y="l_quantity"), 4),
+    "ecdf_weighted": lambda s, d: rounded(D.ecdf_table(*PART.frames(s, d), "p_retailprice", weight_x="p_size", weight_y="p_size")),
+    "regression_two_predictors": lambda s, d: rounded(D.regression_fidelity(*LINE.frames(s, d), ("l_quantity", "l_discount"), "l_extendedprice").groups.drop("ci_overlap", "sig_agree"), 4),
     "pmse_saturated": lambda s, d: rounded(C.saturated_pmse(*PART.frames(s, d), ("p_brand", "p_type")).summary),
 }
 SQL = {
@@ -281,6 +347,10 @@ SQL = {
     "density_histogram": hist_sql(LINE, "l_extendedprice", 30), "boxplot": box_sql(LINE, "l_extendedprice", "l_returnflag"), "ecdf": ecdf_sql(CUST, "c_acctbal"),
     "ecdf_by_group": f"""with {CUST.sql}, v as (select c_mktsegment, c_acctbal::double as v, sum(a)::double as a, sum(b)::double as b from (select c_mktsegment, c_acctbal, 1 as a, 0 as b from x union all select c_mktsegment, c_acctbal, 0, 1 from y) group by 1, 2)
       select c_mktsegment, v, round(sum(a) over (partition by c_mktsegment order by v) / sum(a) over (partition by c_mktsegment), 6) as ecdf_x, round(sum(b) over (partition by c_mktsegment order by v) / sum(b) over (partition by c_mktsegment), 6) as ecdf_y from v""",
+    "hellinger_weighted": hellinger_weighted_sql(PART, PART.cat, "p_size"), "chisq_gof_weighted": gof_weighted_sql(LINE, "l_linestatus", "l_returnflag", "l_quantity"),
+    "wasserstein_weighted": wass_weighted_sql(LINE, "l_extendedprice", "l_quantity"), "ci_proximity_weighted": ci_weighted_sql(LINE, LINE.num[1:], "l_quantity"),
+    "multivariate_weighted": multi_weighted_sql(LINE, LINE.num[1:], "l_quantity"), "ecdf_weighted": ecdf_weighted_sql(PART, "p_retailprice", "p_size"),
+    "regression_two_predictors": regr_two_sql(LINE, "l_quantity", "l_discount", "l_extendedprice"), "hill_tail_index": HILL_SQL, "huber_location": HUBER_SQL,
     "tail_fidelity": tail_sql(LINE, ("l_quantity", "l_extendedprice")), "copula_fidelity": copula_sql(CUST, CUST.num, 20),
     "regression_fidelity": regr_sql(LINE, "l_quantity", "l_extendedprice"), "pmse_saturated": pmse_sql(PART, ("p_brand", "p_type")),
 }
