@@ -3,10 +3,12 @@
 Nearest neighbours under mixed-type distances have no key to join on.  Both
 tables are dealt into blocks of bounded size; each pair of blocks is one numpy
 task that returns a few numbers per row (least two distances, nearest id, count
-within a radius, sum), and these partial results are merged by row.  Memory is a
-block against a block whatever the table sizes; the work is the product of the
-sizes, which is what the measures ask for, so callers bound one side or block on
-keys where the tables are large.
+within a radius, sum), and these partial results are merged by row.  Blocks are
+as large as the cores allow, up to BLOCK_ROWS, since a row travels once for each
+block of the other side; a task holds the vectors of two blocks and a bounded
+part of their distances.  The work is the product of the sizes, which is what the
+measures ask for, so callers bound one side or block on keys where the tables
+are large.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.shipping import ship
 from .common import is_numeric
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 65_536
+_CELLS = 1_000_000
 
 
 def ranges(frames: Sequence[DataFrame], cols: Sequence[str]) -> dict[str, float]:
@@ -60,6 +62,35 @@ def category_weights(cols: Sequence[str], spans: dict[str, float], weights: dict
     return [w[c] / total for c in cols if c not in spans]
 
 
+def _dealt(queries: DataFrame, refs: DataFrame, left: Sequence[str], right: Sequence[str], block_rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with block columns (qb, rb); the references' names begin with ``r_``."""
+    n_q, n_r = queries.count(), refs.count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    size = block_rows or min(BLOCK_ROWS, max(512, int((n_q * n_r / (2 * cores)) ** 0.5)))
+    p_q, p_r = (max(1, -(-n // size)) for n in (n_q, n_r))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
+    a = queries.select(*left, block(p_q).alias("qb"), every(p_r).alias("rb"))
+    b = refs.select(*right, block(p_r).alias("rb"), every(p_q).alias("qb"))
+    # new column identities, so that a table can meet itself
+    return a, b.toDF(*[f"r_{c}" for c in b.columns])
+
+
+def _stack(t: pa.Table, col: str) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    return t[col].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+
+def _gower(a: tuple, b: tuple, weights: np.ndarray) -> np.ndarray:
+    """Sums of absolute differences and weighted mismatches of (nums, cats) that broadcast."""
+    d = np.zeros(np.broadcast_shapes(a[0].shape[:-1], b[0].shape[:-1]))
+    for k in range(a[0].shape[-1]):
+        d += np.abs(a[0][..., k] - b[0][..., k])
+    for k in range(a[1].shape[-1]):
+        d += weights[k] * (a[1][..., k] != b[1][..., k])
+    return d
+
+
 def nearest(
     queries: DataFrame,
     refs: DataFrame,
@@ -79,54 +110,48 @@ def nearest(
     where there are not that many references.
     """
     ship(queries.sparkSession)
-    size = block_rows or BLOCK_ROWS
-    n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
-    left = queries.select("id", "nums", "cats", block(n_q).alias("qb"), every(n_r).alias("rb"))
-    right = refs.select("id", "nums", "cats", block(n_r).alias("rb"), every(n_q).alias("qb"))
-    # new column identities, so that a table can meet itself
-    right = right.toDF(*[f"r_{c}" for c in right.columns])
+    columns = ["id", "nums", "cats"]
+    left, right = _dealt(queries, refs, columns, columns, block_rows)
     weights = np.array(cat_weights, float)
+    names = ["id", "d1", "d1_id", "d2", "n_within", "sum_d", "n_refs"]
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "d1", "d1_id", "d2", "n_within", "sum_d", "n_refs"]
-        if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in names})
-        b = b.rename(columns=lambda c: c.removeprefix("r_")).sort_values("id", kind="stable")
-        num_b, cat_b = (np.stack(b[c].to_numpy()) for c in ("nums", "cats"))
-        id_a, id_b = a["id"].to_numpy(), b["id"].to_numpy()
-        out = []
-        step = max(1, 4_000_000 // len(b))
-        for at in range(0, len(a), step):
-            num_a, cat_a = (np.stack(a[c].iloc[at : at + step].to_numpy()) for c in ("nums", "cats"))
-            d = np.zeros((len(num_a), len(b)))
-            if metric == "euclidean":
-                for k in range(num_a.shape[1]):
-                    d += (num_a[:, k, None] - num_b[None, :, k]) ** 2
-                d = np.sqrt(d)
-            else:
-                for k in range(num_a.shape[1]):
-                    d += np.abs(num_a[:, k, None] - num_b[None, :, k])
-                for k in range(cat_a.shape[1]):
-                    d += weights[k] * (cat_a[:, k, None] != cat_b[None, :, k])
-            d = np.round(d, 12)
-            some = np.ones(d.shape, bool)
-            if not_self:
-                some = id_a[at : at + step, None] != id_b[None, :]
-                d = np.where(some, d, np.inf)
-            first = d.argmin(axis=1)
-            d1 = d[np.arange(len(d)), first]
-            d2 = np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else np.full(len(d), np.inf)
-            within = (d <= radius).sum(axis=1) if radius is not None else np.zeros(len(d), np.int64)
-            sums = np.where(some, d, 0.0).sum(axis=1)
-            out.append(pd.DataFrame({
-                "id": id_a[at : at + step], "d1": d1, "d1_id": id_b[first], "d2": d2, "n_within": within, "sum_d": sums, "n_refs": some.sum(axis=1),
-            }))
-        return pd.concat(out)
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in names}
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("r_id")
+            vb, id_a, id_b = (_stack(b, "r_nums"), _stack(b, "r_cats")), a["id"].to_numpy(), b["r_id"].to_numpy()
+            va = _stack(a, "nums"), _stack(a, "cats")
+            step = max(1, _CELLS // len(id_b))
+            for at in range(0, len(id_a), step):
+                part = tuple(v[at : at + step] for v in va)
+                if metric == "euclidean":
+                    d = np.zeros((len(part[0]), len(id_b)))
+                    for k in range(part[0].shape[1]):
+                        d += (part[0][:, k, None] - vb[0][None, :, k]) ** 2
+                    d = np.sqrt(d)
+                else:
+                    d = _gower(tuple(v[:, None, :] for v in part), tuple(v[None, :, :] for v in vb), weights)
+                d = np.round(d, 12)
+                n_refs = np.full(len(d), len(id_b))
+                sums = d.sum(axis=1)
+                if not_self:
+                    own = id_a[at : at + step, None] == id_b[None, :]
+                    sums -= np.where(own, d, 0.0).sum(axis=1)
+                    n_refs -= own.sum(axis=1)
+                    d = np.where(own, np.inf, d)
+                first = d.argmin(axis=1)
+                out["id"].append(id_a[at : at + step])
+                out["d1"].append(d[np.arange(len(d)), first])
+                out["d1_id"].append(id_b[first])
+                out["d2"].append(np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else np.full(len(d), np.inf))
+                out["n_within"].append((d <= radius).sum(axis=1) if radius is not None else np.zeros(len(d), np.int64))
+                out["sum_d"].append(sums)
+                out["n_refs"].append(n_refs)
+        kinds = {c: float if c in ("d1", "d2", "sum_d") else np.int64 for c in names}
+        return pa.table([pa.array(np.concatenate(out[c]).astype(kinds[c]) if out[c] else np.zeros(0, kinds[c])) for c in names], names)
 
     schema = "id bigint, d1 double, d1_id bigint, d2 double, n_within bigint, sum_d double, n_refs bigint"
-    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInPandas(run, schema)
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(run, schema)
     two = F.array_sort(F.flatten(F.collect_list(F.array("d1", "d2"))))  # two numbers a block
     merged = parts.groupBy("id").agg(
         F.min("d1").alias("d1"), F.min(F.struct("d1", "d1_id")).alias("best"), F.get(two, F.lit(1)).alias("d2"),
@@ -150,23 +175,14 @@ def distance_sum(queries: DataFrame, refs: DataFrame, block_rows: int | None = N
 
 def _pair_sum(queries: DataFrame, refs: DataFrame, of: Callable[[np.ndarray], np.ndarray], block_rows: int | None) -> float:
     """Sum of a function of the squared distance over all pairs, block against block."""
-    size = block_rows or BLOCK_ROWS
     ship(queries.sparkSession)
-    n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
-    # few blocks are cut finer, so that all cores have some
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    n_q = max(n_q, min(cores, -(-2 * cores // (n_q * n_r))))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
-    left = queries.select("nums", block(n_q).alias("qb"), every(n_r).alias("rb"))
-    right = refs.select("nums", block(n_r).alias("rb"), every(n_q).alias("qb"))
-    right = right.toDF(*[f"r_{c}" for c in right.columns])
+    left, right = _dealt(queries, refs, ["nums"], ["nums"], block_rows)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         total = 0.0
         if a.num_rows and b.num_rows:
-            num_a, num_b = (t.combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t in (a["nums"], b["r_nums"]))
-            step = max(1, 1_000_000 // len(num_b))
+            num_a, num_b = _stack(a, "nums"), _stack(b, "r_nums")
+            step = max(1, _CELLS // len(num_b))
             for at in range(0, len(num_a), step):
                 part = num_a[at : at + step]
                 d2 = np.zeros((len(part), len(num_b)))
@@ -195,36 +211,27 @@ def within(queries: DataFrame, refs: DataFrame, radius: float, cat_weights: Sequ
     """For tables (id, nums, cats, t): (id, n, n_same, one_target), the references
     within a Gower radius, those with the query's target, and whether all share
     one target."""
-    size = block_rows or BLOCK_ROWS
     ship(queries.sparkSession)
-    n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
-    cols = ["id", "nums", "cats", F.xxhash64("t").alias("t")]
-    left = queries.select(*cols, block(n_q).alias("qb"), every(n_r).alias("rb"))
-    right = refs.select(*cols, block(n_r).alias("rb"), every(n_q).alias("qb"))
-    right = right.toDF(*[f"r_{c}" for c in right.columns])
+    columns = ["id", "nums", "cats", F.xxhash64("t").alias("t")]
+    left, right = _dealt(queries, refs, columns, columns, block_rows)
     weights = np.array(cat_weights, float)
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "n", "n_same", "low", "high"]
-        if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in names})
-        num_b, cat_b = (np.stack(b[c].to_numpy()) for c in ("r_nums", "r_cats"))
-        t_b, out = b["r_t"].to_numpy(), []
-        for at in range(0, len(a), 256):
-            q = a.iloc[at : at + 256]
-            num_a, cat_a = (np.stack(q[c].to_numpy()) for c in ("nums", "cats"))
-            d = sum((np.abs(num_a[:, k, None] - num_b[None, :, k]) for k in range(num_a.shape[1])), np.zeros((len(q), len(b))))
-            d = d + sum((weights[k] * (cat_a[:, k, None] != cat_b[None, :, k]) for k in range(cat_a.shape[1])), np.zeros((len(q), len(b))))
-            hit = np.round(d, 9) <= radius
-            t_a = q["t"].to_numpy()
-            low = np.where(hit, t_b[None, :], np.iinfo(np.int64).max).min(axis=1)
-            high = np.where(hit, t_b[None, :], np.iinfo(np.int64).min).max(axis=1)
-            out.append(pd.DataFrame({"id": q["id"].to_numpy(), "n": hit.sum(axis=1), "n_same": (hit & (t_a[:, None] == t_b[None, :])).sum(axis=1), "low": low, "high": high}))
-        return pd.concat(out)
-
-    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInPandas(run, "id bigint, n bigint, n_same bigint, low bigint, high bigint")
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(5)]
+        if a.num_rows and b.num_rows:
+            va, vb = (_stack(a, "nums"), _stack(a, "cats")), (_stack(b, "r_nums"), _stack(b, "r_cats"))
+            ids, t_a, t_b = a["id"].to_numpy(), a["t"].to_numpy(), b["r_t"].to_numpy()
+            step = max(1, _CELLS // len(t_b))
+            for at in range(0, len(ids), step):
+                part = slice(at, at + step)
+                hit = np.round(_gower(tuple(v[part][:, None, :] for v in va), tuple(v[None, :, :] for v in vb), weights), 9) <= radius
+                low = np.where(hit, t_b[None, :], np.iinfo(np.int64).max).min(axis=1)
+                high = np.where(hit, t_b[None, :], np.iinfo(np.int64).min).max(axis=1)
+                for k, v in enumerate((ids[part], hit.sum(axis=1), (hit & (t_a[part, None] == t_b[None, :])).sum(axis=1), low, high)):
+                    out[k].append(v)
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)) for o in out], ["id", "n", "n_same", "low", "high"])
+
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(run, "id bigint, n bigint, n_same bigint, low bigint, high bigint")
     merged = parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("n_same").alias("n_same"), F.min("low").alias("low"), F.max("high").alias("high"))
     return merged.select("id", "n", "n_same", ((F.col("n") > 0) & (F.col("low") == F.col("high"))).alias("one_target"))
 
@@ -233,33 +240,23 @@ def rank_of(queries: DataFrame, refs: DataFrame, cat_weights: Sequence[float], b
     """For tables (id, nums, cats), the queries also with (rid, r_nums, r_cats), a
     reference of each: (id, n), the references that come before that one in the
     order of Gower distance and id."""
-    size = block_rows or BLOCK_ROWS
     ship(queries.sparkSession)
-    n_q, n_r = (max(1, -(-d.count() // size)) for d in (queries, refs))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
-    left = queries.select("id", "nums", "cats", "rid", "r_nums", "r_cats", block(n_q).alias("qb"), every(n_r).alias("rb"))
-    right = refs.select("id", "nums", "cats", block(n_r).alias("rb"), every(n_q).alias("qb"))
-    right = right.toDF(*[f"o_{c}" for c in right.columns])
+    mine = [*["id", "nums", "cats", "rid"], F.col("r_nums").alias("own_nums"), F.col("r_cats").alias("own_cats")]
+    left, right = _dealt(queries, refs, mine, ["id", "nums", "cats"], block_rows)
     weights = np.array(cat_weights, float)
 
-    def distance(a: tuple, b: tuple) -> np.ndarray:
-        d = sum((np.abs(a[0][..., k] - b[0][..., k]) for k in range(a[0].shape[-1])), 0.0)
-        d = d + sum((weights[k] * (a[1][..., k] != b[1][..., k]) for k in range(a[1].shape[-1])), 0.0)
-        return np.round(d, 12)
-
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if a.num_rows and b.num_rows:
-            stack = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-            mine, own, theirs = ((stack(t, n), stack(t, c)) for t, n, c in ((a, "nums", "cats"), (a, "r_nums", "r_cats"), (b, "o_nums", "o_cats")))
-            ids, rid, oid, counts = a["id"].to_numpy(), a["rid"].to_numpy(), b["o_id"].to_numpy(), np.zeros(a.num_rows, np.int64)
-            limit = distance(mine, own)
-            for at in range(0, a.num_rows, 256):
-                q = slice(at, at + 256)
-                d = distance(tuple(v[q][:, None, :] for v in mine), tuple(v[None, :, :] for v in theirs))
+            va, own, vb = ((_stack(t, n), _stack(t, c)) for t, n, c in ((a, "nums", "cats"), (a, "own_nums", "own_cats"), (b, "r_nums", "r_cats")))
+            ids, rid, oid, counts = a["id"].to_numpy(), a["rid"].to_numpy(), b["r_id"].to_numpy(), np.zeros(a.num_rows, np.int64)
+            limit = np.round(_gower(va, own, weights), 12)
+            step = max(1, _CELLS // len(oid))
+            for at in range(0, a.num_rows, step):
+                q = slice(at, at + step)
+                d = np.round(_gower(tuple(v[q][:, None, :] for v in va), tuple(v[None, :, :] for v in vb), weights), 12)
                 counts[q] = ((d < limit[q, None]) | ((d == limit[q, None]) & (oid[None, :] < rid[q, None]))).sum(axis=1)
         return pa.table({"id": pa.array(ids), "n": pa.array(counts)})
 
-    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("o_qb", "o_rb")).applyInArrow(run, "id bigint, n bigint")
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(run, "id bigint, n bigint")
     return parts.groupBy("id").agg(F.sum("n").alias("n"))

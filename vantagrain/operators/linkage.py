@@ -26,7 +26,10 @@ from .density import concentrated_covariance
 from .distributions import covariance, median_absolute_deviation
 from .ranks import average_ranks, running
 
+#: Rows of a part of a block; parts of very large blocks are larger, up to MOST_ROWS,
+#: since a row travels once for each part of the other side.
 BLOCK_ROWS = 2048
+MOST_ROWS = 65_536
 _BANDS = (0.05, 0.1, 0.2, 0.5)
 
 
@@ -98,7 +101,8 @@ def _deal(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.count(F.lit(1))
     sizes = queries.groupBy("block").agg(n.alias("n_q")).join(refs.groupBy("block").agg(n.alias("n_r")), "block")
     cells = max(1, -(-queries.count() // BLOCK_ROWS))
-    parts = lambda c: F.ceil(F.col(c) / BLOCK_ROWS)
+    size = lambda c: F.least(F.lit(MOST_ROWS), F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col(c) / 16)))
+    parts = lambda c: F.ceil(F.col(c) / size(c))
     sizes = sizes.select("block", parts("n_q").alias("p_q"), parts("n_r").alias("p_r"))
     large = (F.col("p_q") > 1) | (F.col("p_r") > 1)
     group = F.when(large, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(cells)))
@@ -123,14 +127,15 @@ def _matrix(col: pa.ChunkedArray, rows: np.ndarray | None = None, n: int = 0, fi
 
 
 def _blocks(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of both tables in each block that both have, at most 256 queries at once."""
+    """Row numbers of both tables in each block that both have, a bounded number of pairs at once."""
     ka, kb = a["block"].to_numpy(), b["r_block"].to_numpy()
     oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
     for key in np.intersect1d(ka, kb):
         ia = oa[np.searchsorted(ka, key, "left", sorter=oa) : np.searchsorted(ka, key, "right", sorter=oa)]
         ib = ob[np.searchsorted(kb, key, "left", sorter=ob) : np.searchsorted(kb, key, "right", sorter=ob)]
-        for at in range(0, len(ia), 256):
-            yield ia[at : at + 256], ib
+        step = max(1, 1_000_000 // len(ib))
+        for at in range(0, len(ia), step):
+            yield ia[at : at + step], ib
 
 
 def _weigh(d: np.ndarray, weighting: str, kappa: float, bandwidth: float) -> np.ndarray:
