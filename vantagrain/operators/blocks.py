@@ -260,3 +260,36 @@ def rank_of(queries: DataFrame, refs: DataFrame, cat_weights: Sequence[float], b
 
     parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(run, "id bigint, n bigint")
     return parts.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def predicate_counts(attacks: DataFrame, refs: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """For attacks (id, nums, above, cats, num_used, cat_used) and refs (id, nums,
+    cats): (id, n), the references that fulfil all used conditions of an attack.
+
+    A number must be at least the attack's where ``above`` is 1, else at most; a
+    category must be equal.  A comparison with NaN fails.
+    """
+    ship(attacks.sparkSession)
+    mine = ["id", "nums", "above", "cats", "num_used", "cat_used"]
+    left, right = _dealt(attacks, refs, mine, ["id", "nums", "cats"], block_rows)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if a.num_rows and b.num_rows:
+            nums, above, cats, num_used, cat_used = (_stack(a, c) for c in mine[1:])
+            num_b, cat_b = _stack(b, "r_nums"), _stack(b, "r_cats")
+            ids, counts = a["id"].to_numpy(), np.zeros(a.num_rows, np.int64)
+            step = max(1, _CELLS // len(num_b))
+            for at in range(0, a.num_rows, step):
+                q = slice(at, at + step)
+                good = np.ones((len(ids[q]), b.num_rows), bool)
+                for k in range(nums.shape[1]):
+                    v, w = nums[q, k, None], num_b[None, :, k]
+                    good &= np.where(above[q, k, None] == 1, w >= v, w <= v) | (num_used[q, k, None] == 0)
+                for k in range(cats.shape[1]):
+                    good &= (cats[q, k, None] == cat_b[None, :, k]) | (cat_used[q, k, None] == 0)
+                counts[q] = good.sum(axis=1)
+        return pa.table({"id": pa.array(ids), "n": pa.array(counts)})
+
+    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(run, "id bigint, n bigint")
+    return parts.groupBy("id").agg(F.sum("n").alias("n"))

@@ -71,9 +71,13 @@ def density_difference(x: DataFrame, y: DataFrame, col: str, *, steps: int = 100
     return MeasureResult(summary, groups=curve)
 
 
-def density_kl_2d(x: DataFrame, y: DataFrame, cols: Sequence[str], *, n_grid: int = 50) -> DataFrame:
-    """KL divergence of product-kernel densities on a grid in two dimensions;
-    rows are binned once on a fine grid, then smoothed."""
+def density_kl(x: DataFrame, y: DataFrame, cols: Sequence[str], *, n_grid: int = 50) -> DataFrame:
+    """KL divergence of product-kernel densities on a grid in one, two or three
+    dimensions; rows are counted at their nearest grid points (n_grid to the
+    power of the dimension at most), then smoothed along each axis."""
+    p = len(cols)
+    if not 1 <= p <= 3:
+        raise ValueError("one to three columns")
     axes, binned = [], []
     for c in cols:
         low, high = x.select(c).unionByName(y.select(c)).agg(F.min(c).cast("double"), F.max(c).cast("double")).first()
@@ -81,21 +85,22 @@ def density_kl_2d(x: DataFrame, y: DataFrame, cols: Sequence[str], *, n_grid: in
     for d in (x, y):
         rows = complete(d, cols)
         at = [F.least(F.lit(n_grid - 1), F.greatest(F.lit(0), F.round((F.col(c) - float(a[0])) / ((a[1] - a[0]) or 1.0)))).cast("int").alias(f"i{k}") for k, (c, a) in enumerate(zip(cols, axes, strict=True))]
-        mass = np.zeros((n_grid, n_grid))
-        for r in rows.select(*at).groupBy("i0", "i1").agg(F.count(F.lit(1)).alias("n")).collect():
-            mass[r.i0, r.i1] = r.n
-        smooth = mass
+        mass = np.zeros((n_grid,) * p)
+        for r in rows.select(*at).groupBy(*[f"i{k}" for k in range(p)]).agg(F.count(F.lit(1)).alias("n")).collect():
+            mass[tuple(r[f"i{k}"] for k in range(p))] = r.n
         for k, c in enumerate(cols):
-            h = bandwidth(rows, c)
-            z = (axes[k][:, None] - axes[k][None, :]) / h
-            kernel = np.exp(-0.5 * z * z)
-            smooth = kernel @ smooth if k == 0 else smooth @ kernel.T
-        smooth = np.maximum(smooth, 1e-300)
-        binned.append(smooth / smooth.sum())
+            z = (axes[k][:, None] - axes[k][None, :]) / bandwidth(rows, c)
+            mass = np.moveaxis(np.tensordot(np.exp(-0.5 * z * z), mass, axes=(1, k)), 0, k)
+        mass = np.maximum(mass, 1e-300)
+        binned.append(mass / mass.sum())
     p, q = binned
     return scalar_row(x.sparkSession, kl=float((p * np.log(p / q)).sum()))
 
 
+def density_kl_2d(x: DataFrame, y: DataFrame, cols: Sequence[str], *, n_grid: int = 50) -> DataFrame:
+    return density_kl(x, y, cols, n_grid=n_grid)
+
+
 def principal_components(df: DataFrame, cols: Sequence[str], k: int = 2, *, centre: bool = True, scale: bool = True) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(table with array ``scores``, loadings, explained shares); the largest
     loading of each component is positive."""

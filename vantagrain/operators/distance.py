@@ -13,10 +13,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.special import chi2_ppf, residual_risk, wilson
-from .blocks import category_weights, distance_sum, minima, minmax_vectors, nearest, rank_of, ranges, vectors
+from .blocks import category_weights, distance_sum, minima, minmax_vectors, nearest, predicate_counts, rank_of, ranges, vectors
 from .common import MeasureResult, complete, is_numeric, quantiles, scalar_row
 from .density import concentrated_covariance
 from .distributions import covariance
@@ -223,30 +223,46 @@ def drisk_mahalanobis(original: DataFrame, released: DataFrame, id_col: str, col
     return MeasureResult(summary, records)
 
 
-def singling_out(train: DataFrame, holdout: DataFrame, attacks: DataFrame, id_col: str, cols: Sequence[str], medians: dict[str, float]) -> MeasureResult:
+def singling_out(
+    train: DataFrame, holdout: DataFrame, attacks: DataFrame, id_col: str, cols: Sequence[str], medians: dict[str, float], *, n_cols: int | None = None, seed: int = 1
+) -> MeasureResult:
     """Attack rows make conjunctions; one succeeds if exactly one record matches.
 
     A numeric value above the released median makes ``>= v``, else ``<= v``; a
-    category ``= v``.  ``attacks`` is a stated query set; records are counted
-    against it in blocks.
+    category ``= v``; a condition with a null on either side fails.  With
+    ``n_cols`` each attack uses so many columns, drawn by a digest of its id (one
+    column: the univariate mode).  ``attacks`` is a stated query set; records are
+    counted against it in blocks.
     """
-    names = [F.col(c).alias(f"__{c}") for c in cols]
-    guesses = attacks.select(F.col(id_col).alias("__aid"), *names)
-    tests = []
-    for c in cols:
-        v = F.col(f"__{c}")
-        tests.append(F.when(v > medians[c], F.col(c) >= v).otherwise(F.col(c) <= v) if c in medians else F.col(c) == v)
-    match = reduce(lambda a, b: a & b, tests)
+    nums, cats = [c for c in cols if c in medians], [c for c in cols if c not in medians]
+    digest = lambda c: F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{c}:{seed}")))
+
+    def used(c: str) -> Column:
+        """1 if fewer than n_cols columns have a smaller digest."""
+        if n_cols is None:
+            return F.lit(1)
+        ahead = [(digest(o) < digest(c)).cast("int") for o in cols if o != c]
+        return (reduce(lambda a, b: a + b, ahead, F.lit(0)) < n_cols).cast("int")
+
+    def vectors_of(df: DataFrame, null: int) -> list[Column]:
+        numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in nums]
+        levels = [F.when(F.col(c).isNull(), F.lit(null).cast("bigint")).otherwise(F.xxhash64(F.col(c).cast("string"))) for c in cats]
+        return [_array(numbers, "double").alias("nums"), _array(levels, "bigint").alias("cats")]
+
+    above = _array([F.coalesce((F.col(c) > medians[c]).cast("int"), F.lit(0)) for c in nums], "int").alias("above")
+    masks = [_array([used(c) for c in some], "int").alias(name) for some, name in ((nums, "num_used"), (cats, "cat_used"))]
+    i = F.col(id_col).cast("bigint").alias("id")
+    guesses = attacks.select(i, *vectors_of(attacks, 0), above, *masks)
+    both = guesses.select("id")
+    for df, name in ((train, "n_train"), (holdout, "n_holdout")):
+        found = predicate_counts(guesses, df.select(i, *vectors_of(df, 1))).select(F.col("id").alias("_i"), F.col("n").alias(name))
+        both = both.join(found, F.col("id") == F.col("_i"), "left").drop("_i").withColumn(name, F.coalesce(name, F.lit(0)))
+    row = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_train") == 1).alias("a"), F.count_if(F.col("n_holdout") == 1).alias("c")).first()
+    return MeasureResult(_attack_summary(train, row.n, row.a, row.c), both)
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        cats = [c for c in cols if c not in medians]
-        on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in cats], F.lit(True))
-        hits = guesses.join(df.select(*cols), on & match).groupBy("__aid").agg(F.count(F.lit(1)).alias(name))
-        return guesses.select("__aid").join(hits, "__aid", "left").select("__aid", F.coalesce(name, F.lit(0)).alias(name))
 
-    both = side(train, "n_train").join(side(holdout, "n_holdout"), "__aid")
-    row = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_train") == 1).alias("a"), F.count_if(F.col("n_holdout") == 1).alias("c")).first()
-    return MeasureResult(_attack_summary(train, row.n, row.a, row.c), both.withColumnRenamed("__aid", "id"))
+def _array(columns: Sequence[Column], kind: str) -> Column:
+    return (F.array(*columns) if columns else F.array()).cast(f"array<{kind}>")
 
 
 def _attack_summary(df: DataFrame, n: int, hits: int, control: int) -> DataFrame:

@@ -12,16 +12,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.special import t_ppf
 from .cells import cells, cramers_v, total_variation
 from .common import MeasureResult, complete, group_quantiles, key_join, quantiles, safe_div, scalar_row
-from .ranks import average_ranks, ks_p_value, ks_two_sample, running, value_counts
+from .ranks import average_ranks, ks_p_column, ks_two_sample, running, value_counts
 
 
 def compare_ks(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
     """Two-sample KS statistic and its asymptotic p-value, by group."""
     found = ks_two_sample(x, y, col, group)
-    rows = found.collect()  # one row a group
-    kinds = ", ".join([*(f"`{g}` {found.schema[g].dataType.simpleString()}" for g in group), "ks_statistic double", "p_value double"])
-    out = [tuple(r[g] for g in group) + (r.ks_statistic, ks_p_value(r.ks_statistic, r.n_x, r.n_y)) for r in rows]
-    return x.sparkSession.createDataFrame(out, kinds)
+    return found.select(*group, "ks_statistic", ks_p_column(F.col("ks_statistic"), F.col("n_x"), F.col("n_y")).alias("p_value"))
 
 
 def wasserstein(
@@ -124,6 +121,14 @@ def median_absolute_deviation(df: DataFrame, col: str) -> float:
     return 1.4826 * quantiles(df.select(F.abs(F.col(col) - med[0]).alias("d")), "d", [0.5])[0] if med else float("nan")
 
 
+def group_deviation(df: DataFrame, col: str, group: Sequence[str]) -> DataFrame:
+    """(group, median, mad): the median and the scaled median absolute deviation of each group."""
+    median = group_quantiles(df, col, [0.5], group).select(*group, F.col("q")[0].alias("median"))
+    gaps = key_join(df.select(*group, F.col(col).cast("double").alias("_v")), median, group, "inner", na_rm=False)
+    spread = group_quantiles(gaps.withColumn("_d", F.abs(F.col("_v") - F.col("median"))), "_d", [0.5], group)
+    return key_join(median, spread.select(*group, (1.4826 * F.col("q")[0]).alias("mad")), group, "inner", na_rm=False)
+
+
 def huber(df: DataFrame, col: str, *, k: float = 1.5, tol: float = 1e-6, max_iter: int = 50) -> float:
     """Huber's M-estimate of location: a sum and a count over all rows a round."""
     mad = median_absolute_deviation(df, col)

@@ -105,7 +105,7 @@ def rapid(
         scored = class_probabilities(y, x, keys, target, model, seed)
         per = scored.groupBy(F.col(target).alias("__c")).agg(F.avg("_p_true").alias("__m"), F.count(F.lit(1)).alias("__n"))
         n, k = x.count(), x.select(target).distinct().count()
-        joined = scored.join(F.broadcast(per), F.col(target) == F.col("__c"))
+        joined = scored.join(per, F.col(target) == F.col("__c"))
         g = F.col("_p_true")
         share = F.col("__n") / max(1, n)
         score = {

@@ -7,9 +7,10 @@ Equal values never part, so results do not depend on where the cuts fall.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import kolmogorov_sf, norm_cdf
 
@@ -75,6 +76,16 @@ def ks_p_value(statistic: float, n_x: int, n_y: int) -> float:
     return kolmogorov_sf(statistic * (n_x * n_y / (n_x + n_y)) ** 0.5)
 
 
+def ks_p_column(statistic: Column, n_x: Column, n_y: Column) -> Column:
+    """The same p-value as an expression."""
+    x = statistic * F.sqrt(n_x * n_y / (n_x + n_y))
+    steps = lambda n: F.sequence(F.lit(1), F.lit(n))
+    small = F.aggregate(steps(39), F.lit(0.0), lambda s, k: s + F.exp(-F.pow(2 * k - 1, F.lit(2)) * math.pi**2 / (8 * x * x)))
+    large = F.aggregate(steps(100), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    dual = 1 - math.sqrt(2 * math.pi) / x * small
+    return F.when(x <= 0, 1.0).when(x < 1, dual).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * large)))
+
+
 def average_ranks(df: DataFrame, col: str, within: Sequence[str] = ()) -> DataFrame:
     """(within, v, n, rank): the average rank of every distinct value."""
     counts = running(value_counts({"n": df}, col, within), "v", ["n"], within)

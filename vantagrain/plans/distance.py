@@ -73,18 +73,31 @@ def _three_nearest(name: str, a: str, dist: str, rg: str) -> str:
 
 
 LINK3_SQL = LINK_SQL.replace(_near('b1', 't', _SEC, 'rt'), _three_nearest('b1', 't', _SEC, 'rt')).replace(_near('b2', 'h', _SEC, 'rh'), _three_nearest('b2', 'h', _SEC, 'rh'))
-SINGLE_SQL = f"""with {CUST.sql3}, m as (select median(c_acctbal) as ma, median(c_nationkey) as mn from y), g as (select y.*, ma, mn from y, m where c_custkey % 10 = 1),
+SINGLE_SQL = f"""with {CUST.sql3}, m as (select median(c_acctbal) as ma, median(c_nationkey) as mn from y), g as (select y.*, ma, mn from y, m),
   f as (select g.c_custkey as id, (select count(*) from t where t.c_mktsegment = g.c_mktsegment and case when g.c_acctbal > ma then t.c_acctbal >= g.c_acctbal else t.c_acctbal <= g.c_acctbal end and case when g.c_nationkey > mn then t.c_nationkey >= g.c_nationkey else t.c_nationkey <= g.c_nationkey end) as a,
     (select count(*) from h where h.c_mktsegment = g.c_mktsegment and case when g.c_acctbal > ma then h.c_acctbal >= g.c_acctbal else h.c_acctbal <= g.c_acctbal end and case when g.c_nationkey > mn then h.c_nationkey >= g.c_nationkey else h.c_nationkey <= g.c_nationkey end) as b from g),
   v as (select count(*) as n, count(*) filter (a = 1) as k, count(*) filter (b = 1) as kc from f)
   select n as n_attacks, k as n_success, kc as n_control_success, round(k / n, 6) as risk_attack, round(kc / n, 6) as risk_control, round(greatest(0, (k / n - kc / n) / (1 - kc / n)), 6) as risk from v"""
 
 
-def _singling(s, d):
+def _draws_sql(n_cols: int) -> str:
+    """Each attack uses the columns with the smallest digests."""
+    digest = lambda c: f"md5(g.c_custkey::varchar || ':{c}:1')"
+    skip = lambda c: f"(({' + '.join(f'({digest(o)} < {digest(c)})::int' for o in _COLS if o != c)}) >= {n_cols})"
+    out = SINGLE_SQL
+    for t in "th":
+        out = out.replace(f"{t}.c_mktsegment = g.c_mktsegment", f"({skip('c_mktsegment')} or {t}.c_mktsegment = g.c_mktsegment)")
+        for c, m in (("c_acctbal", "ma"), ("c_nationkey", "mn")):
+            case = f"case when g.{c} > {m} then {t}.{c} >= g.{c} else {t}.{c} <= g.{c} end"
+            out = out.replace(case, f"({skip(c)} or {case})")
+    return out
+
+
+def _singling(s, d, **params):
+    """Every released customer is an attack."""
     t, y, h = CUST.three(s, d)
-    nums = ("c_acctbal", "c_nationkey")
-    med = {c: quantiles(y, c, [0.5])[0] for c in nums}
-    return rounded(D.singling_out(t, h, y.filter(F.col("c_custkey") % 10 == 1), "c_custkey", _COLS, med).summary.select("n_attacks", "n_success", "n_control_success", "risk_attack", "risk_control", "risk"))
+    med = {c: quantiles(y, c, [0.5])[0] for c in ("c_acctbal", "c_nationkey")}
+    return rounded(D.singling_out(t, h, y, "c_custkey", _COLS, med, **params).summary.select("n_attacks", "n_success", "n_control_success", "risk_attack", "risk_control", "risk"))
 
 
 def _perturbed(s, d):
@@ -126,7 +139,7 @@ QUERIES = {
     "domias": lambda s, d: rounded(D.domias(*CUST.three(s, d), "c_custkey", _COLS).summary),
     "linkability": lambda s, d: rounded(D.linkability(CUST.three(s, d)[0], CUST.three(s, d)[2], CUST.three(s, d)[1], "c_custkey", ("c_acctbal", "c_mktsegment"), ("c_nationkey",)).summary.select("risk_attack", "risk_control", "n_attacks", "n_success", "n_control_success", "risk")),
     "linkability_three_neighbours": lambda s, d: rounded(D.linkability(CUST.three(s, d)[0], CUST.three(s, d)[2], CUST.three(s, d)[1], "c_custkey", ("c_acctbal", "c_mktsegment"), ("c_nationkey",), neighbours=3).summary.select("risk_attack", "risk_control", "n_attacks", "n_success", "n_control_success", "risk")),
-    "singling_out": _singling,
+    "singling_out": _singling, "singling_out_two_columns": lambda s, d: _singling(s, d, n_cols=2), "singling_out_univariate": lambda s, d: _singling(s, d, n_cols=1),
     "gower_paired": lambda s, d: rounded(D.paired_gower(*_perturbed(s, d), "c_custkey", _COLS).summary),
     "drisk_interval": lambda s, d: rounded(D.drisk_interval(*PART.frames(s, d), "p_partkey", _PNUM).summary),
     "drisk_mahalanobis": lambda s, d: rounded(D.drisk_mahalanobis(*CUST.frames(s, d), "c_custkey", CUST.num).summary),
@@ -144,7 +157,7 @@ SQL = {
     "dcr_gower": dcr_sql(_GOWER), "dcr_euclidean": dcr_sql(_euclid(CUST.num)), "nndr_gower": NNDR_SQL,
     "hitting_rate": f"{_HIT} select round(avg((d <= 0.05)::int), 6) as rate, count(*) filter (d <= 0.05) as n_hits, round(avg((d = 0)::int), 6) as rate_at_zero, count(*) as n_synthetic, avg((d <= 0.05)::int) <= 0.1 as privacy_pass from m",
     "hitting_sweep": f"{_HIT} select tau::double as tau, round(avg((d <= tau)::int), 6) as rate from m, (select unnest([0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3]) as tau) group by 1",
-    "epsilon_identifiability": _entropy_sql(), "nnaa": NNAA_SQL, "domias": DOMIAS_SQL, "linkability": LINK_SQL, "linkability_three_neighbours": LINK3_SQL, "singling_out": SINGLE_SQL,
+    "epsilon_identifiability": _entropy_sql(), "nnaa": NNAA_SQL, "domias": DOMIAS_SQL, "linkability": LINK_SQL, "linkability_three_neighbours": LINK3_SQL, "singling_out": SINGLE_SQL, "singling_out_two_columns": _draws_sql(2), "singling_out_univariate": _draws_sql(1),
     "gower_paired": f"with {RLNK}, {_rng('xy').replace('select * from', 'select c_acctbal, c_nationkey from')}, p as (select {_GOWER.replace('round(', '(', 1).replace(', 9)', ')')} as d from x a join y b using (c_custkey), rg) select round(avg(d), 6) as gower_distance, round(1 - avg(d), 6) as utility_score, count(*) as n_records, 3::bigint as n_variables from p",
     "drisk_interval": DRISK_SQL, "energy_distance": ENERGY_SQL,
 }

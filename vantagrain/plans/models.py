@@ -87,6 +87,9 @@ QUERIES = {
     "subgroup_utility": _subgroup,
     "density_difference": lambda s, d: rounded(Y.density_difference(*CUST.frames(s, d), "c_acctbal").summary),
     "density_kl_2d": lambda s, d: rounded(Y.density_kl_2d(*CUST.frames(s, d), ("c_acctbal", "c_nationkey"))),
+    "density_kl_1d": lambda s, d: rounded(Y.density_kl(*CUST.frames(s, d), ("c_acctbal",))),
+    "density_kl_3d": lambda s, d: rounded(Y.density_kl(*LINE.frames(s, d), LINE.num[:3], n_grid=20)),
+    "robust_correlation": lambda s, d: rounded(scalar_row(s, r=float(Y.robust_correlation(CUST.frames(s, d)[0], CUST.num)[0, 1]))),
     "density_difference_pca": lambda s, d: rounded(Y.density_difference_pca(*LINE.frames(s, d), LINE.num)),
     "compare_pca": lambda s, d: rounded(Y.compare_pca(*LINE.frames(s, d), LINE.num)),
     "compare_embedding": lambda s, d: rounded(Y.compare_embedding(*CUST.frames(s, d), "c_custkey", CUST.num)),
@@ -135,6 +138,15 @@ def _kl_sql(a: str, b: str, grid: int = 50) -> str:
       select round(sum(p * ln(p / q)), 6) as kl from (select dx.v / (select sum(v) from dx) as p, dy.v / (select sum(v) from dy) as q from dx join dy using (i, j))"""
 
 
+def _kl1_sql(c: str, grid: int = 50) -> str:
+    """The same in one dimension."""
+    one = lambda s: f"""h{s} as (select 0.9 * least(stddev_samp({c}), (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.34) * pow(count(*), -0.2) as h from {s}),
+      m{s} as (select least({grid - 1}, greatest(0, round(({c} - lo) / st)))::int as i, count(*) as n from {s}, ax group by 1),
+      d{s} as (select g.i, greatest(1e-300, sum(n * exp(-0.5 * (st * (g.i - m.i) / h) ** 2))) as v from g, m{s} m, h{s}, ax group by 1)"""
+    return f"""with {CUST.sql}, ax as (select min({c})::double as lo, (max({c}) - min({c}))::double / {grid - 1} as st from (select * from x union all select * from y)), g as (select i from range({grid}) p(i)), {one('x')}, {one('y')}
+      select round(sum(p * ln(p / q)), 6) as kl from (select dx.v / (select sum(v) from dx) as p, dy.v / (select sum(v) from dy) as q from dx join dy using (i))"""
+
+
 _U = "('0x' || substr(md5(l_orderkey::varchar || ':1'), 1, 8))::bigint / 4294967296.0"
 TSTR_SQL = f"""with {LINE.sql}, t as (select * from x where {_U} < 0.3), r as (select * from x where {_U} >= 0.3),
   f as (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from y), g as (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from r),
@@ -152,6 +164,7 @@ _BIN = lambda c, s: f"least(10, greatest(1, ceil(round(({c} - (select min({c}) f
 SQL = {
     "mmd_exact": _mmd_sql(f"exp(-({_Z}) / (2 * g * g))", f"(select median(sqrt({_Z})) from u a, u b, s where a.c_custkey < b.c_custkey)"),
     "mmd_rational_quadratic": _mmd_sql(f"1 / (1 + ({_Z}) / (2 * g * g))", "1.0::double"),
+    "density_kl_1d": _kl1_sql("c_acctbal"),
     "density_kl_2d": _kl_sql("c_acctbal", "c_nationkey"), "tstr_glm": TSTR_SQL, "dbscan_noise": DBSCAN_SQL, "compare_pca_pair": PCA_SQL,
     "individual_risk_model": f"with {CUST.sql}, f as (select greatest(1, {_MARGIN}) as m from y) select round(avg(1 / m), 6) as mean_risk, round(max(1 / m), 6) as max_risk, count(*) filter (1 / m > 0.1) as n_high_risk, count(*) as n_records from f",
     "histogram_divergence": f"""with {CUST.sql}, b as (select i, j, sum(o)::double as o, sum(r)::double as r from (select {_BIN('c_nationkey', 'x')} as i, {_BIN('c_acctbal', 'x')} as j, 1 as o, 0 as r from x

@@ -320,6 +320,7 @@ QUERIES = {
     "ecdf": lambda s, d: rounded(D.ecdf_table(*CUST.frames(s, d), "c_acctbal")),
     "ecdf_by_group": lambda s, d: rounded(D.ecdf_table(*CUST.frames(s, d), "c_acctbal", ["c_mktsegment"])),
     "hill_tail_index": lambda s, d: rounded(D.one_row(CUST.frames(s, d)[0], hill=D.hill_estimator(ORD.frames(s, d)[0], "o_totalprice"))),
+    "deviation_by_group": lambda s, d: rounded(D.group_deviation(CUST.frames(s, d)[0], "c_acctbal", ["c_mktsegment"])),
     "huber_location": lambda s, d: rounded(D.one_row(CUST.frames(s, d)[0], huber=D.huber(CUST.frames(s, d)[0], "c_acctbal"), mad=D.median_absolute_deviation(CUST.frames(s, d)[0], "c_acctbal"))),
     "tail_fidelity": lambda s, d: rounded(D.tail_fidelity(*LINE.frames(s, d), ("l_quantity", "l_extendedprice")).groups),
     "copula_fidelity": lambda s, d: rounded(D.copula_fidelity(*CUST.frames(s, d), CUST.num, n_grid=20).groups, 9),
@@ -351,6 +352,7 @@ SQL = {
     "wasserstein_weighted": wass_weighted_sql(LINE, "l_extendedprice", "l_quantity"), "ci_proximity_weighted": ci_weighted_sql(LINE, LINE.num[1:], "l_quantity"),
     "multivariate_weighted": multi_weighted_sql(LINE, LINE.num[1:], "l_quantity"), "ecdf_weighted": ecdf_weighted_sql(PART, "p_retailprice", "p_size"),
     "regression_two_predictors": regr_two_sql(LINE, "l_quantity", "l_discount", "l_extendedprice"), "hill_tail_index": HILL_SQL, "huber_location": HUBER_SQL,
+    "deviation_by_group": f"with {CUST.sql}, m as (select c_mktsegment, median(c_acctbal) as median from x group by 1) select c_mktsegment, round(any_value(median), 6) as median, round(1.4826 * median(abs(c_acctbal - median)), 6) as mad from x join m using (c_mktsegment) group by 1",
     "tail_fidelity": tail_sql(LINE, ("l_quantity", "l_extendedprice")), "copula_fidelity": copula_sql(CUST, CUST.num, 20),
     "regression_fidelity": regr_sql(LINE, "l_quantity", "l_extendedprice"), "pmse_saturated": pmse_sql(PART, ("p_brand", "p_type")),
 }
