@@ -23,6 +23,26 @@ class MeasureResult:
         """Histogram of a records column: the data behind a plot."""
         return histogram(self.records, column, bins)
 
+    def text(self, rows: int = 10) -> str:
+        """The summary, one line for each value, and the first rows of the groups."""
+        found = self.summary.first()
+        lines = [f"{name}: {value:.6g}" if isinstance(value, float) else f"{name}: {value}" for name, value in (found.asDict() if found else {}).items()]
+        if self.groups is not None:
+            names = self.groups.columns
+            lines += ["", "  ".join(names)]
+            for r in self.groups.orderBy(*[c for c, t in self.groups.dtypes if not t.startswith(("map", "array", "struct"))][:2]).limit(rows).collect():
+                lines.append("  ".join(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r))
+        return "\n".join(lines)
+
+    def show(self, rows: int = 10) -> None:
+        print(self.text(rows))
+
+    def plot(self, column: str, bins: int = 30, width: int = 50) -> str:
+        """A histogram of a records column drawn with characters."""
+        cells = self.plot_data(column, bins).orderBy("bin").collect()  # one row a bin
+        top = max((c.n for c in cells), default=1)
+        return "\n".join(f"{c.lower:>12.4g} {'#' * max(1, round(width * c.n / top))} {c.n}" for c in cells)
+
 
 def complete(df: DataFrame, cols: Sequence[str], na_rm: bool = True) -> DataFrame:
     """Rows without null or NaN in ``cols``; with ``na_rm`` false all rows, in

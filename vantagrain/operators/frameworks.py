@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.pair import ReleasePair
-from . import attribution, cells, copies, distance, distributions, models, sdc
-from .common import quantiles
+from . import attribution, cells, copies, distance, distributions, linkage, models, sdc
+from .common import MeasureResult, quantiles
 
 FAMILIES = {
     "attribution": ("cap", "tcap", "weap", "disco", "rapid"),
@@ -158,6 +158,39 @@ def _dominated(comp: DataFrame) -> DataFrame:
     return joined.filter((F.col("u") < F.col("best")) | (F.coalesce("before", F.lit(float("-inf"))) >= F.col("u"))).select("release", F.lit(True).alias("dominated"))
 
 
+def run(pair: ReleasePair, name: str, **params) -> MeasureResult:
+    """A measure by name, with its arguments taken from the pair's roles.
+
+    ``params`` go to the measure.  Measures of one table judge the release.
+    """
+    at = (pair.original, pair.released, pair.id_col, pair.keys, pair.target)
+    two = (pair.original, pair.released)
+    three = (pair.original, pair.released, pair.holdout, pair.id_col, pair.cols)
+    y = pair.released
+    known: dict[str, Callable[[], MeasureResult]] = {
+        "dcap": lambda: attribution.dcap(*at, **params), "tcap": lambda: attribution.tcap(*at, **params),
+        "weap": lambda: attribution.weap(y, pair.id_col, pair.keys, pair.target, **params), "disco": lambda: attribution.disco(*at, **params),
+        "rapid": lambda: models.rapid(*at, **params), "ims": lambda: copies.ims(*two, pair.id_col, pair.cols, **params), "repu": lambda: copies.repu(*two, pair.id_col, pair.cols, **params),
+        "dcr": lambda: distance.dcr(*three, **params), "nndr": lambda: distance.nndr(*three, **params), "nnaa": lambda: distance.nnaa(*three, **params), "domias": lambda: distance.domias(*three, **params),
+        "hitting_rate": lambda: distance.hitting_rate(*two, pair.id_col, pair.cols, **params), "epsilon_identifiability": lambda: distance.epsilon_identifiability(*two, pair.id_col, pair.cols, **params),
+        "drisk_interval": lambda: distance.drisk_interval(*two, pair.id_col, pair.numeric, **params), "drisk_mahalanobis": lambda: distance.drisk_mahalanobis(*two, pair.id_col, pair.numeric, **params),
+        "paired_gower": lambda: distance.paired_gower(*two, pair.id_col, pair.cols, **params), "energy_distance": lambda: distance.energy_distance(*two, pair.id_col, pair.numeric, **params),
+        "kanonymity": lambda: sdc.kanonymity(y, pair.id_col, pair.keys, **params), "ldiversity": lambda: sdc.ldiversity(y, pair.keys, pair.target, **params),
+        "tcloseness": lambda: sdc.tcloseness(y, pair.keys, pair.target, **params), "suda": lambda: sdc.suda(y, pair.id_col, pair.keys, **params),
+        "individual_risk": lambda: sdc.individual_risk(y, pair.id_col, pair.keys, **params), "delta_presence": lambda: sdc.delta_presence(*two, pair.keys, **params),
+        "record_linkage": lambda: linkage.record_linkage(*two, pair.id_col, pair.keys, **params),
+        "hellinger": lambda: cells.hellinger(*two, pair.categorical, **({"weight_x": pair.weight_original, "weight_y": pair.weight_released} | params)),
+        "contingency_fidelity": lambda: cells.contingency_fidelity(*two, pair.categorical, **params), "chisq_utility": lambda: cells.chisq_utility(*two, pair.categorical, **params),
+        "ci_proximity": lambda: distributions.ci_proximity(*two, pair.numeric, **({"weight_x": pair.weight_original, "weight_y": pair.weight_released} | params)),
+        "correlation_matrices": lambda: distributions.correlation_matrices(*two, pair.numeric, **params), "copula_fidelity": lambda: distributions.copula_fidelity(*two, pair.numeric, **params),
+        "tail_fidelity": lambda: distributions.tail_fidelity(*two, pair.numeric, **params), "pmse": lambda: models.pmse(*two, pair.id_col, pair.cols, **params),
+        "tstr": lambda: models.tstr(*two, pair.id_col, [c for c in pair.cols if c != pair.target], pair.target, **params),
+    }
+    if name not in known:
+        raise ValueError(f"unknown measure: {name}; known are {', '.join(sorted(known))}")
+    return known[name]()
+
+
 RISK = ("dcap", "tcap", "disco", "rapid", "ims", "repu")
 UTILITY = ("pmse", "wasserstein", "hellinger", "energy", "ci_proximity")
 

@@ -76,3 +76,13 @@ class ReleasePair:
     @classmethod
     def from_paths(cls, spark: SparkSession, original: str, released: str, id_col: str, **roles) -> ReleasePair:
         return cls(read_table(spark, original), read_table(spark, released), id_col, **roles)
+
+    @classmethod
+    def from_pandas(cls, spark: SparkSession, original, released, id_col: str, **roles) -> ReleasePair:
+        """From two pandas tables; both need the id column."""
+        return cls(spark.createDataFrame(original), spark.createDataFrame(released), id_col, **roles)
+
+    def to_pandas(self) -> dict:
+        """The tables as pandas, for small ones; the holdout only if there is one."""
+        tables = {"original": self.original, "released": self.released, "holdout": self.holdout}
+        return {name: df.toPandas() for name, df in tables.items() if df is not None}
