@@ -46,11 +46,11 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def seeds_at(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the single words, and of the pairs one and two words apart that
-    begin at each word (the last one or two words have none)."""
+def seeds_at(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs one and two words apart that begin at each word (the
+    last one or two words have none)."""
     turned = hashes * U(BASES[0])
-    return mix(hashes), mix(turned[:-1] + hashes[1:]), mix(turned[:-2] + hashes[2:])
+    return mix(turned[:-1] + hashes[1:]), mix(turned[:-2] + hashes[2:])
 
 
 class Bloom:
@@ -59,17 +59,24 @@ class Bloom:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
         self.shift = U(64 - (len(bits) * 8 - 1).bit_length())
+        self._table: np.ndarray | None = None
 
-    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (hashes >> self.shift).astype(np.int64), ((hashes * U(0xC2B2AE3D27D4EB4F)) >> self.shift).astype(np.int64)
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> self.shift).view(np.int64)
+
+    def _second(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * U(0xC2B2AE3D27D4EB4F)) >> self.shift).view(np.int64)
 
     def add(self, hashes: np.ndarray) -> None:
-        for p in self._places(hashes):
+        for p in (self._first(hashes), self._second(hashes)):
             np.bitwise_or.at(self.bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = self._places(hashes)
-        return ((self.bits[a >> 3] >> (a & 7).astype(np.uint8)) & (self.bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1) > 0
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the hashes are that may have been added."""
+        if self._table is None:  # a byte for a bit, to look up
+            self._table = np.unpackbits(self.bits, bitorder="little").view(bool)
+        at = np.flatnonzero(self._table[self._first(hashes)])
+        return at[self._table[self._second(hashes[at])]]
 
 
 def _next_row(up: np.ndarray, word: int, passage: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -182,8 +189,9 @@ def _item_grams(texts: DataFrame, min_score: float, min_matched: int, seed_share
                 words = text.split(" ")
                 n = len(words)
                 by_pairs, least = needed(n, min_score, min_matched)
-                single, near, far = seeds_at(word_hashes(words))
-                grams = np.concatenate((near, far)) if by_pairs else single
+                hashes = word_hashes(words)
+                near, far = seeds_at(hashes)
+                grams = np.concatenate((near, far)) if by_pairs else mix(hashes)
                 at = np.concatenate((np.arange(len(near)), np.arange(len(far)))) if by_pairs else np.arange(n)
                 most = n - 1 if by_pairs else n
                 seeds = min(most, max(math.ceil(seed_share * most), most - least + 1))
@@ -232,8 +240,9 @@ def _hits(rows: DataFrame, bits: np.ndarray, single: bool) -> DataFrame:
                 words = tokens(text.as_py())
                 if not words:
                     continue
-                kinds = seeds_at(word_hashes(words))
-                found = [(np.flatnonzero(bloom.holds(g)), g) for g in (kinds if single else kinds[1:])]
+                hashes = word_hashes(words)
+                kinds = (mix(hashes), *seeds_at(hashes)) if single else seeds_at(hashes)
+                found = [(bloom.find(g), g) for g in kinds]
                 if any(len(p) for p, _ in found):
                     at.append(k)
                     where.append(np.concatenate([p for p, _ in found]))
@@ -259,7 +268,7 @@ def _likely(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(shared.value)
         for b in batches:
-            yield b.filter(pa.array(bloom.holds(b.column(1).to_numpy().view(U))))
+            yield b.take(pa.array(bloom.find(b.column(1).to_numpy().view(U))))
 
     return rows.mapInArrow(run, rows.schema)
 

@@ -15,24 +15,9 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-class _Known(dict):
-    """Hashes of words met before; a text's words are mostly old ones."""
-
-    def __missing__(self, word: bytes | str) -> int:
-        if len(self) >= 1 << 17:  # bounded whatever the vocabulary
-            self.clear()
-        if len(word) > 64:
-            return xxh3_64_intdigest(word)
-        h = self[word] = xxh3_64_intdigest(word)
-        return h
-
-
-_known = _Known()
-
-
 def word_hashes(words: list) -> np.ndarray:
-    """XXH3 of every word (bytes, or text as UTF-8)."""
-    return np.fromiter(map(_known.__getitem__, words), U, len(words))
+    """XXH3 of every word (bytes, or text as UTF-8); quicker than to look words up."""
+    return np.fromiter(map(xxh3_64_intdigest, words), U, len(words))
 
 
 def power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
