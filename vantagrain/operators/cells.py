@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.special import chi2_sf
@@ -124,6 +126,29 @@ def chisq_gof(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = (), *
     return out.select(*group, "chi_sq_statistic", (F.col("k") - 1).alias("df"), v.alias("cramers_v"))
 
 
+def chisq_gof_simulated(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = (), *, rounds: int = 2000, seed: int = 1, weight_x: str | None = None, weight_y: str | None = None) -> DataFrame:
+    """(group, chi_sq_statistic, p_value): the share of ``rounds`` multinomial
+    draws from the original proportions with at least that statistic.  A task
+    holds the levels of a group."""
+    both = cells(complete(x, [col, *group]), complete(y, [col, *group]), [*group, col], weight_x, weight_y).filter("o > 0")
+    one = [*group] or ["_all"]
+    both = both if group else both.withColumn("_all", F.lit(1))
+    kinds = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in one)
+
+    def run(key: tuple, levels: pd.DataFrame) -> pd.DataFrame:
+        levels = levels.sort_values(col)
+        share, seen = levels["o"].to_numpy() / levels["o"].sum(), levels["r"].to_numpy()
+        n = int(round(seen.sum()))
+        expected = share * seen.sum()
+        found = float(((seen - expected) ** 2 / expected).sum()) if n else 0.0
+        drawn = np.random.default_rng(seed).multinomial(n, share, rounds)
+        null = ((drawn - share * n) ** 2 / (share * n)).sum(axis=1) if n else np.zeros(rounds)
+        return pd.DataFrame([[*key, found, (1 + int((null >= found - 1e-9).sum())) / (1 + rounds)]], columns=[*one, "chi_sq_statistic", "p_value"])
+
+    out = both.groupBy(*one).applyInPandas(run, f"{kinds}, chi_sq_statistic double, p_value double")
+    return out.select(*group, "chi_sq_statistic", "p_value")
+
+
 def total_variation(x: DataFrame, y: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
     """(group, tv) of a nominal variable, for groups that both sides have."""
     both = cells(complete(x, [col, *group]), complete(y, [col, *group]), [*group, col])

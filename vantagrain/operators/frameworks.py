@@ -202,6 +202,7 @@ def map_measures() -> dict[str, tuple[str, Callable[[ReleasePair], float | None]
     at = lambda p: (p.original, p.released, p.id_col, p.keys, p.target)
     two = lambda p: (p.original, p.released)
     three = lambda p: (p.original, p.released, p.holdout, p.id_col, p.cols)
+    less = lambda v: None if v is None else 1 - v
 
     def moved(p: ReleasePair) -> float:
         gaps = []
@@ -221,8 +222,8 @@ def map_measures() -> dict[str, tuple[str, Callable[[ReleasePair], float | None]
         "rapid": ("risk", rapid),
         "ims": ("risk", lambda p: copies.ims(*two(p), p.id_col, p.cols).summary.first().ims),
         "repu": ("risk", lambda p: copies.repu(*two(p), p.id_col, p.cols).summary.first().ims),
-        "dcr": ("risk", lambda p: 1 - distance.dcr(*three(p)).summary.first().dcr_share),
-        "nndr": ("risk", lambda p: 1 - distance.nndr(*three(p)).summary.first().nndr_ratio),
+        "dcr": ("risk", lambda p: less(distance.dcr(*three(p)).summary.first().dcr_share)),
+        "nndr": ("risk", lambda p: less(distance.nndr(*three(p)).summary.first().nndr_ratio)),
         "rf_privacy": ("risk", lambda p: models.rf_privacy(*three(p)).summary.first().max_prox_share),
         "pmse": ("utility", lambda p: 1 - min(1.0, 10 * models.pmse(*two(p), p.id_col, p.cols).summary.first().pmse)),
         "wasserstein": ("utility", moved),

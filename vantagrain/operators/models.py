@@ -78,17 +78,38 @@ def class_probabilities(train: DataFrame, score: DataFrame, cols: Sequence[str],
     return out.select(*score.columns, "_p_true", "_hit", every.alias("_probs"))
 
 
+def _fill(df: DataFrame, keys: Sequence[str], target: str, strategy: str, constant: float) -> DataFrame:
+    if strategy == "complete":
+        return df
+    cats = [c for c in [*keys, target] if not is_numeric(df, c)]
+    out = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in cats})
+    if target in cats or strategy == "drop":
+        return out
+    if strategy == "constant":
+        return out.withColumn(target, F.coalesce(F.col(target).cast("double"), F.lit(float(constant))))
+    if strategy != "median":
+        raise ValueError(f"unknown na_strategy: {strategy}")
+    middle = quantiles(df, target, [0.5])
+    return out.withColumn(target, F.coalesce(F.col(target).cast("double"), F.lit(middle[0]))) if middle else out
+
+
 def rapid(
     original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], target: str, *, model: str = "rf",
     num_epsilon: float = 10.0, metric: str = "symmetric", delta: float = 0.01, cat_tau: float = 1.0, cat_eval: str = "conditional", seed: int = 1,
+    na_strategy: str = "complete", na_constant: float = 0.0,
 ) -> MeasureResult:
     """Risk of attribute prediction: fit on the released table, judge originals.
 
+    ``na_strategy``: complete leaves out rows with a null in any used column;
+    otherwise a null category is the level ``missing``, and a null numeric target
+    is left out (drop), ``na_constant`` (constant) or its side's median (median).
+    Rows with a null numeric key are always left out.
+
     A categorical target is at risk if the score of the true class exceeds
     ``cat_tau``: conditional (against its class mean), marginal (against its
     share) or nce (normalised cross-entropy).
     """
-    x, y = (complete(d, [*keys, target]) for d in (original, released))
+    x, y = (complete(_fill(d, keys, target, na_strategy, na_constant), [*keys, target]) for d in (original, released))
     if is_numeric(x, target):
         if model == "logit":
             raise ValueError("logit needs a categorical target")
@@ -204,12 +225,17 @@ def threshold_curve(records: DataFrame, thresholds: Sequence[float], *, above: b
     return records.select(each.alias("p")).groupBy("p.threshold").agg(F.avg("p.h").alias("rapid"))
 
 
-def rapid_contributions(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], target: str, **params) -> DataFrame:
-    """(key, delta_rapid): risk lost when a key is withheld, largest first."""
+def rapid_contributions(original: DataFrame, released: DataFrame, id_col: str, keys: Sequence[str], target: str, *, groups: dict[str, Sequence[str]] | None = None, **params) -> DataFrame:
+    """(key, delta_rapid): risk lost when a key, or a named group of keys, is
+    withheld, largest first."""
+    withheld = {k: [k] for k in keys} | {name: list(g) for name, g in (groups or {}).items()}
+    for name, g in withheld.items():
+        if not set(g) <= set(keys) or (name in (groups or {}) and set(g) == set(keys)):
+            raise ValueError(f"group {name} must hold some, not all, of the keys")
     full = rapid(original, released, id_col, keys, target, **params).summary.first().rapid
     rows = []
-    for k in keys:
-        rest = [c for c in keys if c != k]
+    for k, gone in withheld.items():
+        rest = [c for c in keys if c not in gone]
         rows.append((k, full - rapid(original, released, id_col, rest, target, **params).summary.first().rapid if rest else full))
     return original.sparkSession.createDataFrame(rows, "key string, delta_rapid double").orderBy(F.desc("delta_rapid"), "key")
 
@@ -276,8 +302,23 @@ def propensity_summary(scores: DataFrame) -> DataFrame:
     )
 
 
-def pmse(original: DataFrame, released: DataFrame, id_col: str, cols: Sequence[str], *, model: str = "logit", k: int | None = None, seed: int = 1) -> MeasureResult:
-    """Propensity mean squared error; for the logit with its expected value."""
+def pmse(
+    original: DataFrame, released: DataFrame, id_col: str, cols: Sequence[str], *, model: str = "logit", k: int | None = None, seed: int = 1,
+    max_order: int = 1, breaks: dict[str, int] | None = None, n_perm: int = 0,
+) -> MeasureResult:
+    """Propensity mean squared error; for the logit with its expected value.
+
+    ``breaks`` cuts numeric columns at that many pooled quantiles into classes;
+    ``max_order`` 2 adds all two-way terms (products of numbers, combinations of
+    classes, and a number within each class); with ``n_perm`` the value is also
+    compared with that many permutations of the origin (``perm_mean``,
+    ``perm_ratio``, ``perm_p``).
+    """
+    for c, n in (breaks or {}).items():
+        cuts = pooled_breaks([original, released], c, n)
+        original, released = (d.withColumn(c, bin_of(c, cuts).cast("string")) for d in (original, released))
+    if max_order > 1:
+        original, released, cols = _two_way(original, released, cols)
     scores = propensities(original, released, id_col, cols, model=model, folds=1 if model != "rf" else 5, seed=seed)
     summary = propensity_summary(scores)
     if model == "logit":
@@ -285,9 +326,31 @@ def pmse(original: DataFrame, released: DataFrame, id_col: str, cols: Sequence[s
         null = (terms - 1) * F.pow(1 - F.col("c"), 2) * F.col("c") / F.col("n")
         sd = F.sqrt(F.lit(2.0 * (terms - 1))) * F.pow(1 - F.col("c"), 2) * F.col("c") / F.col("n")
         summary = summary.withColumns({"pmse_null": null, "pmse_ratio": F.col("pmse") / null, "s_pmse": (F.col("pmse") - null) / sd})
+    if n_perm:
+        drawn, own = pmse_null(original, released, id_col, cols, model=model, n_perm=n_perm, seed=seed), summary.first().pmse
+        mean = sum(drawn) / n_perm
+        summary = summary.withColumns({"perm_mean": F.lit(mean), "perm_ratio": F.lit(own / mean if mean else None).cast("double"), "perm_p": F.lit((1 + sum(v >= own for v in drawn)) / (1 + n_perm))})
     return MeasureResult(summary, scores)
 
 
+def _two_way(original: DataFrame, released: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both tables with a column for each two-way term, and the names of all terms."""
+    from itertools import combinations
+
+    made: dict = {}
+    for a, b in combinations(cols, 2):
+        num_a, num_b = is_numeric(original, a), is_numeric(original, b)
+        if num_a and num_b:
+            made[f"{a}:{b}"] = F.col(a).cast("double") * F.col(b).cast("double")
+        elif not num_a and not num_b:
+            made[f"{a}:{b}"] = F.concat_ws(" ", a, b)
+        else:
+            n, c = (a, b) if num_a else (b, a)
+            levels = sorted({r[0] for d in (original, released) for r in d.select(c).distinct().collect() if r[0] is not None})  # the terms of the model
+            made |= {f"{n}:{c}={v}": F.when(F.col(c) == v, F.col(n).cast("double")).otherwise(0.0) for v in levels[1:]}
+    return original.withColumns(made), released.withColumns(made), [*cols, *made]
+
+
 def pmse_null(original: DataFrame, released: DataFrame, id_col: str, cols: Sequence[str], *, model: str = "cart", n_perm: int = 20, seed: int = 1) -> list[float]:
     """pMSE under permuted origins, one fit a round."""
     pool = original.select(id_col, *cols).unionByName(released.select(id_col, *cols))

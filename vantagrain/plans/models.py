@@ -67,6 +67,8 @@ QUERIES = {
     "rapid_cart_numeric": lambda s, d: rounded(M.rapid(*PART.frames(s, d), "p_partkey", _PK, "p_retailprice", model="cart").summary),
     "rapid_gbm": lambda s, d: rounded(M.rapid(*PART.frames(s, d), "p_partkey", ("p_size",), "p_retailprice", model="gbm").summary),
     "rapid_confint": lambda s, d: rounded(M.rapid_confint(M.rapid(*LINE.frames(s, d), "l_orderkey", ("l_quantity",), "l_extendedprice", model="lm").summary)),
+    "rapid_missing_median": lambda s, d: rounded(M.rapid(*[f.withColumn("l_extendedprice", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_extendedprice"))) for f in LINE.frames(s, d)], "l_orderkey", ("l_quantity",), "l_extendedprice", model="lm", na_strategy="median").summary.drop("fit")),
+    "rapid_missing_constant": lambda s, d: rounded(M.rapid(*[f.withColumn("l_extendedprice", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_extendedprice"))) for f in LINE.frames(s, d)], "l_orderkey", ("l_quantity",), "l_extendedprice", model="lm", na_strategy="constant", na_constant=1000.0).summary.drop("fit")),
     "rapid_bootstrap": lambda s, d: rounded(M.rapid_bootstrap(M.rapid(*CUST.frames(s, d), "c_custkey", _KEYS, "c_acctbal", model="lm").records, "c_custkey", n_boot=50)),
     "rapid_test": lambda s, d: rounded(M.rapid_test(_rapid_cat(s, d, cat_eval="marginal", cat_tau=0.3).records, "o_orderkey", n_permutations=19)),
     "rapid_threshold_curve": lambda s, d: rounded(M.threshold_curve(_rapid_cat(s, d, cat_eval="marginal").records, [k / 20 for k in range(1, 20)])),
@@ -159,12 +161,20 @@ _CORR = lambda s: f"(select corr(c_nationkey, c_acctbal) from {s})"  # noqa: E73
 PCA_SQL = f"""with {CUST.sql} select component, variable, round(sqrt(0.5), 6) as size_x, round(sqrt(0.5), 6) as size_y, round((1 + sign * abs({_CORR('x')})) / 2, 6) as explained_x, round((1 + sign * abs({_CORR('y')})) / 2, 6) as explained_y
   from (select unnest([1, 2])::bigint as component), (select unnest(['c_nationkey', 'c_acctbal']) as variable), lateral (select case component when 1 then 1 else -1 end as sign)"""
 
+def _missing_sql(fill: str) -> str:
+    """Every fourth line's price is null and filled before the fit and the judgement."""
+    return f"""with {LINE.sql}, p as (select l_quantity as q, case when l_linenumber % 4 <> 0 then l_extendedprice end as t from x), q as (select l_quantity as q, case when l_linenumber % 4 <> 0 then l_extendedprice end as t from y),
+      a as (select q, coalesce(t, {fill.format('p')}) as t from p), b as (select q, coalesce(t, {fill.format('q')}) as t from q), l as (select regr_slope(t, q) as s, regr_intercept(t, q) as i from b),
+      r as (select count(*) as n, count(*) filter (200 * abs(t - (i + s * q)) / (abs(t) + abs(i + s * q) + 0.02) < 10) as k from a, l)
+      select round(k / n, 6) as rapid, k as n_at_risk, round(100 * k / n, 6) as pct_at_risk, n as n_records from r"""
+
+
 _MARGIN = "count(*) over (partition by c_nationkey) * count(*) over (partition by c_mktsegment) / count(*) over ()"
 _BIN = lambda c, s: f"least(10, greatest(1, ceil(round(({c} - (select min({c}) from {s})) / (((select max({c}) from {s}) - (select min({c}) from {s})) / 10.0), 9))))::int"
 SQL = {
     "mmd_exact": _mmd_sql(f"exp(-({_Z}) / (2 * g * g))", f"(select median(sqrt({_Z})) from u a, u b, s where a.c_custkey < b.c_custkey)"),
     "mmd_rational_quadratic": _mmd_sql(f"1 / (1 + ({_Z}) / (2 * g * g))", "1.0::double"),
-    "density_kl_1d": _kl1_sql("c_acctbal"),
+    "density_kl_1d": _kl1_sql("c_acctbal"), "rapid_missing_median": _missing_sql("(select median(t) from {})"), "rapid_missing_constant": _missing_sql("1000.0"),
     "density_kl_2d": _kl_sql("c_acctbal", "c_nationkey"), "tstr_glm": TSTR_SQL, "dbscan_noise": DBSCAN_SQL, "compare_pca_pair": PCA_SQL,
     "individual_risk_model": f"with {CUST.sql}, f as (select greatest(1, {_MARGIN}) as m from y) select round(avg(1 / m), 6) as mean_risk, round(max(1 / m), 6) as max_risk, count(*) filter (1 / m > 0.1) as n_high_risk, count(*) as n_records from f",
     "histogram_divergence": f"""with {CUST.sql}, b as (select i, j, sum(o)::double as o, sum(r)::double as r from (select {_BIN('c_nationkey', 'x')} as i, {_BIN('c_acctbal', 'x')} as j, 1 as o, 0 as r from x
