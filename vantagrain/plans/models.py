@@ -153,7 +153,8 @@ _U = "('0x' || substr(md5(l_orderkey::varchar || ':1'), 1, 8))::bigint / 4294967
 TSTR_SQL = f"""with {LINE.sql}, t as (select * from x where {_U} < 0.3), r as (select * from x where {_U} >= 0.3),
   f as (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from y), g as (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from r),
   v as (select (select greatest(0, 1 - sum((l_extendedprice - i - s * l_quantity) ** 2) / (var_pop(l_extendedprice) * count(*))) from t, f) as a, (select greatest(0, 1 - sum((l_extendedprice - i - s * l_quantity) ** 2) / (var_pop(l_extendedprice) * count(*))) from t, g) as b)
-  select round(a, 6) as tstr_performance, round(b, 6) as trtr_performance, round(a / b, 6) as tstr_ratio, round(least(1, greatest(0, a / b)), 6) as utility_score, 'r2' as metric from v"""
+  select round(a, 6) as tstr_performance, round(b, 6) as trtr_performance, case when b > 1e-10 then round(a / b, 6) else 'nan'::double end as tstr_ratio,
+    case when b > 1e-10 then round(least(1, greatest(0, a / b)), 6) else 'nan'::double end as utility_score, 'r2' as metric from v"""
 DBSCAN_SQL = f"""with {CUST.sql}, r as (select c_custkey as id, c_acctbal / 500 as b, c_nationkey as k from x), p as (select a.id, o.id as oid from r a, r o where (a.b - o.b) ** 2 + (a.k - o.k) ** 2 <= 1),
   n as (select id, count(*) >= 5 as core from p group by 1), z as (select distinct p.id from p join n on p.oid = n.id where core)
   select core, z.id is null as noise, count(*) as n from n left join z using (id) group by 1, 2"""
