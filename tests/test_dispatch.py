@@ -50,3 +50,28 @@ def test_p_value_expression_equals_the_function(spark):
     df = spark.createDataFrame(rows, "d double, n bigint, m bigint").withColumn("p", ranks.ks_p_column(F.col("d"), F.col("n"), F.col("m")))
     for r in df.collect():
         assert r.p == pytest.approx(ranks.ks_p_value(r.d, r.n, r.m), abs=1e-12)
+
+
+def test_missing_values_groups_and_two_way_terms(spark):
+    """Strategies for nulls, withheld groups, permutations and interactions."""
+    import numpy as np
+
+    from vantagrain.operators import cells, models
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.normal()), float(rng.normal()), "ab"[rng.integers(0, 2)]) for i in range(400)]
+    x = spark.createDataFrame([(i, a, b, c, 2 * a + b if i % 9 else None) for i, a, b, c in rows], "id bigint, a double, b double, c string, t double")
+    counts = {s: models.rapid(x, x, "id", ("a", "b"), "t", model="lm", na_strategy=s).summary.first().n_records for s in ("complete", "drop", "median", "constant")}
+    assert counts == {"complete": 355, "drop": 355, "median": 400, "constant": 400}
+    lost = {r.key: r.delta_rapid for r in models.rapid_contributions(x, x, "id", ("a", "b", "c"), "t", groups={"both": ["a", "b"]}, model="lm").collect()}
+    assert set(lost) == {"a", "b", "c", "both"} and lost["both"] >= lost["b"] > lost["c"]
+    with pytest.raises(ValueError, match="group"):
+        models.rapid_contributions(x, x, "id", ("a", "b"), "t", groups={"all": ["a", "b"]}, model="lm")
+    # equal margins, another dependence: only the product tells the sides apart
+    y = spark.createDataFrame([(i, a, abs(b) * (1 if a > 0 else -1), c) for i, a, b, c in rows], "id bigint, a double, b double, c string")
+    one = models.pmse(x.drop("t"), y, "id", ["a", "b", "c"], n_perm=3).summary.first()
+    two = models.pmse(x.drop("t"), y, "id", ["a", "b", "c"], max_order=2).summary.first()
+    assert two.pmse > 3 * one.pmse and 0 < one.perm_p <= 1
+    assert models.pmse(x.drop("t"), y, "id", ["a", "b"], breaks={"a": 4}).summary.first().pmse > 0
+    fits = [cells.chisq_gof_simulated(x, d, "c", rounds=500).first() for d in (x, x.filter("c = 'a'"))]
+    assert fits[0].p_value == 1 and fits[1].p_value < 0.01

@@ -1,6 +1,7 @@
-"""Every registered query with SQL equals DuckDB on the smallest tables."""
+"""Registered queries equal their SQL in DuckDB on the smallest tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -34,8 +35,8 @@ def duck():
     return con
 
 
-#: A spread of operators; the driver compares all of them on a larger scale.
-SAMPLE = [n for k, n in enumerate(sorted(plans.SQL)) if k % 12 == 0]
+#: One in three of the queries; with ORACLE_ALL set, all of them.
+SAMPLE = [n for k, n in enumerate(sorted(plans.SQL)) if k % 3 == 0 or os.environ.get("ORACLE_ALL")]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
