@@ -151,9 +151,10 @@ def _grouped(
     return rows, labels(nodes, links(nodes.select("_fp"), radius, bucket_limit))
 
 
-def labels(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(_fp, _root, _comp) of every node (_fp, _least) under the links (u, v)."""
-    roots = written(components(found), "simhash-roots")
+def labels(nodes: DataFrame, found: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(_fp, _root, _comp) of every node (_fp, _least) under the links (u, v), or
+    their components where these are known."""
+    roots = roots if roots is not None else written(components(found), "simhash-roots")
     linked = nodes.join(roots, nodes["_fp"] == roots["node"])
     comps = linked.groupBy("root").agg(F.min("_least").alias("_comp"))
     known = linked.join(comps, "root").select("_fp", F.col("root").alias("_root"), "_comp")
