@@ -162,6 +162,12 @@ _CORR = lambda s: f"(select corr(c_nationkey, c_acctbal) from {s})"  # noqa: E73
 PCA_SQL = f"""with {CUST.sql} select component, variable, round(sqrt(0.5), 6) as size_x, round(sqrt(0.5), 6) as size_y, round((1 + sign * abs({_CORR('x')})) / 2, 6) as explained_x, round((1 + sign * abs({_CORR('y')})) / 2, 6) as explained_y
   from (select unnest([1, 2])::bigint as component), (select unnest(['c_nationkey', 'c_acctbal']) as variable), lateral (select case component when 1 then 1 else -1 end as sign)"""
 
+SUBGROUP_SQL = f"""with {ORD.sql}, v as (select o_orderstatus as g, o_totalprice as v, sum(a)::double as a, sum(b)::double as b from (select o_orderstatus, o_totalprice, 1 as a, 0 as b from x union all select o_orderstatus, o_totalprice, 0, 1 from y) group by all),
+  c as (select *, sum(a) over (partition by g order by v) / sum(a) over (partition by g) as fa, sum(b) over (partition by g order by v) / sum(b) over (partition by g) as fb from v),
+  k as (select g, max(abs(fa - fb)) as ks, sum(a) as n_x, sum(b) as n_y from c group by g)
+  select g as "group", n_x::bigint as n_x, n_y::bigint as n_y, round(1 - ks, 6) as score, 1 - ks < 0.97 as flagged from k where least(n_x, n_y) >= 5"""
+
+
 def _missing_sql(fill: str) -> str:
     """Every fourth line's price is null and filled before the fit and the judgement."""
     return f"""with {LINE.sql}, p as (select l_quantity as q, case when l_linenumber % 4 <> 0 then l_extendedprice end as t from x), q as (select l_quantity as q, case when l_linenumber % 4 <> 0 then l_extendedprice end as t from y),
@@ -175,7 +181,7 @@ _BIN = lambda c, s: f"least(10, greatest(1, ceil(round(({c} - (select min({c}) f
 SQL = {
     "mmd_exact": _mmd_sql(f"exp(-({_Z}) / (2 * g * g))", f"(select median(sqrt({_Z})) from u a, u b, s where a.c_custkey < b.c_custkey)"),
     "mmd_rational_quadratic": _mmd_sql(f"1 / (1 + ({_Z}) / (2 * g * g))", "1.0::double"),
-    "density_kl_1d": _kl1_sql("c_acctbal"), "rapid_missing_median": _missing_sql("(select median(t) from {})"), "rapid_missing_constant": _missing_sql("1000.0"),
+    "subgroup_utility": SUBGROUP_SQL, "density_kl_1d": _kl1_sql("c_acctbal"), "rapid_missing_median": _missing_sql("(select median(t) from {})"), "rapid_missing_constant": _missing_sql("1000.0"),
     "density_kl_2d": _kl_sql("c_acctbal", "c_nationkey"), "tstr_glm": TSTR_SQL, "dbscan_noise": DBSCAN_SQL, "compare_pca_pair": PCA_SQL,
     "individual_risk_model": f"with {CUST.sql}, f as (select greatest(1, {_MARGIN}) as m from y) select round(avg(1 / m), 6) as mean_risk, round(max(1 / m), 6) as max_risk, count(*) filter (1 / m > 0.1) as n_high_risk, count(*) as n_records from f",
     "histogram_divergence": f"""with {CUST.sql}, b as (select i, j, sum(o)::double as o, sum(r)::double as r from (select {_BIN('c_nationkey', 'x')} as i, {_BIN('c_acctbal', 'x')} as j, 1 as o, 0 as r from x
