@@ -29,8 +29,8 @@ def _vectors(frames: Sequence[DataFrame], id_col: str, cols: Sequence[str], meth
     if method == "euclidean":
         nums = [c for c in cols if c in spans]
         lows = minima(rows, nums)
-        return [minmax_vectors(r, id_col, nums, spans, lows) for r in rows], {"metric": "euclidean"}
-    return [vectors(r, id_col, cols, spans, weights) for r in rows], {"cat_weights": category_weights(cols, spans, weights)}
+        return [minmax_vectors(r, id_col, nums, spans, lows) for r in rows], {"metric": "euclidean", "sums": False}
+    return [vectors(r, id_col, cols, spans, weights) for r in rows], {"cat_weights": category_weights(cols, spans, weights), "sums": False}
 
 
 def dcr(train: DataFrame, released: DataFrame, holdout: DataFrame, id_col: str, cols: Sequence[str], *, method: str = "gower") -> MeasureResult:
@@ -218,7 +218,7 @@ def drisk_mahalanobis(original: DataFrame, released: DataFrame, id_col: str, col
         F.array().cast("array<bigint>").alias("cats"),
     )
     cut = math.sqrt(chi2_ppf(1 - alpha, len(cols)))
-    records = nearest(rotated(x), rotated(y), metric="euclidean").select("id", F.col("d1").alias("min_rmd"))
+    records = nearest(rotated(x), rotated(y), metric="euclidean", sums=False).select("id", F.col("d1").alias("min_rmd"))
     summary = records.agg(F.avg((F.col("min_rmd") < cut).cast("int")).alias("drisk_rmd"), F.avg("min_rmd").alias("mean_rmd"), F.count(F.lit(1)).alias("n_original"))
     return MeasureResult(summary, records)
 
