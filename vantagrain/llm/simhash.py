@@ -206,19 +206,30 @@ def keep_one_of_each(
     and empty texts.
 
     Texts are linked if their fingerprints of four-word shingles differ in at
-    most ``radius`` bits; with ``similarity``, if their sets of five-word
+    most ``radius`` bits; with ``similarity``, also if their sets of five-word
     shingles have at least that Jaccard similarity.  A similarity of 0.8 is some
     ten of 64 bits, up to eighteen, for which a covering family would need 2**19
-    tables; candidates then come from minimum hashes (see ``jaccard``) and every
-    link is verified on the sets.
+    tables; these further candidates come from minimum hashes (see ``jaccard``)
+    and each is verified on the sets.
     """
-    if similarity is not None:
-        from .jaccard import grouped
-
-        rows, label = grouped(docs, id_col, text_col, shingle or 5, similarity, seed)
-    else:
+    if similarity is None:
         rows, label = _grouped(docs, id_col, text_col, shingle or 4, radius, seed, bucket_limit)
-    return keep_best(docs, rows, label, id_col)
+        return keep_best(docs, rows, label, id_col)
+    from .jaccard import grouped
+
+    prints, near = _grouped(docs, id_col, text_col, 4, radius, seed, bucket_limit)
+    rows, label = grouped(docs, id_col, text_col, shingle or 5, similarity, seed)
+    return keep_best(docs, rows, _joined(rows, label, prints, near), id_col)
+
+
+def _joined(rows: DataFrame, label: DataFrame, others: DataFrame, other_label: DataFrame) -> DataFrame:
+    """``label`` with the roots that rows of one component of the others connect."""
+    root = lambda r, l, n: r.join(l, "_fp").select("_row", F.col("_root").alias(n)).distinct()
+    both = root(rows, label, "_a").join(root(others, other_label, "_b"), "_row").select("_a", "_b").distinct()
+    least = both.groupBy("_b").agg(F.min("_a").alias("v"), F.max("_a").alias("w")).filter("v <> w").select("_b", "v")
+    links = both.join(least, "_b").filter("_a <> v").select(F.col("_a").alias("u"), "v").distinct()
+    found = written(components(written(links, "simhash-joined")), "simhash-joined-roots")
+    return label.join(found, label["_root"] == found["node"], "left").select("_fp", F.coalesce("root", "_root").alias("_root"))
 
 
 def keep_best(docs: DataFrame, rows: DataFrame, label: DataFrame, id_col: str) -> DataFrame:
