@@ -108,3 +108,15 @@ def test_energy_of_one_number_makes_no_pairs(spark, monkeypatch):
     s = np.concatenate([a, b]).std(ddof=1)
     gap = lambda p, q: np.abs(p[:, None] - q[None]).sum() / s
     assert row.mean_dist_xy == pytest.approx(gap(a, b) / 60000) and row.mean_dist_xx == pytest.approx(gap(a, a) / (300 * 299))
+
+
+def test_releases_are_scored_at_once(spark, monkeypatch):
+    import threading
+
+    from vantagrain.operators import frameworks
+
+    met = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(frameworks, "score_release", lambda pair, name, *_: met.wait() < 0 or [(name, "risk", "m", 1.0)])
+    df = spark.range(3).selectExpr("id", "id v", "id w")
+    scores = frameworks.release_scores(df, {"a": df, "b": df}, "id", keys=["v"], target="w", cols=["v", "w"])
+    assert [r.release for r in scores.collect()] == ["a", "b"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -191,6 +192,7 @@ def run(pair: ReleasePair, name: str, **params) -> MeasureResult:
     return known[name]()
 
 
+RELEASES_AT_ONCE = 4
 RISK = ("dcap", "tcap", "disco", "rapid", "ims", "repu")
 UTILITY = ("pmse", "wasserstein", "hellinger", "energy", "ci_proximity")
 
@@ -261,8 +263,11 @@ def score_release(pair: ReleasePair, name: str, risk: Sequence[str] = RISK, util
 
 
 def release_scores(original: DataFrame, releases: dict[str, DataFrame], id_col: str, *, risk: Sequence[str] = RISK, utility: Sequence[str] = UTILITY, **roles) -> DataFrame:
-    """(release, kind, measure, value) of every release."""
-    rows = [r for name, df in releases.items() for r in score_release(ReleasePair(original, df, id_col, **roles), name, risk, utility)]
+    """(release, kind, measure, value) of every release; some releases are scored
+    at once, as a measure is many short jobs that leave most cores idle."""
+    one = lambda item: score_release(ReleasePair(original, item[1], id_col, **roles), item[0], risk, utility)
+    with ThreadPoolExecutor(RELEASES_AT_ONCE) as pool:
+        rows = [r for found in pool.map(one, releases.items()) for r in found]
     return original.sparkSession.createDataFrame(rows, "release string, kind string, measure string, value double")
 
 
