@@ -163,3 +163,42 @@ def test_gini_reads_its_records_once(spark):
     records = spark.range(40).selectExpr("cast(id % 4 as double) risk").mapInArrow(count, "risk double")
     assert linkage.gini(records).first().gini == pytest.approx(2 * sum((10 * k + 5.5) * 10 * k for k in range(4)) / (40 * 60) - 41 / 40)
     assert read.value == 40
+
+
+def test_domias_meets_each_vector_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = lambda n: [(i, float(rng.integers(0, 60)), "ab"[rng.integers(0, 2)]) for i in range(n)]
+    t, y, h = [*rows(89), (89, 200.0, "a")], rows(140), rows(70)  # with copies, ids that tables share, one without neighbours
+    frames = [spark.createDataFrame(r, "id bigint, v double, s string") for r in (t, y, h)]
+    read, dealt, deal = spark.sparkContext.accumulator(0), [], blocks._dealt
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def watched(queries, refs, left, right, rows):
+        a, b = deal(queries, refs, left, right, 30)
+        dealt.append(a.count())
+        return a.mapInArrow(count, a.schema), b
+
+    monkeypatch.setattr(blocks, "_dealt", watched)
+    result = distance.domias(*frames, "id", ("v", "s"), radius=0.1)
+    got = result.summary.first()
+    assert len(dealt) == 1 and read.value == dealt[0]
+    pool = [r[1] for r in t + y + h]
+    near = lambda p, q: sum(round((abs(p[1] - r[1]) / (max(pool) - min(pool)) + (p[2] != r[2])) / 2, 9) <= 0.1 + 1e-9 for r in q)
+    a = [(near(p, y) + 1) / (near(p, h) + 1) for p in t]
+    b = [(near(p, y) + 1) / near(p, h) for p in h]  # without itself
+    auc = np.mean([(round(u, 12) > round(v, 12)) + 0.5 * (round(u, 12) == round(v, 12)) for u in a for v in b])
+    assert (got.auc, got.mean_ratio_train, got.mean_ratio_holdout) == pytest.approx((auc, np.mean(a), np.mean(b)))
+    assert (got.n_train, got.n_holdout) == (90, 70)
+    assert [r.ratio for r in result.records.orderBy("id").collect()] == pytest.approx(a)
+
+
+def test_domias_without_a_table(spark):
+    rows = spark.range(5).selectExpr("id", "cast(id as double) v")
+    none = rows.filter("id < 0")
+    for t, y, h, n in ((rows, none, rows, (0, 0)), (rows, rows, none, (0, 0)), (none, rows, rows, (0, 5)), (rows, rows, rows.filter("id = 0"), (5, 0))):
+        got = distance.domias(t, y, h, "id", ("v",)).summary.first()
+        assert (got.auc, got.n_train, got.n_holdout) == (None, *n)

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.special import chi2_ppf, residual_risk, wilson
-from .blocks import category_weights, distance_sum, minima, minmax_vectors, nearest, predicate_counts, rank_of, ranges, vectors
-from .common import MeasureResult, complete, is_numeric, quantiles, scalar_row
+from .blocks import category_weights, counts_within, distance_sum, keyed, minima, minmax_vectors, nearest, pooled, predicate_counts, rank_of, ranges, vectors
+from .common import MeasureResult, complete, is_numeric, kept, quantiles, scalar_row
 from .density import concentrated_covariance
 from .distributions import covariance
-from .ranks import auc, signed_rank_p
+from .ranks import running, signed_rank_p
 
 
 def _vectors(frames: Sequence[DataFrame], id_col: str, cols: Sequence[str], method: str, weights: dict[str, float] | None = None):
@@ -143,22 +143,33 @@ def nnaa(train: DataFrame, released: DataFrame, holdout: DataFrame, id_col: str,
 def domias(train: DataFrame, released: DataFrame, holdout: DataFrame, id_col: str, cols: Sequence[str], *, radius: float = 0.1) -> MeasureResult:
     """Membership by density: released over reference neighbours within a radius."""
     (t, y, h), how = _vectors([train, released, holdout], id_col, cols, "gower")
-    near = lambda a, b, **k: nearest(a, b, radius=radius + 1e-9, **k, **how).select("id", "n_within")
-
-    def side(a: DataFrame, own: bool) -> DataFrame:
-        ref = near(a, h, not_self=own).withColumnRenamed("n_within", "r")
-        return near(a, y).join(ref, "id").select("id", ((F.col("n_within") + 1) / (F.col("r") + 1)).alias("ratio"))
-
-    a, b = side(t, False), side(h, True)
-    means = a.agg(F.avg("ratio").alias("mean_ratio_train"), F.count(F.lit(1)).alias("n_train")).join(
-        b.agg(F.avg("ratio").alias("mean_ratio_holdout"), F.count(F.lit(1)).alias("n_holdout"))
+    # each vector of training and holdout meets each of the release and the holdout once
+    queries, refs = pooled({"train": t, "holdout": h}), pooled({"near": y, "base": h})
+    found = counts_within(queries, refs, radius + 1e-9, ["train", "holdout"], ["near", "base"], how["cat_weights"])
+
+    def side(own: int) -> tuple:
+        """Whether a vector has a ratio, and the ratio, with ``own`` of the holdout left out."""
+        has = (F.col("holdout" if own else "train") > 0) & (F.col("all_near") > 0) & (F.col("all_base") > own)
+        return has, F.try_divide(F.col("near") + 1, F.col("base") - own + 1)
+
+    (has_t, ratio_t), (has_h, ratio_h) = side(0), side(1)
+    none = F.lit(0).cast("bigint")
+    both = F.array(
+        F.struct(F.round(ratio_t, 12).alias("v"), F.when(has_t, F.col("train")).otherwise(none).alias("p"), none.alias("n")),
+        F.struct(F.round(ratio_h, 12).alias("v"), none.alias("p"), F.when(has_h, F.col("holdout")).otherwise(none).alias("n")),
     )
-    rounded = [d.select(F.round("ratio", 12).alias("ratio")) for d in (a, b)]
-    summary = means.join(auc(*rounded, "ratio")).select(
-        "auc", "mean_ratio_train", "mean_ratio_holdout", (F.col("mean_ratio_train") / F.col("mean_ratio_holdout")).alias("memorization_score"),
+    values = found.select(F.explode(both).alias("e")).select("e.*").filter("p + n > 0").groupBy("v").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    p, n = F.sum("p"), F.sum("n")
+    found_auc = F.try_divide(F.sum(F.col("p") * (F.col("run_n") - F.col("n") / 2)), p.cast("double") * n)
+    summary = running(kept(values), "v", ["n"]).agg(
+        found_auc.alias("auc"), F.try_divide(F.sum(F.col("v") * F.col("p")), p).alias("mean_ratio_train"), F.try_divide(F.sum(F.col("v") * F.col("n")), n).alias("mean_ratio_holdout"),
+        F.coalesce(p, none).alias("n_train"), F.coalesce(n, none).alias("n_holdout"),
+    ).select(
+        "auc", "mean_ratio_train", "mean_ratio_holdout", F.try_divide("mean_ratio_train", "mean_ratio_holdout").alias("memorization_score"),
         "n_train", "n_holdout", (F.col("auc") <= 0.6).alias("privacy_pass"),
     )
-    return MeasureResult(summary, a)
+    records = keyed(t, ["nums", "cats"]).select("id", "_h", "_g").join(found.filter(has_t).select("_h", "_g", ratio_t.alias("ratio")), ["_h", "_g"]).select("id", "ratio")
+    return MeasureResult(summary, records)
 
 
 def paired_gower(original: DataFrame, released: DataFrame, id_col: str, cols: Sequence[str]) -> MeasureResult:
